@@ -14,10 +14,7 @@ def history_values(cell, key: str) -> Column:
     """One field of a JSON list of objects as an array; anything else gives an empty array."""
     cell = F.trim(_col(cell))
     parsed = F.from_json(cell, f"array<struct<`{key}`:string>>")
-    values = F.transform(parsed, lambda row: row[key])
-    return F.when(cell.startswith("["), F.coalesce(values, F.array().cast("array<string>"))).otherwise(
-        F.array().cast("array<string>")
-    )
+    return F.coalesce(F.when(cell.startswith("["), parsed.getField(key)), F.array().cast("array<string>"))
 
 
 def first_sale(events: Column, prices: Column, dates: Column, sold: str = "Sold") -> Column:

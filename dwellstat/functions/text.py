@@ -109,7 +109,7 @@ def lot_key(borough, block, lot) -> Column:
 
 def distinct_links(cell) -> Column:
     """Comma list without repeats or blanks, first-seen order kept."""
-    parts = F.transform(F.split(_col(cell), ","), F.trim)
+    parts = F.transform(F.split(_col(cell), ","), lambda p: F.trim(p))
     return F.array_join(F.array_distinct(F.filter(parts, lambda p: p != "")), ",")
 
 
@@ -131,7 +131,7 @@ def link_list(cell) -> Column:
             ).otherwise(F.array(e)),
         )
     )
-    links = F.filter(F.transform(from_objects, F.trim), lambda p: p.startswith("http"))
+    links = F.filter(F.transform(from_objects, lambda p: F.trim(p)), lambda p: p.startswith("http"))
     use_json = cell.startswith("[") & (F.size(from_objects) > 0)
     return F.when(use_json, links).otherwise(link_tokens(cell))
 

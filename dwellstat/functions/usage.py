@@ -86,32 +86,42 @@ def normal_usage(provider, usage_json) -> Column:
     )
 
 
-def parsed_response(line) -> Column:
-    """Struct with the answer fields of one JSON result line.
+def response_row(line) -> Column:
+    """Struct of one JSON result line, null fields where it does not parse."""
+    return F.from_json(_col(line), RESPONSE_LINE)
 
-    ``error`` is empty and ``room_type`` filled for a usable answer; otherwise the reverse.
-    """
-    line = _col(line)
-    row = F.from_json(line, RESPONSE_LINE)
-    response = row["response"]
-    parts = F.get(response["candidates"], 0)["content"]["parts"]
-    answer_text = F.array_join(F.transform(parts, lambda p: F.coalesce(p["text"], F.lit(""))), "")
-    answer = F.from_json(answer_text, ANSWER)
-    failure = F.coalesce(F.nullif(row["error"], F.lit("")), F.when(response.isNull(), F.coalesce(row["status"], F.lit("no response"))))
-    failure = F.coalesce(failure, F.when(answer["room_type"].isNull(), F.lit("unreadable answer")))
+
+def answer_row(response: Column) -> Column:
+    """The answer inside a response: its text parts joined and read as JSON."""
+    parts = F.get(response["candidates"], 0)["content"]["parts"]["text"]
+    return F.from_json(F.array_join(parts, ""), ANSWER)
+
+
+def failure_text(row: Column, answer: Column) -> Column:
+    """Why a line gives no usable answer; null when it does."""
+    return F.coalesce(
+        F.nullif(row["error"], F.lit("")),
+        F.when(row["response"].isNull(), F.coalesce(row["status"], F.lit("no response"))),
+        F.when(answer["room_type"].isNull(), F.lit("unreadable answer")),
+    )
+
+
+def answer_fields(row: Column, answer: Column, failure: Column) -> list[Column]:
+    """Answer columns; blank texts and zero tokens for a failed line."""
     ok = failure.isNull()
-    usage = response["usageMetadata"]
+    response = row["response"]
+    tokens = response["usageMetadata"]
 
     def when_ok(value: Column, other) -> Column:
         return F.when(ok, value).otherwise(F.lit(other))
 
-    return F.struct(
+    return [
         F.coalesce(row["key"], F.lit("")).alias("key"),
         F.when(ok, answer["room_type"]).alias("room_type"),
         when_ok(F.coalesce(answer["other_label"], F.lit("")), "").alias("other_label"),
         when_ok(F.coalesce(response["modelVersion"], F.lit("")), "").alias("response_model"),
-        when_ok(_zero(usage["promptTokenCount"]), 0).cast("bigint").alias("input_tokens"),
-        when_ok(_zero(usage["candidatesTokenCount"]), 0).cast("bigint").alias("output_tokens"),
-        when_ok(_zero(usage["thoughtsTokenCount"]), 0).cast("bigint").alias("thinking_tokens"),
+        when_ok(_zero(tokens["promptTokenCount"]), 0).cast("bigint").alias("input_tokens"),
+        when_ok(_zero(tokens["candidatesTokenCount"]), 0).cast("bigint").alias("output_tokens"),
+        when_ok(_zero(tokens["thoughtsTokenCount"]), 0).cast("bigint").alias("thinking_tokens"),
         F.coalesce(failure, F.lit("")).alias("error"),
-    )
+    ]

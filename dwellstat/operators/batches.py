@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dwellstat.functions import text, usage
+from dwellstat.operators import stages
 
 
 def request_lines(items: DataFrame, item: str, prompt: str, resolution: str, labels: Sequence[str],
@@ -49,7 +50,10 @@ def parse_responses(lines: DataFrame, line: str = "value", chunk: str = "source_
 
     Thinking tokens bill as output. Blank lines are skipped.
     """
-    parsed = lines.filter(F.trim(line) != "").select(chunk, usage.parsed_response(line).alias("r")).select(chunk, "r.*")
+    rows = stages.once(lines.filter(F.trim(line) != "").select(chunk, line), _row=usage.response_row(line))
+    rows = stages.once(rows, _answer=usage.answer_row(F.col("_row.response")))
+    rows = stages.once(rows, _failure=usage.failure_text(F.col("_row"), F.col("_answer")))
+    parsed = rows.select(chunk, *usage.answer_fields(F.col("_row"), F.col("_answer"), F.col("_failure")))
     cost = usage.flat_cost("input_tokens", F.col("output_tokens") + F.col("thinking_tokens"))
     return parsed.select(
         F.col("key").alias("image_path"),

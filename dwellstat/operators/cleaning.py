@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from dwellstat import reference_values as rv
 from dwellstat.functions import dates, facts, history, text
+from dwellstat.operators import stages
 
 
 def drop_required(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -62,39 +63,34 @@ def clean_sales(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     One narrow pass: parsing, sale derivation and all rules happen without a shuffle.
     """
     df = drop_required(raw, rv.RAW_METADATA_COLUMNS).withColumnRenamed("area", "lot_area")
-    sale = history.first_sale(
-        history.history_values("price_history_event", "price_history_event"),
-        history.history_values("price_history_price", "price_history_price"),
-        history.history_values("price_history_date", "price_history_date"),
-    )
+    df = stages.once(df, **{f"_{p}": history.history_values(f"price_history_{p}", f"price_history_{p}") for p in ("event", "price", "date")})
+    df = stages.once(df, _sale=history.first_sale(F.col("_event"), F.col("_price"), F.col("_date"))).drop("_event", "_price", "_date")
     df = df.withColumns(
         {
             "zpid": text.listing_id("listing-link-href"),
             "address": text.first_part("address"),
             "borough": text.allowed_or("borough", rv.BOROUGHS, rv.DEFAULT_BOROUGH),
-            "area-sqft": text.lenient_double(F.col("`area-sqft`"), ","),
             "lot_area": text.lenient_double("lot_area", ",", "Lot"),
             "built_in": text.lenient_double("built_in"),
             "bedrooms": text.lenient_double("bedrooms"),
             "bathrooms": text.lenient_double("bathrooms"),
-            "facts_features": facts.facts_rows("facts_features_text"),
             "all_images": text.distinct_links("all_images"),
-            "_sale": sale,
-        }
-    ).drop("facts_features_text")
-    df = df.withColumns(
-        {
-            "_sale_missing": F.col("_sale.sold_price").isNull(),
-            "sold_price": text.lenient_double("_sale.sold_price"),
             "sold_date": F.col("_sale.sold_date"),
-            "area-sqft": plausible_sqft(),
-            "lot_area": owned_lot_area(),
         }
+    )
+    df = stages.once(
+        df,
+        _sale_missing=F.col("_sale.sold_price").isNull(),
+        sold_price=text.lenient_double("_sale.sold_price"),
+        **{"area-sqft": text.lenient_double(F.col("`area-sqft`"), ",")},
     ).drop("_sale")
+    df = df.withColumns({"area-sqft": plausible_sqft(), "lot_area": owned_lot_area()})
     df = df.withColumn("days_old", dates.age_days(dates.us_date("sold_date")))
     rules = [("sale_missing", F.col("_sale_missing")), *price_rules("sold_price", "area-sqft")]
     kept, rejected = split_rejects(tag_rejects(df, rules))
-    return kept.drop("_sale_missing"), rejected.drop("_sale_missing")
+    # HTML is read for kept rows only
+    kept = kept.withColumn("facts_features", facts.facts_rows("facts_features_text"))
+    return kept.drop("_sale_missing", "facts_features_text"), rejected.drop("_sale_missing")
 
 
 def positive_target(df: DataFrame, target: str) -> DataFrame:

@@ -211,7 +211,7 @@ def radius_counts(
             "category",
             F.col("latitude").alias("plat"),
             F.col("longitude").alias("plon"),
-            F.coalesce("valid_from", F.lit(dt.date(1, 1, 1))).alias("since"),
+            F.coalesce("valid_from", F.lit(dt.date(1000, 1, 1))).alias("since"),
             F.col("valid_to").alias("until"),
         )
         .agg(F.count(F.lit(1)).alias("weight"))

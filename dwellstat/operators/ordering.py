@@ -39,7 +39,8 @@ def text_bucket(df: DataFrame, value: str, splits: int = SPLITS, per_split: int
 
 
 def _count_cuts(df: DataFrame, cuts: Column, value: Column) -> DataFrame:
-    counted = F.size(F.filter(F.col("_cuts"), lambda c: c < value))
+    # never null, so that no null test of the cut count is pushed down to the raw rows
+    counted = F.coalesce(F.size(F.filter(F.col("_cuts"), lambda c: c < value)), F.lit(0))
     return df.withColumn("_cuts", cuts).withColumn("_bucket", counted).drop("_cuts")
 
 

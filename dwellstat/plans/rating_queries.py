@@ -126,11 +126,11 @@ def spearman_vs_model(spark, sf_dir):
 
 
 @query("disagreements_vs_model", _VS_MODEL_SQL + """
-    SELECT model, image_path, room_type, round(mean_score, 2) AS mean_score, round(reference_mean, 2) AS reference_mean, round(diff, 2) AS diff
+    SELECT model, image_path, room_type, round(mean_score, 6) AS mean_score, round(reference_mean, 6) AS reference_mean, round(diff, 6) AS diff
     FROM joined WHERE abs(diff) >= 2""")
 def disagreements_vs_model(spark, sf_dir):
     pairs = agreement.against_reference_model(means(spark, sf_dir), "m0").filter(F.abs("diff") >= 2)
-    return pairs.withColumns({c: F.round(c, 2) for c in ("mean_score", "reference_mean", "diff")})
+    return rounded(pairs, "mean_score", "reference_mean", "diff")
 
 
 @query("largest_gaps", _AGREE_SQL + f"""

@@ -65,7 +65,7 @@ def parse_responses(lines: DataFrame, line: str = "value", chunk: str = "source_
         "input_tokens",
         "output_tokens",
         "thinking_tokens",
-        F.round(cost, 6).alias("cost_usd"),
+        cost.alias("cost_usd"),
         F.col(chunk).alias("source_chunk"),
         "error",
     )

@@ -58,25 +58,29 @@ _RESULT_SQL = """
         CASE WHEN NOT ok THEN NULL WHEN event_type = 'view' THEN 'bathroom' WHEN event_type = 'error' THEN 'other' ELSE 'kitchen' END AS room_type FROM f)"""
 _RESULT_COLUMNS = """key AS image_path, CASE WHEN junk THEN '' ELSE CAST(user_id AS VARCHAR) END AS zpid, (NOT junk AND i % 10 = 0)::INT AS is_hero, room_type,
         CASE WHEN ok AND room_type = 'other' THEN 'hall' ELSE '' END AS other_label, CASE WHEN ok THEN 'v-1' ELSE '' END AS response_model,
-        input_tokens, output_tokens, thinking_tokens, round((input_tokens * 1.5::DOUBLE + (output_tokens + thinking_tokens) * 9.0::DOUBLE) / 1000000 * 0.5, 6) AS cost_usd,
+        input_tokens, output_tokens, thinking_tokens, round((input_tokens * 1.5::DOUBLE + (output_tokens + thinking_tokens) * 9.0::DOUBLE) / 1000000 * 0.5, 9) AS cost_usd,
         'chunk_' || i % 7 AS source_chunk"""
 
 
 @query("parse_responses", _RESULT_SQL + f"""
     SELECT {_RESULT_COLUMNS}, CASE WHEN ok THEN '' WHEN failed THEN '{{"code":500}}' ELSE 'no response' END AS error FROM r""")
 def parse_responses(spark, sf_dir):
-    return batches.parse_responses(result_lines(spark, sf_dir))
+    return _parsed(spark, sf_dir)
+
+
+def _parsed(spark, sf_dir):
+    return batches.parse_responses(result_lines(spark, sf_dir)).withColumn("cost_usd", F.round("cost_usd", 9))
 
 
 @query("batch_summary", _RESULT_SQL + f"""
     SELECT 'chunk_' || i % 7 AS source_chunk, count(*) FILTER (ok) AS classified, count(*) FILTER (NOT ok) AS errors,
         round(avg(input_tokens) FILTER (ok), {R}) AS input_per_image, round(avg(output_tokens) FILTER (ok), {R}) AS output_per_image,
         round(avg(thinking_tokens) FILTER (ok), {R}) AS thinking_per_image,
-        round(sum(round((input_tokens * 1.5::DOUBLE + (output_tokens + thinking_tokens) * 9.0::DOUBLE) / 1000000 * 0.5, 6)) FILTER (ok), 6) AS cost_usd
+        round(sum((input_tokens * 1.5::DOUBLE + (output_tokens + thinking_tokens) * 9.0::DOUBLE) / 1000000 * 0.5) FILTER (ok), 9) AS cost_usd
     FROM r GROUP BY i % 7""")
 def batch_summary(spark, sf_dir):
     out = summaries.batch_summary(batches.parse_responses(result_lines(spark, sf_dir)), ["source_chunk"])
-    return out.withColumns({c: F.round(c, R) for c in ("input_per_image", "output_per_image", "thinking_per_image", "cost_usd")})
+    return out.withColumns({c: F.round(c, R) for c in ("input_per_image", "output_per_image", "thinking_per_image")}).withColumn("cost_usd", F.round("cost_usd", 9))
 
 
 @query("label_distribution", _RESULT_SQL + " SELECT room_type, count(*) AS n FROM r GROUP BY room_type")
@@ -217,7 +221,7 @@ def stream_collect(spark, sf_dir):
     stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 3).parquet(source)
     logs.collect_results(stream, log, state).awaitTermination()
     columns = batches.parse_responses(lines).drop("error")
-    return logs.read_log(spark, log, columns.schema).drop("batch_id")
+    return logs.read_log(spark, log, columns.schema).drop("batch_id").withColumn("cost_usd", F.round("cost_usd", 9))
 
 
 @query("stream_ratings", with_views("ratings") + " SELECT rater, image_path, score, timestamp FROM ratings")

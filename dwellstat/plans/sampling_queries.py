@@ -42,7 +42,7 @@ def quantile_bins(spark, sf_dir):
 
 @query("bin_edges", """
     SELECT unnest([0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]::DOUBLE[]) AS prob,
-        unnest(list_transform(quantile_cont(o_totalprice, [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]), x -> round(x, 4))) AS edge FROM orders""")
+        unnest(list_transform(quantile_cont(o_totalprice, [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]), lambda x: round(x, 4))) AS edge FROM orders""")
 def bin_edges(spark, sf_dir):
     from dwellstat.operators import ordering
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +25,8 @@ def append_pending(spark: SparkSession, rows: DataFrame, path: str, keys: Sequen
     """Appends the rows whose keys the log does not hold yet; running it again changes nothing."""
     try:
         done = spark.read.schema(rows.schema).parquet(path)
-    except Exception as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         rows.dropDuplicates(list(keys)).write.parquet(path)
         return

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from dwellstat.operators import batches, joins, ordering, summaries
@@ -19,7 +21,7 @@ def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
-def _earlier(spark: SparkSession, path: str, batch_id: int, schema) -> DataFrame | None:
+def _earlier(spark: SparkSession, path: str, batch_id: int, schema: T.StructType) -> DataFrame | None:
     """What earlier batches wrote; the current batch's own leftovers do not count."""
     if batch_id == 0:
         return None
@@ -27,12 +29,13 @@ def _earlier(spark: SparkSession, path: str, batch_id: int, schema) -> DataFrame
     return None if log is None else log.filter(F.col("batch_id") < batch_id)
 
 
-def read_log(spark: SparkSession, path: str, schema) -> DataFrame | None:
+def read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
     """All batches of a log with their ``batch_id``; None before the first was written."""
+    fields = [f for f in schema.fields if f.name != "batch_id"]
     try:
-        return spark.read.schema(schema.add("batch_id", "int") if "batch_id" not in schema.names else schema).parquet(path)
-    except Exception as missing:
-        if "PATH_NOT_FOUND" in str(missing):
+        return spark.read.schema(T.StructType([*fields, T.StructField("batch_id", T.IntegerType())])).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
 
@@ -47,7 +50,7 @@ def collect_results(lines: DataFrame, log_path: str, checkpoint: str, key: str =
     def store(batch: DataFrame, batch_id: int) -> None:
         rows = batches.parse_responses(batch).filter(F.col("error") == "").drop("error")
         single = ordering.keep_first(rows, [key], [F.col("source_chunk"), F.to_json(F.struct(*rows.columns))])
-        earlier = _earlier(batch.sparkSession, log_path, batch_id, type(rows.schema)(list(rows.schema)))
+        earlier = _earlier(batch.sparkSession, log_path, batch_id, rows.schema)
         fresh = single if earlier is None else joins.exclude(single, earlier, [key])
         _write_batch(fresh, log_path, batch_id)
 

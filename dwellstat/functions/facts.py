@@ -6,14 +6,19 @@ place where a tag-level reader runs inside Arrow batches; everything after it is
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 FACT_ROWS = "array<struct<category:string,subsection:string,label:string,value:string>>"
+# executors get the reader with the task, so it works without this package installed on them
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 

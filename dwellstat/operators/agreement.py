@@ -113,10 +113,9 @@ def rater_summary(ratings: DataFrame, pairs: DataFrame, rater: str = "rater", it
     means = both.groupBy(rater).agg(F.avg("rho").alias("mean_rho_vs_others"))
     rated = ratings.groupBy(rater).agg(F.count_distinct(item).alias("n_rated"))
     table = rated.join(means, rater, "left")
-    grand = table.agg(F.avg("mean_rho_vs_others")).scalar()
-    spread = table.agg(F.stddev_samp("mean_rho_vs_others")).scalar()
-    below = grand - F.col("mean_rho_vs_others")
-    far = (below > 0.2) | ((spread > 0) & (below > 2 * spread))
+    overall = means.agg(F.struct(F.avg("mean_rho_vs_others").alias("mean"), F.stddev_samp("mean_rho_vs_others").alias("sd"))).scalar()
+    below = overall["mean"] - F.col("mean_rho_vs_others")
+    far = (below > 0.2) | ((overall["sd"] > 0) & (below > 2 * overall["sd"]))
     return table.select(rater, "n_rated", "mean_rho_vs_others", F.coalesce(far, F.lit(False)).alias("outlier"))
 
 

@@ -133,6 +133,13 @@ def haversine_m(lat1, lon1, lat2, lon2) -> Column:
     return F.lit(2 * EARTH_RADIUS_M) * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
 
 
+def _unit_vector(lat: Column, lon: Column, prefix: str) -> dict[str, Column]:
+    """Position on the unit sphere. Between two of them a distance test is three products, where
+    the angular formula would take sines and cosines for every compared pair."""
+    north, east = F.radians(lat), F.radians(lon)
+    return {f"{prefix}x": F.cos(north) * F.cos(east), f"{prefix}y": F.cos(north) * F.sin(east), f"{prefix}z": F.sin(north)}
+
+
 class _Grid:
     """Latitude/longitude cells half a radius high, so that a cell always fits in a circle around
     any point of it, and full-circle counts come from sums instead of pairs."""
@@ -217,7 +224,7 @@ def radius_counts(
         .agg(F.count(F.lit(1)).alias("weight"))
         .withColumns({"_y": grid.row(F.col("plat")), "_x": grid.wrapped(grid.column(F.col("plon")))})
     )
-    whole = _inside_counts(around.filter("inside").drop("inside"), places)
+    whole = _inside_counts(around.filter("inside").drop("inside"), places, spots)
     cut = _border_counts(around.filter("not inside").drop("inside"), places, radius_m, rows_per_salt)
     sums = [F.coalesce(F.sum(F.when(F.col("category") == c, F.col("n"))), F.lit(0)).alias(c) for c in categories]
     counted = whole.unionByName(cut).groupBy("lat", "lon", "snap").agg(*sums)
@@ -227,20 +234,26 @@ def radius_counts(
     )
 
 
-def _inside_counts(around: DataFrame, places: DataFrame) -> DataFrame:
+def _inside_counts(around: DataFrame, places: DataFrame, spots: DataFrame) -> DataFrame:
     """Counts of whole cells: per cell and category, how many places started and ended by when.
 
-    The list per cell and category has at most one entry per calendar day.
+    Starts and ends count from the first snapshot on or after them, so the list per cell and
+    category is as long as there are snapshot dates (months), not as there are places.
     """
+    snapshots = spots.select("snap").distinct().agg(F.array_sort(F.collect_list("snap"))).scalar()
     changes = places.select("_y", "_x", "category", F.col("since").alias("day"), F.col("weight").alias("change")).unionByName(
         places.filter("until is not null").select(
             "_y", "_x", "category", F.col("until").alias("day"), (-F.col("weight")).alias("change")
         )
     )
     daily = changes.groupBy("_y", "_x", "category", "day").agg(F.sum("change").alias("change"))
-    cells = daily.groupBy("_y", "_x", "category").agg(F.collect_list(F.struct("day", "change")).alias("days"))
+    effective = F.get(F.filter("_snapshots", lambda s: s >= F.col("day")), 0)
+    dated = daily.withColumn("_snapshots", snapshots).withColumn("snap_from", effective).drop("_snapshots", "day")
+    by_snapshot = dated.filter("snap_from is not null").groupBy("_y", "_x", "category", "snap_from").agg(F.sum("change").alias("change"))
+    cells = by_snapshot.groupBy("_y", "_x", "category").agg(F.collect_list(F.struct("snap_from", "change")).alias("changes"))
     by_then = F.aggregate(
-        "days", F.lit(0).cast("bigint"), lambda acc, d: acc + F.when(d["day"] <= F.col("snap"), d["change"]).otherwise(F.lit(0))
+        "changes", F.lit(0).cast("bigint"),
+        lambda acc, d: acc + F.when(d["snap_from"] <= F.col("snap"), d["change"]).otherwise(F.lit(0)),
     )
     return (
         around.join(cells, ["_y", "_x"])
@@ -254,13 +267,19 @@ def _border_counts(around: DataFrame, places: DataFrame, radius_m: float, rows_p
     """Counts of cells the circle cuts, place by place; a crowded cell is spread over salts."""
     sizes = places.groupBy("_y", "_x").agg(F.ceil(F.count(F.lit(1)) / F.lit(rows_per_salt)).alias("_salts"))
     spread = F.pmod(F.xxhash64("category", "plat", "plon", "since", "until"), F.col("_salts"))
-    salted_places = places.join(sizes, ["_y", "_x"]).withColumn("_salt", spread).drop("_salts")
+    salted_places = (
+        places.join(sizes, ["_y", "_x"])
+        .withColumns({"_salt": spread, **_unit_vector(F.col("plat"), F.col("plon"), "p")})
+        .drop("_salts", "plat", "plon")
+    )
     salted_spots = (
         around.join(sizes, ["_y", "_x"])
+        .withColumns(_unit_vector(F.col("lat"), F.col("lon"), "s"))
         .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_salts") - 1)))
         .drop("_salts")
     )
-    near = haversine_m(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon")) <= radius_m
+    chord = sum(((F.col(f"s{axis}") - F.col(f"p{axis}")) * (F.col(f"s{axis}") - F.col(f"p{axis}")) for axis in "xyz"), F.lit(0.0))
+    near = chord <= (2 * math.sin(radius_m / (2 * EARTH_RADIUS_M))) ** 2
     alive = (F.col("since") <= F.col("snap")) & (F.col("until").isNull() | (F.col("snap") < F.col("until")))
     return (
         salted_spots.join(salted_places, ["_y", "_x", "_salt"])

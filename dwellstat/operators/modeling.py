@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dwellstat.operators import ordering, sampling
+from dwellstat.session import use_checkpoints
 
 
 @dataclass(frozen=True)
@@ -171,17 +172,19 @@ def metric_summary(folds: DataFrame, by: Sequence[str] = ("learner", "part")) ->
 def blends(predictions: DataFrame, learners: Sequence[str], key: str) -> DataFrame:
     """Equal-weight means of every non-empty set of learners; the set's name becomes ``learner``.
 
-    Membership is a literal array per learner, so a blend is one explode and one aggregate.
+    Learners are put side by side first, so every blend is arithmetic within the row. A row some
+    member of a set has no prediction for is left out of that blend.
     """
-    sets = [c for size in range(1, len(learners) + 1) for c in itertools.combinations(learners, size)]
-    memberships = F.create_map(
-        *[v for name in learners
-          for v in (F.lit(name), F.array(*[F.lit(" + ".join(s)) for s in sets if name in s]))]
+    sets = [c for size in range(1, len(learners) + 1) for c in itertools.combinations(range(len(learners)), size)]
+    wide = predictions.groupBy("fold", "part", key).agg(
+        *[F.max(F.when(F.col("learner") == n, F.col("pred_log"))).alias(f"p{i}") for i, n in enumerate(learners)],
+        F.first("y_log").alias("y_log"), F.first("price").alias("price"),
     )
-    exploded = predictions.withColumn("blend", F.explode(F.try_element_at(memberships, F.col("learner"))))
-    return exploded.groupBy(F.col("blend").alias("learner"), "fold", "part", key).agg(
-        F.avg("pred_log").alias("pred_log"), F.first("y_log").alias("y_log"), F.first("price").alias("price")
+    mixed = F.array(
+        *[F.struct(F.lit(" + ".join(learners[i] for i in s)).alias("learner"),
+                   (sum(F.col(f"p{i}") for i in s) / len(s)).alias("pred_log")) for s in sets]
     )
+    return wide.select("fold", "part", key, "y_log", "price", F.inline(mixed)).filter(F.col("pred_log").isNotNull())
 
 
 def residual_correlation(predictions: DataFrame, learners: Sequence[str], key: str) -> DataFrame:
@@ -284,10 +287,20 @@ def permutation_importance(data: DataFrame, fits: Sequence[Fit], spec: FeatureSp
     )
 
 
+def _training_table(df: DataFrame, spec: FeatureSpec, key: str, target: str, folds: int) -> DataFrame:
+    """Prepared rows with folds, written once to the checkpoint folder.
+
+    Every fit and prediction starts from that copy, so a lost executor costs a re-read instead of
+    the enrichment joins.
+    """
+    use_checkpoints(df.sparkSession)
+    return sampling.kfold(prepared(df, spec, key, target), key, folds).checkpoint()
+
+
 def cross_validate(df: DataFrame, spec: FeatureSpec, key: str, target: str, learners: dict[str, Learner],
                    folds: int = 5, seeds: Sequence[int] = tuple(range(42, 47)), train_too: bool = False):
     """(prepared data with folds, fits, seed-averaged predictions)."""
-    data = sampling.kfold(prepared(df, spec, key, target), key, folds)
+    data = _training_table(df, spec, key, target, folds)
     fits = fit_folds(data, spec, learners, folds, seeds)
     return data, fits, seed_average(predict_folds(data, fits, key, train_too), key)
 
@@ -304,7 +317,7 @@ def ablation(df: DataFrame, spec: FeatureSpec, key: str, target: str, learner: L
              seeds: Sequence[int] = (42,)) -> DataFrame:
     """Metrics with all features and without each feature group, on the same folds."""
     variants = {"all": spec, **{f"without {g}": spec.without(*cols) for g, cols in spec.groups.items()}}
-    data = sampling.kfold(prepared(df, spec, key, target), key, folds)
+    data = _training_table(df, spec, key, target, folds)
     tables = [
         seed_average(predict_folds(data, fit_folds(data, variant, {name: learner}, folds, seeds), key), key)
         for name, variant in variants.items()

@@ -18,30 +18,57 @@ from dwellstat.functions import seeded
 
 # row_number limits up to this size are pruned before the shuffle by the optimizer
 GROUP_LIMIT = 1000
-SPLITS = 64
+# cuts compared one by one in a row; more cuts are searched in blocks of this size
+CUT_BLOCK = 32
+MAX_SPLITS = 1024
 
 
-def value_bucket(df: DataFrame, value: str, splits: int = SPLITS) -> DataFrame:
+def order_splits(df: DataFrame) -> int:
+    """Buckets to cut an order into: as many as the session uses shuffle partitions, within limits."""
+    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(MAX_SPLITS, max(8, wanted))
+
+
+def value_bucket(df: DataFrame, value: str, splits: int | None = None) -> DataFrame:
     """Adds ``_bucket``: the number of approximate quantile cuts below the value."""
+    splits = splits or order_splits(df)
     cuts = df.agg(
-        F.percentile_approx(value, F.array(*[F.lit(i / splits) for i in range(1, splits)]), 2000)
+        F.percentile_approx(value, F.array(*[F.lit(i / splits) for i in range(1, splits)]), max(2000, 4 * splits))
     ).scalar()
-    return _count_cuts(df, cuts, F.col(value))
+    return with_cuts_below(df, "_bucket", cuts, splits - 1, value)
 
 
-def text_bucket(df: DataFrame, value: str, splits: int = SPLITS, per_split: int = 32) -> DataFrame:
+def text_bucket(df: DataFrame, value: str, splits: int | None = None, per_split: int = 32) -> DataFrame:
     """Adds ``_bucket`` for text: cuts come from a fixed-size sample of the smallest digests."""
+    splits = splits or order_splits(df)
     sample = df.select(value).orderBy(F.md5(F.col(value)), value).limit(splits * per_split)
     cuts = sample.agg(
         F.filter(F.array_sort(F.collect_set(value)), lambda v, i: i % per_split == per_split - 1)
     ).scalar()
-    return _count_cuts(df, cuts, F.col(value))
+    return with_cuts_below(df, "_bucket", cuts, splits, value)
 
 
-def _count_cuts(df: DataFrame, cuts: Column, value: Column) -> DataFrame:
-    # never null, so that no null test of the cut count is pushed down to the raw rows
-    counted = F.coalesce(F.size(F.filter(F.col("_cuts"), lambda c: c < value)), F.lit(0))
-    return df.withColumn("_cuts", cuts).withColumn("_bucket", counted).drop("_cuts")
+def with_cuts_below(df: DataFrame, name: str, cuts: Column, most: int, value: str) -> DataFrame:
+    """Adds how many of the sorted cuts (``most`` at the utmost) are below the value.
+
+    A balanced CASE finds the block of cuts, a scan of that one block the place in it. A cut past
+    the end of the array reads as null and counts as not below. The cuts are a column of their own
+    first, so that the subquery behind them is planned and run once.
+    """
+    block = 1 if most <= CUT_BLOCK else CUT_BLOCK
+
+    def search(lo: int, hi: int) -> Column:
+        """Blocks whose last cut is below the value."""
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.get("_cuts", mid * block + block - 1) < F.col(value), search(mid + 1, hi)).otherwise(search(lo, mid))
+
+    staged = df.withColumn("_cuts", cuts).withColumn(name, search(0, most // block) * block)
+    if block > 1:
+        rest = F.filter(F.slice("_cuts", F.col(name) + 1, F.lit(block)), lambda c: c < F.col(value))
+        staged = staged.withColumn(name, F.col(name) + F.coalesce(F.size(rest), F.lit(0)))
+    return staged.drop("_cuts")
 
 
 def digest_bucket(df: DataFrame, key: str, digits: int = 3) -> DataFrame:

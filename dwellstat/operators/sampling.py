@@ -31,10 +31,10 @@ def quantile_bins(df: DataFrame, value: str, bins: int, name: str = "bin") -> Da
     Binning the logarithm is up to the caller (edges are interpolated on the scale passed in).
     """
     edges = bin_edges(df, value, bins).agg(F.array_sort(F.collect_set("quantile"))).scalar()
-    staged = df.withColumn("_edges", edges)
-    inner = F.slice("_edges", F.lit(2), F.greatest(F.size("_edges") - 2, F.lit(0)))
-    below = F.size(F.filter(inner, lambda e: e < F.col(value)))
-    return staged.withColumn(name, F.when(F.col(value).isNotNull(), (below + 1).cast("bigint"))).drop("_edges")
+    counted = ordering.with_cuts_below(df, "_below", edges, bins + 1, value)
+    # the lowest edge is below every value but the lowest, the highest is below none
+    number = F.greatest("_below", F.lit(1)).cast("bigint")
+    return counted.withColumn(name, F.when(F.col(value).isNotNull(), number)).drop("_below")
 
 
 def end_bins(bins: int) -> set[int]:

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from dwellstat import reference_values as rv
-from dwellstat.operators import batches, sampling, summaries
+from dwellstat.operators import batches, sampling, stages, summaries
 from dwellstat.plans import views
 from dwellstat.plans.registry import query, table
 from dwellstat.plans.views import with_views
@@ -25,13 +25,13 @@ PROMPT = "Classify the room shown in the photo."
         || '"enum":["kitchen","bathroom","bedroom","living_room","floorplan","other"]},"other_label":{"type":"string","nullable":true}},"required":["room_type","other_label"]}}}}' AS line
     FROM photos""")
 def request_lines(spark, sf_dir):
-    lines = batches.request_lines(views.photos(spark, sf_dir), "image_path", PROMPT, "MEDIA_RESOLUTION_LOW", rv.PHOTO_LABELS)
+    lines = batches.request_lines(stages.widen(views.photos(spark, sf_dir)), "image_path", PROMPT, "MEDIA_RESOLUTION_LOW", rv.PHOTO_LABELS)
     return lines.select("image_path", "line")
 
 
 def result_lines(spark, sf_dir):
     """Result lines as a remote batch would return them: answers in two text parts, some errors, some junk."""
-    e = table(spark, sf_dir, "events")
+    e = stages.widen(table(spark, sf_dir, "events"))
     i, k = F.col("event_id"), F.get_json_object("props", "$.k").try_cast("bigint")
     key = F.concat(F.lit("images/"), F.col("user_id").cast("string"), F.lit("/"), i.cast("string"), F.when(i % 10 == 0, "_hero.jpg").otherwise(".jpg"))
     label = F.when(F.col("event_type") == "view", "bathroom").when(F.col("event_type") == "error", "other").otherwise("kitchen")

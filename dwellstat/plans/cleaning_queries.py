@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from dwellstat.functions import checks, dates, facts, history, text
-from dwellstat.operators import cleaning, enrich, joins, ordering, photos, summaries
+from dwellstat.operators import cleaning, enrich, joins, ordering, photos, stages, summaries
 from dwellstat.plans import views
 from dwellstat.plans.registry import query, table
 from dwellstat.plans.views import with_views
@@ -79,7 +79,7 @@ def url_tokens(spark, sf_dir):
     best AS (SELECT listing, k, arg_min(url, (-size, pos)) AS url, min(pos) AS first_pos FROM keyed GROUP BY listing, k)
     SELECT listing, row_number() OVER (PARTITION BY listing ORDER BY first_pos) - 1 AS img_index, k AS photo_hash, url FROM best""")
 def photo_variants(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem")
+    li = stages.widen(table(spark, sf_dir, "lineitem"))
     listing = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
 
     def digest(c):
@@ -105,7 +105,7 @@ LINK_CELL_SQL = """
 
 
 def _link_cells(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem")
+    li = stages.widen(table(spark, sf_dir, "lineitem"))
     key = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
 
     def link(c):
@@ -157,7 +157,7 @@ _RAW_SALE_SQL = """
 
 @query("sale_from_history", _RAW_SALE_SQL + " SELECT k AS row_key, sold_price_text AS sold_price, sold_date FROM sale")
 def sale_from_history(spark, sf_dir):
-    raw = views.raw_sales(spark, sf_dir)
+    raw = stages.widen(views.raw_sales(spark, sf_dir))
     sale = history.first_sale(*[history.history_values(f"price_history_{p}", f"price_history_{p}") for p in ("event", "price", "date")])
     return raw.select("row_key", sale.alias("s")).select("row_key", "s.*")
 
@@ -181,7 +181,7 @@ _CLEAN_SQL = _RAW_SALE_SQL + """,
         CAST(2 AS INT) AS fact_rows, k % 6 || '' AS bedroom_fact, 'Status ' || o_orderstatus AS bare_fact
     FROM tagged WHERE reject_reason IS NULL""")
 def clean_sales(spark, sf_dir):
-    kept, _ = cleaning.clean_sales(views.raw_sales(spark, sf_dir))
+    kept, _ = cleaning.clean_sales(stages.widen(views.raw_sales(spark, sf_dir)))
     facts_by_label = F.map_from_entries(F.transform("facts_features", lambda r: F.struct(r["label"], r["value"])))
     return kept.select(
         "row_key", "zpid", "address", "borough", "type", "area-sqft", "lot_area", "built_in", "bathrooms", "sold_price", "sold_date",
@@ -193,7 +193,7 @@ def clean_sales(spark, sf_dir):
 @query("reject_split", _CLEAN_SQL + """
     SELECT reject_reason, count(*) AS n, min(k) AS first_row FROM tagged GROUP BY reject_reason""")
 def reject_split(spark, sf_dir):
-    kept, rejected = cleaning.clean_sales(views.raw_sales(spark, sf_dir))
+    kept, rejected = cleaning.clean_sales(stages.widen(views.raw_sales(spark, sf_dir)))
     both = kept.select(F.lit(None).cast("string").alias("reject_reason"), "row_key").unionByName(rejected.select("reject_reason", "row_key"))
     return both.groupBy("reject_reason").agg(F.count(F.lit(1)).alias("n"), F.min("row_key").alias("first_row"))
 
@@ -304,7 +304,7 @@ def zip_urls(spark, sf_dir):
     UNION ALL SELECT c_custkey, c_mktsegment, 'Money & more', '_bare', 'no label ' || c_name FROM x
     UNION ALL SELECT c_custkey, '_uncategorised', '_general', '_bare', 'plain' FROM x WHERE c_custkey % 2 = 0""")
 def facts_html(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
+    c = stages.widen(table(spark, sf_dir, "customer"))
     html = F.concat(
         F.lit('<div><div data-testid="category-group"><h3> '), "c_mktsegment", F.lit(" </h3><ul><li>Nation: "),
         F.col("c_nationkey").cast("string"), F.lit(":x</li></ul><h6>Money &amp; more</h6><li>Balance: 0</li><li>Balance: <b>"),

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from dwellstat.operators import modeling, sampling
 from dwellstat.plans.registry import query, table
-from dwellstat.session import use_checkpoints
 
 R = 6
 LEARNERS = ("a", "b", "c")
@@ -96,7 +95,6 @@ SPEC = modeling.FeatureSpec(
 
 def model_rows(spark, sf_dir):
     """Orders with line totals and buyer fields as a price table; some values are missing."""
-    use_checkpoints(spark)
     li = table(spark, sf_dir, "lineitem")
     lines = li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
         F.sum("l_quantity").alias("quantity"), F.count(F.lit(1)).alias("lines"), F.avg("l_discount").alias("discount"))

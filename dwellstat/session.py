@@ -20,10 +20,11 @@ def build_session(app_name: str = "dwellstat", master: str | None = None) -> Spa
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     if master:
-        # local test runs: few cores, so few shuffle partitions
+        # local runs on small tables: few cores and small partitions, so that work still spreads
         builder = (
             builder.master(master)
             .config("spark.sql.shuffle.partitions", "8")
+            .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
             .config("spark.ui.enabled", "false")
             .config("spark.ui.showConsoleProgress", "false")
         )

@@ -67,8 +67,13 @@ def url_tokens(spark, sf_dir):
     return links.groupBy("page_id", "link").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _line_key():
+    parts = [F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
+    return F.concat_ws("-", *parts, F.date_format("l_shipdate", "yyyyMMdd"))
+
+
 @query("photo_variants", """
-    WITH v AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS listing, l_partkey AS p, l_suppkey AS s, l_linenumber AS n FROM lineitem),
+    WITH v AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || strftime(l_shipdate, '%Y%m%d') AS listing, l_partkey AS p, l_suppkey AS s, l_linenumber AS n FROM lineitem),
     urls AS (SELECT listing, unnest([0, 1, 2, 3]) AS pos, unnest([
         'http://x/fp/' || md5('a' || p % 3) || '-cc_ft_' || 100 * n || '.jpg',
         'http://x/fp/' || md5('a' || s % 3) || '-uncropped_scaled_within_1_' || 100 * (s % 7) || '.webp',
@@ -80,7 +85,7 @@ def url_tokens(spark, sf_dir):
     SELECT listing, row_number() OVER (PARTITION BY listing ORDER BY first_pos) - 1 AS img_index, k AS photo_hash, url FROM best""")
 def photo_variants(spark, sf_dir):
     li = stages.widen(table(spark, sf_dir, "lineitem"))
-    listing = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
+    listing = _line_key()
 
     def digest(c):
         return F.md5(F.concat(F.lit("a"), (F.col(c) % 3).cast("string")))
@@ -97,7 +102,7 @@ def photo_variants(spark, sf_dir):
 
 
 LINK_CELL_SQL = """
-    WITH cells AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS zpid,
+    WITH cells AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || strftime(l_shipdate, '%Y%m%d') AS zpid,
         'http://p/' || l_linenumber % 3 || '.jpg' AS hero,
         ['http://p/' || l_partkey % 3 || '.jpg', 'http://p/' || l_suppkey % 3 || '.jpg', '', 'http://p/' || l_linenumber % 3 || '.jpg',
          'http://p/' || l_partkey % 3 || '.jpg'] AS links FROM lineitem),
@@ -106,7 +111,7 @@ LINK_CELL_SQL = """
 
 def _link_cells(spark, sf_dir):
     li = stages.widen(table(spark, sf_dir, "lineitem"))
-    key = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
+    key = _line_key()
 
     def link(c):
         return F.concat(F.lit("http://p/"), (F.col(c) % 3).cast("string"), F.lit(".jpg"))

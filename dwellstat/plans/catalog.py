@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dwellstat.plans import batch_queries, cleaning_queries, model_queries, rating_queries, sampling_queries  # noqa: F401
+from dwellstat.plans import batch_queries, cleaning_queries, flow_queries, model_queries, rating_queries, sampling_queries  # noqa: F401
 from dwellstat.plans.registry import ORACLES, QUERIES, Query
 
 

@@ -6,8 +6,9 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from dwellstat import reference_values as rv
 from dwellstat.functions import checks, dates, facts, history, text
-from dwellstat.operators import cleaning, enrich, joins, ordering, photos, stages, summaries
+from dwellstat.operators import agreement, cleaning, enrich, joins, ordering, photos, stages, summaries
 from dwellstat.plans import views
 from dwellstat.plans.registry import query, table
 from dwellstat.plans.views import with_views
@@ -374,9 +375,6 @@ def contract_check(spark, sf_dir):
         UNION ALL SELECT event_id, 'score_not_a_level' FROM scores WHERE room_type = 'living_room' AND score <> floor(score))
     SELECT rule, count(*) AS n FROM v GROUP BY rule""")
 def level_contract(spark, sf_dir):
-    from dwellstat import reference_values as rv
-    from dwellstat.operators import agreement
-
     rules = checks.level_violations("score", "level", "room_type", "room_type_judgment", agreement.top_level_of(), rv.SCORED_ROOMS)
     return summaries.frequency(views.scores(spark, sf_dir).select(F.explode(rules).alias("rule")), "rule")
 
@@ -519,8 +517,6 @@ def tag_counts(spark, sf_dir):
     FROM n, (VALUES ('fast_food', 'amenity=fast_food'), ('transit', 'railway=station or railway=subway_entrance or public_transport=station')) c(category, filter)
     GROUP BY month, chunk, category, filter""")
 def circle_requests(spark, sf_dir):
-    from dwellstat import reference_values as rv
-
     chosen = {c: rv.POI_CATEGORIES[c] for c in ("fast_food", "transit")}
     requests = enrich.circle_requests(views.homes(spark, sf_dir), views.POI_LATEST, chosen, rows_per_request=100)
     circles = F.transform(F.split("bcircles", r"\|"), lambda c: F.split_part(c, F.lit(":"), F.lit(1)).cast("bigint"))

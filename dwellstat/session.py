@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "dwellstat", master: str | None = None) -> SparkSession:
@@ -54,3 +54,14 @@ def use_checkpoints(spark: SparkSession) -> None:
     """Give the context a reliable checkpoint folder when the launcher set none."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """The rows written once to the shared folder and read back.
+
+    For results several later branches read: a lost executor costs a re-read instead of the whole
+    lineage, and every branch still scans only its own columns.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

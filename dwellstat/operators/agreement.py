@@ -114,9 +114,9 @@ def rater_summary(ratings: DataFrame, pairs: DataFrame, rater: str = "rater", it
     rated = ratings.groupBy(rater).agg(F.count_distinct(item).alias("n_rated"))
     table = rated.join(means, rater, "left")
     overall = means.agg(F.struct(F.avg("mean_rho_vs_others").alias("mean"), F.stddev_samp("mean_rho_vs_others").alias("sd"))).scalar()
-    below = overall["mean"] - F.col("mean_rho_vs_others")
-    far = (below > 0.2) | ((overall["sd"] > 0) & (below > 2 * overall["sd"]))
-    return table.select(rater, "n_rated", "mean_rho_vs_others", F.coalesce(far, F.lit(False)).alias("outlier"))
+    below = F.col("_overall.mean") - F.col("mean_rho_vs_others")
+    far = (below > 0.2) | ((F.col("_overall.sd") > 0) & (below > 2 * F.col("_overall.sd")))
+    return table.withColumn("_overall", overall).select(rater, "n_rated", "mean_rho_vs_others", F.coalesce(far, F.lit(False)).alias("outlier"))
 
 
 def agreement_ceiling(pairs: DataFrame) -> DataFrame:

@@ -329,8 +329,9 @@ def ablation(df: DataFrame, spec: FeatureSpec, key: str, target: str, learner: L
 
 
 def _against_baseline(summary: DataFrame, baseline: str) -> DataFrame:
-    base = summary.filter(F.col("learner") == baseline).agg(F.max("median_pct_mean")).scalar()
-    base_rmse = summary.filter(F.col("learner") == baseline).agg(F.max("log_rmse_mean")).scalar()
-    return summary.withColumns(
-        {"d_median_pct": F.col("median_pct_mean") - base, "d_log_rmse": F.col("log_rmse_mean") - base_rmse}
-    )
+    base = summary.filter(F.col("learner") == baseline).agg(
+        F.struct(F.max("median_pct_mean").alias("pct"), F.max("log_rmse_mean").alias("rmse"))
+    ).scalar()
+    return summary.withColumn("_base", base).withColumns(
+        {"d_median_pct": F.col("median_pct_mean") - F.col("_base.pct"), "d_log_rmse": F.col("log_rmse_mean") - F.col("_base.rmse")}
+    ).drop("_base")

@@ -32,7 +32,7 @@ def rating_progress(ratings: DataFrame, subset: DataFrame, rater: str = "rater",
     """Items rated per rater and whether the whole subset is done."""
     size = subset.agg(F.count_distinct(item)).scalar()
     table = ratings.groupBy(rater).agg(F.count_distinct(item).alias("n_rated"))
-    return table.withColumns({"subset_size": size, "complete": F.col("n_rated") == size})
+    return table.withColumn("subset_size", size).withColumn("complete", F.col("n_rated") == F.col("subset_size"))
 
 
 def keys_per_label(df: DataFrame, label: str, key: str, labels: Sequence[str]) -> DataFrame:

@@ -423,7 +423,10 @@ def natural_order(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     name = F.when(F.col("p_partkey") % 10 == 0, "a/1/stem.jpg").otherwise(F.concat(F.lit("a/1/kitchen"), F.col("p_size").cast("string"), F.lit(".jpg")))
     keyed = p.select("p_partkey", text.natural_number(name).alias("_n"), text.file_stem(name).alias("_stem"))
-    numbered = ordering.row_numbers(ordering.value_bucket(keyed, "_n"), ["_n", "_stem", "p_partkey"], name="place")
+    # one sortable text per row, so that equal numbers can be cut into buckets as well
+    number = F.when(F.col("_n") == float("inf"), "~").otherwise(F.lpad(F.col("_n").cast("bigint").cast("string"), 19, "0"))
+    keyed = keyed.withColumn("_sort", F.concat_ws("|", number, "_stem", F.lpad(F.col("p_partkey").cast("string"), 19, "0")))
+    numbered = ordering.row_numbers(ordering.text_bucket(keyed, "_sort"), ["_sort"], name="place")
     return numbered.select("p_partkey", F.when(F.col("_n") != float("inf"), F.col("_n")).alias("number"), "place")
 
 

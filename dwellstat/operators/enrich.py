@@ -241,11 +241,11 @@ def _inside_counts(around: DataFrame, places: DataFrame, spots: DataFrame) -> Da
     category is as long as there are snapshot dates (months), not as there are places.
     """
     snapshots = spots.select("snap").distinct().agg(F.array_sort(F.collect_list("snap"))).scalar()
-    changes = places.select("_y", "_x", "category", F.col("since").alias("day"), F.col("weight").alias("change")).unionByName(
-        places.filter("until is not null").select(
-            "_y", "_x", "category", F.col("until").alias("day"), (-F.col("weight")).alias("change")
-        )
+    both_ends = F.array(
+        F.struct(F.col("since").alias("day"), F.col("weight").alias("change")),
+        F.struct(F.col("until").alias("day"), (-F.col("weight")).alias("change")),
     )
+    changes = places.select("_y", "_x", "category", F.inline(both_ends)).filter("day is not null")
     daily = changes.groupBy("_y", "_x", "category", "day").agg(F.sum("change").alias("change"))
     effective = F.get(F.filter("_snapshots", lambda s: s >= F.col("day")), 0)
     dated = daily.withColumn("_snapshots", snapshots).withColumn("snap_from", effective).drop("_snapshots", "day")

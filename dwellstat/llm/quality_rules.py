@@ -30,7 +30,7 @@ MIN_DOCS = 50
 #: Fences lie this many interquartile ranges beyond the middle half.
 REACH = 3
 #: Measure -> least distance of a fence from the middle half, in the measure's own unit.
-MEASURES = {"chars_per_100_words": 100, "symbols_per_1000_words": 100, "dup_per_1000_lines": 200, "repeats_per_1000_words": 150}
+MEASURES = {"chars_per_100_words": 100, "symbols_per_1000_words": 100, "dup_per_1000_lines": 400, "repeats_per_1000_words": 300}
 #: Measures that are also suspicious when low.
 TWO_SIDED = ("chars_per_100_words",)
 

@@ -43,7 +43,7 @@ r AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY
         sum(n) OVER (PARTITION BY level, lang, source, measure) AS n_docs FROM c),
 q AS (SELECT level, lang, source, measure, max(n_docs) AS n_docs, min(bucket) FILTER (WHERE 4 * upto >= n_docs) AS q1,
         min(bucket) FILTER (WHERE 4 * upto >= 3 * n_docs) AS q3 FROM r GROUP BY ALL),
-f AS (SELECT *, greatest(3 * (q3 - q1), CASE measure WHEN 1 THEN 100 WHEN 2 THEN 100 WHEN 3 THEN 200 ELSE 150 END) AS margin FROM q),
+f AS (SELECT *, greatest(3 * (q3 - q1), CASE measure WHEN 1 THEN 100 WHEN 2 THEN 100 WHEN 3 THEN 400 ELSE 300 END) AS margin FROM q),
 j AS (SELECT k.rid, k.measure, k.val, f.level, f.q1 - f.margin AS low, f.q3 + f.margin AS high FROM k
       JOIN f ON k.measure = f.measure AND f.lang IS NOT DISTINCT FROM CASE WHEN f.level < 2 THEN k.lang END
         AND f.source IS NOT DISTINCT FROM CASE WHEN f.level < 1 THEN k.source END

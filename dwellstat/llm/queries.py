@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dwellstat.llm import quality_rules
+from dwellstat.llm import line_dedup, mixing, quality_rules
 from dwellstat.llm.common import table
 
 QUERIES = {}
@@ -61,3 +61,30 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document under thresholds of its language and source."""
     return quality_rules.judged(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op1_mixing")
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that a mix by weight takes, with the shards its copies go to."""
+    return mixing.shares(table(spark, sf_dir, "documents"))
+
+
+_LINES_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS rid FROM documents),
+l AS (SELECT rid, doc_id, unnest(string_split(t, chr(10))) AS line, unnest(range(0, len(string_split(t, chr(10))))) AS i FROM d),
+h AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h FROM l),
+b AS (SELECT *, (coalesce(lag(h) OVER w, 0) * 31 + h) % 3 = 0 AS ends FROM h WINDOW w AS (PARTITION BY rid ORDER BY i)),
+k AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM b),
+c AS (SELECT rid, doc_id, k, string_agg(line, chr(10) ORDER BY i) AS body, count(*) AS n,
+        count(*) FILTER (WHERE regexp_matches(line, '[^\x20\x09-\x0D]')) AS n_full FROM k GROUP BY ALL),
+g AS (SELECT *, n_full >= 2 AND (doc_id, k) <> first_value((doc_id, k)) OVER (PARTITION BY n_full >= 2, body ORDER BY doc_id NULLS LAST, k) AS gone FROM c)
+SELECT doc_id, sum(n)::BIGINT AS n_lines, coalesce(sum(n) FILTER (WHERE gone), 0)::BIGINT AS n_removed_lines,
+  count(*) FILTER (WHERE gone) AS n_removed_chunks, md5(coalesce(string_agg(body, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '')) AS kept_md5
+FROM g GROUP BY rid, doc_id
+"""
+
+
+@query("op10_line_dedup", _LINES_SQL)
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines removed from every document as repeats of earlier passages."""
+    return line_dedup.report(table(spark, sf_dir, "documents"))

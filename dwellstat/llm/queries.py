@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dwellstat.llm import line_dedup, mixing, quality_rules
+from dwellstat.llm import decontamination, line_dedup, mixing, quality_rules
 from dwellstat.llm.common import table
 
 QUERIES = {}
@@ -88,3 +88,9 @@ FROM g GROUP BY rid, doc_id
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines removed from every document as repeats of earlier passages."""
     return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
+@query("op5_decontamination")
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document and a benchmark item found inside it."""
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dwellstat.llm import decontamination, line_dedup, mixing, near_dedup, quality_rules
+from dwellstat.llm import decontamination, line_dedup, mixing, near_dedup, quality_rules, toxicity
 from dwellstat.llm.common import table
 
 QUERIES = {}
@@ -100,3 +100,9 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of near copies of every document."""
     return near_dedup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "stays")
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chances of the label categories for every document, and the verdict on it."""
+    return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dwellstat.llm import decontamination, line_dedup, mixing, near_dedup, quality_rules, toxicity
+from dwellstat.llm import decontamination, language_id, line_dedup, mixing, near_dedup, quality_rules, toxicity
 from dwellstat.llm.common import table
 
 QUERIES = {}
@@ -106,3 +106,9 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chances of the label categories for every document, and the verdict on it."""
     return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op2_language_id")
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    return language_id.identified(table(spark, sf_dir, "documents"))

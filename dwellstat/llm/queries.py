@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dwellstat.llm import decontamination, language_id, line_dedup, mixing, near_dedup, quality_rules, toxicity
+from dwellstat.llm import decontamination, language_id, line_dedup, mixing, near_dedup, quality_rules, toxicity, warc
 from dwellstat.llm.common import table
 
 QUERIES = {}
@@ -112,3 +112,18 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document."""
     return language_id.identified(table(spark, sf_dir, "documents"))
+
+
+_WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha1(h) AS payload_digest FROM p),
+m AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) ELSE page_id END AS top FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> top THEN top END AS refers_to FROM m
+"""
+
+
+@query("op4_warc", _WARC_SQL)
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as read back from archives through their index."""
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("html")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dwellstat.llm import decontamination, language_id, line_dedup, mixing, near_dedup, quality_rules, toxicity, warc
+from dwellstat.llm import decontamination, html_extraction, language_id, line_dedup, mixing, near_dedup, quality_rules, toxicity, warc
 from dwellstat.llm.common import table
 
 QUERIES = {}
@@ -127,3 +127,9 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'res
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as read back from archives through their index."""
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("html")
+
+
+@query("op8_html_extraction")
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extraction.extracted(table(spark, sf_dir, "pages"))

@@ -11,10 +11,10 @@ connected groups of links and equal texts.
 2. Equal texts are one node. Nodes that agree on all rows of a band share a bucket. Each bucket is
    compared with one centre, the member that shares most buckets with others, so a group of
    thousands of copies costs one comparison each.
-3. Links are verified on the texts themselves. Members of one bucket that are still in different
-   components are compared pair by pair when the bucket has at most ``PAIRED`` members; members of
-   larger ones go through a join on their rarest shingles (a document similar to another shares one
-   of the first fifth in any order), which misses nothing.
+3. Links are verified on the texts themselves. Members of buckets that are still in different
+   components are compared through a join on their rarest shingles: with shingles ordered from rare
+   to frequent, similar documents share one early in both, and their places bound what they can
+   still share. That misses nothing and forms no pairs merely for sharing a frequent passage.
 
 At similarity 0.8 a pair shares no bucket with a probability of 5e-5.
 
@@ -44,8 +44,6 @@ BANDS, ROWS = 25, 5
 DARTS = 1480
 #: Lengths of the first rank cells; unit cells follow.
 _CELLS = ((0.0, 0.0625), (0.0625, 0.0625), (0.125, 0.125), (0.25, 0.25), (0.5, 0.5))
-#: Largest bucket whose members are compared pair by pair.
-PAIRED = 64
 
 common.by_value(__name__, textkernel.__name__)
 
@@ -215,10 +213,17 @@ def _rare_pairs(members: DataFrame, texts: DataFrame, similarity: float) -> Data
     common_ones = elements.groupBy("e").agg(F.count("*").alias("df")).where("df > 1")
     place = F.row_number().over(Window.partitionBy("row").orderBy(F.coalesce("df", F.lit(1)), "e"))
     ranked = elements.join(common_ones, "e", "left").select("row", "e", "df", place.alias("place"), F.count("*").over(Window.partitionBy("row")).alias("n"))
-    prefix = ranked.where(F.col("place") <= F.col("n") - F.ceil(similarity * F.col("n")) + 1).where("df > 1").select("row", "e")
-    prefix = prefix.join(members.select("row", "component").distinct(), "row")
-    other = prefix.select("e", F.col("row").alias("b"), F.col("component").alias("cb"))
-    return prefix.join(other, "e").where("component <> cb AND row < b").select(F.col("row").alias("a"), "b").distinct()
+    prefix = ranked.where(F.col("place") <= F.col("n") - F.ceil(similarity * F.col("n")) + 1).where("df > 1").select("row", "e", "place", "n")
+    prefix = written(prefix.join(members.select("row", "component").distinct(), "row"), "near-prefix")
+    # the smaller set of a pair needs a shorter prefix; both places bound what the sets can still share
+    share = 2 * similarity / (1 + similarity)
+    small = prefix.where(F.col("place") <= F.col("n") - F.ceil(share * F.col("n")) + 1)
+    other = prefix.select("e", F.col("row").alias("b"), F.col("component").alias("cb"), F.col("place").alias("pb"), F.col("n").alias("nb"))
+    ordered = (F.col("n") < F.col("nb")) | ((F.col("n") == F.col("nb")) & (F.col("row") < F.col("b")))
+    enough = 1 + F.least(F.col("n") - F.col("place"), F.col("nb") - F.col("pb")) >= share / 2 * (F.col("n") + F.col("nb")) - 1e-9
+    other = other.withColumnRenamed("e", "eb")
+    joined = small.join(other, (F.col("e") == F.col("eb")) & (F.col("component") != F.col("cb")) & ordered & enough)
+    return joined.select(F.col("row").alias("a"), "b").distinct()
 
 
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
@@ -251,10 +256,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity
     mixed = (placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
              .where("low <> high").select("bucket"))
     open_cells = written(placed.join(mixed, "bucket").where("n > 2"), "near-open")
-    small = open_cells.where(F.col("n") <= PAIRED)
-    other = small.select("bucket", F.col("row").alias("b"), F.col("component").alias("cb"))
-    pairs = small.join(other, "bucket").where("component <> cb AND row < b").select(F.col("row").alias("a"), "b")
-    pairs = pairs.union(_rare_pairs(open_cells.where(F.col("n") > PAIRED), texts, similarity)).distinct()
+    pairs = _rare_pairs(open_cells, texts, similarity)
     tried = stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
     fresh = _fitting(pairs.join(tried, ["a", "b"], "left_anti"), nodes, similarity)
     more = written(_similar(written(fresh, "near-pairs"), texts, similarity), "near-more")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dwellstat.llm import decontamination, html_extraction, language_id, line_dedup, mixing, near_dedup, quality_rules, toxicity, warc
+from dwellstat.llm import decontamination, html_extraction, language_id, line_dedup, mixing, near_dedup, quality_rules, suffix_dedup, toxicity, warc
 from dwellstat.llm.common import table
 
 QUERIES = {}
@@ -133,3 +133,9 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_extraction.extracted(table(spark, sf_dir, "pages"))
+
+
+@query("op9_suffix_dedup")
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that repeat an earlier document, and the digest of the rest."""
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))

@@ -30,13 +30,14 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dwellstat.llm import common
-from dwellstat.llm.common import joined_on, written
+from dwellstat.llm.common import written
 from dwellstat.session import scratch_path
 
 REVISIT_BYTES = 1000
@@ -56,14 +57,14 @@ def reversed_host(url: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), rest)
 
 
-def decided(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(page_id, digest, refers_to): the captures to be written as revisits."""
-    small = pages.select(F.col(key).alias("page_id"), F.sha1(F.coalesce(F.col(html), F.lit(""))).alias("digest"),
+def decided(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """(capture, digest, refers_to): the captures to be written as revisits."""
+    small = pages.select(capture_key(url, key).alias("capture"), F.col(key).alias("page_id"), F.sha1(F.coalesce(F.col(html), F.lit(""))).alias("digest"),
                          F.octet_length(F.coalesce(F.col(html), F.lit(""))).alias("size"))
     small = written(small.where(F.col("size") >= REVISIT_BYTES), "warc-digests")
     first = small.groupBy("digest", "size").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
     return (small.join(first, ["digest", "size"]).where("refers_to IS NOT NULL AND NOT page_id <=> refers_to")
-            .select("page_id", "digest", "refers_to").distinct())
+            .select("capture", "digest", "refers_to").distinct())
 
 
 def _record_id(page_id: object, digest: str) -> str:
@@ -102,16 +103,18 @@ def parsed(member: bytes) -> dict:
 
 
 def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Writes the archives below ``folder``; returns the written capture lines
-    (capture, page_id, url, record_type, refers_to, file, offset, length)."""
-    rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    rows = rows.withColumn("digest", F.sha1("html"))
-    rows = joined_on(rows, decided(pages, key, html), ("page_id", "digest"), "left").withColumn("capture", capture_key("url", "page_id"))
+    """Writes the archives below ``folder``; returns the written capture lines (capture, page_id, file, offset, length)."""
     kind = dict(pages.dtypes)[key]
+    # a capture's decision travels as a row of its own that sorts just before it, so pages are shuffled once
+    html_or_empty = F.coalesce(F.col(html), F.lit(""))
+    rows = pages.select(capture_key(url, key).alias("capture"), F.lit(1).alias("kind"), F.col(key).alias("page_id"), F.col(url).alias("url"),
+                        html_or_empty.alias("html"), F.sha1(html_or_empty).alias("digest"), F.lit(None).cast(kind).alias("refers_to"))
+    marks = decided(pages, key, url, html).select("capture", F.lit(0).alias("kind"), F.lit(None).cast(kind).alias("page_id"), F.lit(None).cast("string").alias("url"),
+                                                  F.lit(None).cast("string").alias("html"), "digest", "refers_to")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = fs.FileSystem.from_uri(folder)
-        name, stream, offset = f"{uuid.uuid4().hex}.warc.gz", None, 0
+        name, stream, offset, revisits = f"{uuid.uuid4().hex}.warc.gz", None, 0, {}
         try:
             for batch in batches:
                 if stream is None and batch.num_rows:
@@ -119,22 +122,28 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
                     stream = store.open_output_stream(f"{top}/{name}", compression=None)
                 offsets, lengths = [], []
                 for r in batch.to_pylist():
+                    if r["kind"] == 0:
+                        if r["capture"] != revisits.get("capture"):
+                            revisits = {"capture": r["capture"]}
+                        revisits[r["digest"]] = r["refers_to"]
+                        continue
+                    refers_to = revisits.get(r["digest"]) if r["capture"] == revisits.get("capture") else None
                     address = "".join((r["url"] or "").split())
-                    member = _record(address, r["page_id"], r["html"].encode(), r["digest"], r["refers_to"])
+                    member = _record(address, r["page_id"], r["html"].encode(), r["digest"], refers_to)
                     stream.write(member)
                     offsets.append(offset)
                     lengths.append(len(member))
                     offset += len(member)
-                n = batch.num_rows
+                n, real = len(offsets), batch.filter(pc.equal(batch.column("kind"), 1))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("capture"), batch.column("page_id"), pa.array([name] * n, pa.string()),
+                    [real.column("capture"), real.column("page_id"), pa.array([name] * n, pa.string()),
                      pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64())], names=["capture", "page_id", "file", "offset", "length"])
         finally:
             if stream is not None:
                 stream.close()
 
     parts = _parts(rows)
-    dealt = rows.repartitionByRange(parts, "capture").sortWithinPartitions("capture")
+    dealt = rows.union(marks).repartitionByRange(parts, "capture").sortWithinPartitions("capture", "kind")
     lines = dealt.mapInArrow(write, f"capture string, page_id {kind}, file string, offset long, length long")
     return written(lines, "warc-captures")
 

@@ -26,12 +26,22 @@ def first_part(text) -> Column:
     return F.trim(F.split_part(_col(text), F.lit(","), F.lit(1)))
 
 
+#: A decimal number as text. A cast alone would also take suffixes such as ``12d``.
+_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^[+-]?(?i:inf|infinity)$"
+
+
+def _number(text: Column) -> Column:
+    """The number a text spells out, null for any other text."""
+    trimmed = F.trim(text)
+    return F.when(trimmed.rlike(_NUMBER), trimmed.try_cast("double"))
+
+
 def lenient_double(text, *remove: str) -> Column:
     """Number after removing the given literal pieces; null where it does not parse."""
     out = _col(text).cast("string")
     for piece in remove:
         out = F.replace(out, F.lit(piece), F.lit(""))
-    return finite_or_null(F.trim(out).try_cast("double"))
+    return finite_or_null(_number(out))
 
 
 def finite_or_null(value) -> Column:
@@ -51,7 +61,7 @@ def currency_double(text) -> Column:
 
 def lenient_long(text) -> Column:
     """Nullable integer key; ``8.0`` counts as 8, anything unparsable as missing."""
-    return _col(text).cast("string").try_cast("double").try_cast("bigint")
+    return _number(_col(text).cast("string")).try_cast("bigint")
 
 
 def code_string(code) -> Column:

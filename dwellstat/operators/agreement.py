@@ -168,13 +168,10 @@ def score_range(scores: DataFrame, item: str = "image_path", score: str = "score
     )
 
 
-def replicate_lists(scores: DataFrame, item: Sequence[str], replicates: int, fields: Sequence[str]) -> DataFrame:
-    """Ordered list of replicate answers per item; one entry per replicate number, so the list is
-    as long as the number of replicates at most."""
-    numbered = scores.filter(F.col("replicate").between(1, replicates))
-    single = numbered.groupBy(*item, "replicate").agg(F.min(F.struct(*fields)).alias("_f"))
-    entry = F.struct("replicate", *[F.col(f"_f.{f}").alias(f) for f in fields])
-    return single.groupBy(*item).agg(F.array_sort(F.collect_list(entry)).alias("answers"))
+def replicate_lists(scores: DataFrame, item: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """All answers per item in order of their replicate number, then of their fields."""
+    entry = F.struct("replicate", *fields)
+    return scores.groupBy(*item).agg(F.array_sort(F.collect_list(entry)).alias("answers"))
 
 
 def replicate_summary(answers: DataFrame, item: Sequence[str], replicates: int) -> DataFrame:

@@ -15,8 +15,9 @@ from dwellstat.operators import joins, ordering
 
 EARTH_RADIUS_M = 6_371_000.0
 METRES_PER_DEGREE = EARTH_RADIUS_M * math.pi / 180.0
-MAX_VERSIONS = 500
 CELL_ROWS_PER_SALT = 20_000
+#: Radius up to which a cell's corners bound its distances within one percent.
+FLAT_M = 100_000
 
 
 # --- address lookup -------------------------------------------------------------------------
@@ -42,10 +43,11 @@ def version_as_of(date, versions: Sequence[tuple[dt.date, str]] = rv.LOT_VERSION
     """Newest version whose boundary is on or before the date.
 
     Earlier dates take the earliest version, a missing date none. The boundary list is plan-time
-    configuration, so this is one nested CASE inside code generation and no join at all.
+    configuration: a balanced CASE inside code generation and no join at all. Its depth grows with
+    the logarithm of the list, so lists of any length work.
     """
-    if not 0 < len(versions) <= MAX_VERSIONS:
-        raise ValueError(f"between 1 and {MAX_VERSIONS} versions, got {len(versions)}")
+    if not versions:
+        raise ValueError("no versions given")
     date = date if isinstance(date, Column) else F.col(date)
     ordered = sorted(versions)
 
@@ -71,7 +73,7 @@ def missing_versions(sales: DataFrame, version: str, available: DataFrame) -> Da
 
 def require_versions(sales: DataFrame, version: str, available: DataFrame) -> None:
     """Raises before anything is written when a needed version is not on hand."""
-    gaps = sorted(r[0] for r in missing_versions(sales, version, available).take(MAX_VERSIONS))
+    gaps = sorted(r[0] for r in missing_versions(sales, version, available).toLocalIterator())
     if gaps:
         raise ValueError(f"lot versions missing: {', '.join(gaps)}")
 
@@ -145,12 +147,12 @@ class _Grid:
     any point of it, and full-circle counts come from sums instead of pairs."""
 
     def __init__(self, radius_m: float):
-        if not 0 < radius_m <= 100_000:
-            raise ValueError("radius must be within 100 km")
+        if radius_m <= 0:
+            raise ValueError("the radius must be positive")
         self.radius = radius_m
         self.degrees = radius_m / METRES_PER_DEGREE
         self.high = self.degrees * 0.5005
-        self.columns = int(360.0 // self.high)
+        self.columns = max(1, int(360.0 // self.high))
         self.wide = 360.0 / self.columns
 
     def row(self, lat: Column) -> Column:
@@ -163,12 +165,22 @@ class _Grid:
         return F.pmod(column, F.lit(self.columns))
 
     def neighbours(self, spots: DataFrame) -> DataFrame:
-        """Each spot with every cell its circle can reach; ``inside`` marks cells it covers whole."""
-        edge = F.least(F.abs("lat") + self.degrees, F.lit(89.0))
-        reach = F.least(F.ceil(F.lit(self.degrees) / F.cos(F.radians(edge)) / self.wide), F.lit(self.columns // 2 - 1))
+        """Each spot with every cell its circle can reach; ``inside`` marks cells it covers whole.
+
+        The circle's widest stretch in longitude is where a meridian touches it. A circle that
+        holds a pole takes whole rows of cells, all compared place by place. So are all cells of
+        circles beyond ``FLAT_M``, where the corners of a cell no longer tell how far it reaches.
+        """
+        over_pole = F.abs("lat") + self.degrees >= 90.0
+        flat = F.lit(self.radius <= FLAT_M)
+        touch = F.asin(F.least(F.sin(F.lit(math.radians(min(self.degrees, 90.0)))) / F.cos(F.radians("lat")), F.lit(1.0)))
+        reach = F.ceil(F.degrees(touch) / self.wide) + 1
+        round_all = over_pole | (2 * reach + 1 >= self.columns)
+        first = F.when(round_all, F.lit(0)).otherwise(-reach).cast("bigint")
+        last = F.when(round_all, F.lit(self.columns - 1)).otherwise(reach).cast("bigint")
         cells = (
-            spots.withColumn("_dy", F.explode(F.sequence(F.lit(-2), F.lit(2))))
-            .withColumn("_dx", F.explode(F.sequence(-reach, reach)))
+            spots.withColumns({"_dy": F.explode(F.sequence(F.lit(-2), F.lit(2))), "_round": round_all, "_first": first, "_last": last})
+            .withColumn("_dx", F.explode(F.sequence("_first", "_last")))
             .withColumns({"_y": self.row(F.col("lat")) + F.col("_dy"), "_x": self.column(F.col("lon")) + F.col("_dx")})
         )
         south, west = F.col("_y") * self.high, F.col("_x") * self.wide - 180.0
@@ -179,9 +191,9 @@ class _Grid:
         farthest = F.greatest(haversine_m(lat, lon, south, far_lon), haversine_m(lat, lon, north, far_lon))
         # one percent of slack on both tests covers the curvature of cell edges
         return (
-            cells.withColumns({"_near": nearest, "inside": farthest <= 0.99 * self.radius, "_x": self.wrapped(F.col("_x"))})
-            .filter(F.col("_near") <= 1.01 * self.radius)
-            .drop("_near", "_dy", "_dx")
+            cells.withColumns({"_near": nearest, "inside": flat & ~F.col("_round") & (farthest <= 0.99 * self.radius), "_x": self.wrapped(F.col("_x"))})
+            .filter(~flat | F.col("_round") | (F.col("_near") <= 1.01 * self.radius))
+            .drop("_near", "_dy", "_dx", "_round", "_first", "_last")
         )
 
 
@@ -305,7 +317,8 @@ def circle_requests(
     placed = properties.filter(
         F.col("latitude").isNotNull() & F.col("longitude").isNotNull() & F.col(sold_date).isNotNull()
     ).withColumn("_month", F.trunc(sold_date, "month"))
-    numbered = ordering.row_numbers(ordering.value_bucket(placed, key), [key], ["_month"], "_rn")
+    bucket = ordering.text_bucket if dict(placed.dtypes)[key] == "string" else ordering.value_bucket
+    numbered = ordering.row_numbers(bucket(placed, key), [key], ["_month"], "_rn")
     chunk = F.floor((F.col("_rn") - 1) / rows_per_request)
     circle = F.concat(F.col(key).cast("string"), F.lit(":"), F.col("longitude").cast("string"), F.lit(","),
                       F.col("latitude").cast("string"), F.lit(f",{radius_m:g}"))

@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from dwellstat.operators import ordering
 
-NULL_SPREAD = 1024
-
 
 def require_unique(df: DataFrame, keys: Sequence[str], what: str) -> DataFrame:
     """Fails the job when a key repeats, so that a lookup can never multiply rows.
@@ -28,18 +26,11 @@ def require_unique(df: DataFrame, keys: Sequence[str], what: str) -> DataFrame:
 def lookup(facts: DataFrame, dimension: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join onto a dimension that is unique per key.
 
-    Rows whose key is null can match nothing; they are spread over many partitions instead of all
-    landing in one. Skew of real keys is split at run time, as the dimension side is unique.
+    The dimension side has a row per key, so a frequent or null key only makes the left side
+    uneven, which adaptive execution splits at run time. Only columns that are used later are read
+    from either side.
     """
-    keys = list(keys)
-    missing = F.lit(False)
-    for k in keys:
-        missing = missing | F.col(k).isNull()
-    hashed = [F.col(f"`{name}`") for name, kind in facts.dtypes if "map<" not in kind]
-    spread = F.pmod(F.xxhash64(*hashed), F.lit(NULL_SPREAD)).cast("int") + 1
-    left = facts.withColumn("_spread", F.when(missing, spread).otherwise(0))
-    right = dimension.withColumn("_spread", F.lit(0))
-    return left.join(right, [*keys, "_spread"], "left").drop("_spread")
+    return facts.join(dimension, list(keys), "left")
 
 
 def keep_matching(df: DataFrame, allowed: DataFrame, keys: Sequence[str]) -> DataFrame:

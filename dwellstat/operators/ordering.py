@@ -9,6 +9,7 @@ Approximate cuts only decide how even the buckets are, never the result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,13 +21,16 @@ from dwellstat.functions import seeded
 GROUP_LIMIT = 1000
 # cuts compared one by one in a row; more cuts are searched in blocks of this size
 CUT_BLOCK = 32
-MAX_SPLITS = 1024
 
 
 def order_splits(df: DataFrame) -> int:
-    """Buckets to cut an order into: as many as the session uses shuffle partitions, within limits."""
-    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(MAX_SPLITS, max(8, wanted))
+    """Buckets to cut an order into: as many as the session uses shuffle partitions, 8 at least."""
+    return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def digest_digits(df: DataFrame) -> int:
+    """Hex digits that give several times as many buckets as there are shuffle partitions."""
+    return max(3, math.ceil(math.log(4 * order_splits(df), 16)))
 
 
 def value_bucket(df: DataFrame, value: str, splits: int | None = None) -> DataFrame:
@@ -71,9 +75,9 @@ def with_cuts_below(df: DataFrame, name: str, cuts: Column, most: int, value: st
     return staged.drop("_cuts")
 
 
-def digest_bucket(df: DataFrame, key: str, digits: int = 3) -> DataFrame:
+def digest_bucket(df: DataFrame, key: str) -> DataFrame:
     """Adds ``_bucket`` from a seeded order key."""
-    return df.withColumn("_bucket", seeded.hex_bucket(F.col(key), digits))
+    return df.withColumn("_bucket", seeded.hex_bucket(F.col(key), digest_digits(df)))
 
 
 def one_bucket(df: DataFrame) -> DataFrame:
@@ -91,8 +95,8 @@ def running_totals(
     """Adds inclusive running sums along ``order`` within ``groups``; drops ``_bucket``.
 
     ``amounts`` maps output names to the summed columns. With ``group_totals`` the sum over the
-    whole group is added as ``<name>_all``. Order columns must make the order total, and group
-    columns must not be null.
+    whole group is added as ``<name>_all``. Order columns must make the order total. Rows whose
+    group is null form a group like any other.
     """
     groups = list(groups)
     sums = bucketed.groupBy(*groups, "_bucket").agg(*[F.sum(c).alias(n) for n, c in amounts.items()])
@@ -104,7 +108,12 @@ def running_totals(
     )
     inside = Window.partitionBy(*groups, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     summed = bucketed.withColumns({f"_in_{n}": F.sum(c).over(inside) for n, c in amounts.items()})
-    joined = summed.join(offsets, [*groups, "_bucket"])
+    keys = [*groups, "_bucket"]
+    right = offsets.select(*[F.col(k).alias(f"_of_{k}") for k in keys], *[c for c in offsets.columns if c not in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & summed[k].eqNullSafe(right[f"_of_{k}"])
+    joined = summed.join(right, same).drop(*[f"_of_{k}" for k in keys])
     out = joined.withColumns({n: F.col(f"_in_{n}") + F.col(f"_before_{n}") for n in amounts})
     return out.drop("_bucket", *[f"_in_{n}" for n in amounts], *[f"_before_{n}" for n in amounts])
 
@@ -122,15 +131,21 @@ def seeded_row_numbers(df: DataFrame, seed, keys: Sequence[str], groups: Sequenc
 
 
 def top_per_group(df: DataFrame, groups: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
-    """First ``n`` rows of each group with their ``rank``; surplus rows are dropped before the shuffle."""
-    if n > GROUP_LIMIT:
-        raise ValueError(f"up to {GROUP_LIMIT} rows per group; number the rows with row_numbers beyond that")
+    """First ``n`` rows of each group with their ``rank``.
+
+    Up to ``GROUP_LIMIT`` rows, the surplus is dropped before the shuffle; beyond it a group is
+    sorted in one task, with spilling, so callers with a seeded or single-column order use
+    ``seeded_top`` or ``row_numbers``.
+    """
     ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(*groups).orderBy(*order)))
     return ranked.filter(F.col("rank") <= n)
 
 
 def seeded_top(df: DataFrame, seed, keys: Sequence[str], groups: Sequence[str], n: int) -> DataFrame:
-    """First ``n`` rows of each group in a seeded order, with ``rank``; any ``n`` works."""
+    """First ``n`` rows of each group in a seeded order, with ``rank``.
+
+    Small ``n`` are cut before the shuffle, large ones numbered in buckets; the rows are the same.
+    """
     if n > GROUP_LIMIT:
         return seeded_row_numbers(df, seed, keys, groups, "rank").filter(F.col("rank") <= n)
     keyed = df.withColumn("_key", seeded.order_key(seed, *keys))

@@ -9,12 +9,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dwellstat import reference_values as rv
 from dwellstat.functions import seeded
 from dwellstat.operators import ordering
+from dwellstat.session import staged
 
 
 # --- quantile bins ---------------------------------------------------------------------------
@@ -37,25 +39,29 @@ def quantile_bins(df: DataFrame, value: str, bins: int, name: str = "bin") -> Da
     return counted.withColumn(name, F.when(F.col(value).isNotNull(), number)).drop("_below")
 
 
-def end_bins(bins: int) -> set[int]:
-    """The two bins at either end."""
-    return {1, 2, bins - 1, bins}
+def bin_table(spark: SparkSession, bins: int, end_tenths: int, bin_column: str = "bin") -> DataFrame:
+    """One row per bin with its ``weight`` in tenths: 10, or ``end_tenths`` for the two at either end."""
+    number = F.col("id") + 1
+    outer = F.least(number, bins + 1 - number) <= 2
+    return spark.range(bins).select(number.alias(bin_column), F.when(outer, end_tenths).otherwise(10).cast("bigint").alias("weight"))
 
 
-def bin_quotas(bins: int, per_bin: int, end_mult: float) -> dict[int, int]:
-    """Rows wanted per bin, end bins multiplied."""
-    return {b: int(round(per_bin * (end_mult if b in end_bins(bins) else 1.0))) for b in range(1, bins + 1)}
+def bin_quotas(weights: DataFrame, per_bin: int) -> DataFrame:
+    """Adds the ``quota`` of each bin: ``per_bin`` times its weight, rounded half up."""
+    return weights.withColumn("quota", F.expr(f"(weight * {per_bin} + 5) div 10"))
 
 
-def _quota_column(bin_column: Column, quotas: dict[int, int]) -> Column:
-    table = F.create_map(*[F.lit(v).cast("bigint") for pair in quotas.items() for v in pair])
-    return F.coalesce(F.try_element_at(table, bin_column.cast("bigint")), F.lit(0).cast("bigint"))
+def _within_quota(ranked: DataFrame, quotas: DataFrame, bin_column: str) -> DataFrame:
+    """Ranked rows up to their bin's quota; bins without one give nothing."""
+    return ranked.join(quotas.select(bin_column, "quota"), bin_column).filter("rank <= quota").drop("rank", "quota")
 
 
-def bin_sample(df: DataFrame, key: str, bin_column: str, quotas: dict[int, int], seed) -> DataFrame:
-    """Seeded sample per bin; a bin smaller than its quota gives all its rows."""
-    drawn = ordering.seeded_top(df, seed, [key], [bin_column], max(quotas.values()))
-    return drawn.filter(F.col("rank") <= _quota_column(F.col(bin_column), quotas)).drop("rank")
+def bin_sample(df: DataFrame, key: str, bin_column: str, quotas: DataFrame, largest: int, seed) -> DataFrame:
+    """Seeded sample per bin; a bin smaller than its quota gives all its rows.
+
+    ``quotas`` has a row per bin with its ``quota``, none of them above ``largest``.
+    """
+    return _within_quota(ordering.seeded_top(df, seed, [key], [bin_column], largest), quotas, bin_column)
 
 
 # --- stratified samples ----------------------------------------------------------------------
@@ -82,55 +88,40 @@ def shortfalls(sample: DataFrame, label: str, labels: Sequence[str], minimum: in
     return sample.agg(*counts).select(F.inline(pairs)).filter(F.col("n") < minimum)
 
 
-def require_minimum(sample: DataFrame, label: str, labels: Sequence[str], minimum: int) -> None:
-    short = shortfalls(sample, label, labels, minimum).collect()
-    if short:
-        raise ValueError("too few rows: " + ", ".join(f"{r[label]} {r['n']} of {minimum}" for r in short))
-
-
-def allocate(total: int, bins: int, end_weight: float) -> dict[int, int]:
-    """Largest-remainder split of ``total`` over weighted bins; ties go to the lower bin."""
-    weights = {b: end_weight if b in end_bins(bins) else 1.0 for b in range(1, bins + 1)}
-    whole = sum(weights.values())
-    shares = {b: total * w / whole for b, w in weights.items()}
-    counts = {b: math.floor(s) for b, s in shares.items()}
-    by_remainder = sorted(shares, key=lambda b: (-(shares[b] - counts[b]), b))
-    for b in by_remainder[: total - sum(counts.values())]:
-        counts[b] += 1
-    return counts
-
-
-def allocate_rows(weights: DataFrame, total: int, bin_column: str, weight: str) -> DataFrame:
-    """The same split over a table of bins (one row per bin, a small table by nature)."""
-    whole = weights.agg(F.sum(weight)).scalar()
-    shares = weights.withColumn("_share", F.lit(total) * F.col(weight) / whole).withColumn("_base", F.floor("_share"))
-    shares = shares.withColumn("_rest", F.round(F.col("_base") - F.col("_share"), 9))
-    left = shares.agg(F.lit(total) - F.sum("_base")).scalar()
-    numbered = ordering.row_numbers(ordering.one_bucket(shares), ["_rest", bin_column], name="_rn")
-    extra = (F.col("_rn") <= left).cast("bigint")
-    return numbered.select(bin_column, weight, (F.col("_base") + extra).alias("allocated"))
+def allocate(weights: DataFrame, total: int, bin_column: str, weight: str = "weight") -> DataFrame:
+    """Splits ``total`` over bins by whole-number weights: each bin's whole share, then one more for
+    the largest remainders, lower bins first. ``weights`` has one row per bin, a small table by nature.
+    """
+    everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    shares = weights.withColumn("_all", F.sum(weight).over(everything)).withColumns(
+        {"_base": F.expr(f"{total} * `{weight}` div _all"), "_rest": F.lit(total) * F.col(weight) % F.col("_all")})
+    place = F.row_number().over(Window.orderBy(F.desc("_rest"), bin_column))
+    spare = F.lit(total) - F.sum("_base").over(everything)
+    return shares.select(bin_column, weight, (F.col("_base") + (place <= spare).cast("bigint")).alias("quota"))
 
 
 def two_pass_sample(
-    df: DataFrame, label: str, key: str, item: str, bin_column: str, per_label: int, quotas: dict[int, int], seed
+    df: DataFrame, label: str, key: str, item: str, bin_column: str, per_label: int, quotas: DataFrame, seed
 ) -> DataFrame:
     """Per label: each bin's quota first, then leftovers of any bin until ``per_label`` is reached.
 
-    Adds ``pass_no`` (1 or 2). The first pass is as small as the quotas, so the second only has to
-    look at ``per_label`` leftovers per label.
+    Adds ``pass_no`` (1 or 2). ``quotas`` has a row per bin with its ``quota`` of ``per_label``. The
+    first pass is as small as the quotas, so the second only has to look at ``per_label`` leftovers
+    per label. The single items are written once, as both passes read them.
     """
-    singles = one_item_per_key(df.filter(F.col(bin_column).isNotNull()), [label, bin_column, key], item, seed)
-    first = (
-        ordering.seeded_top(singles, seed, [key], [label, bin_column], max(quotas.values()))
-        .filter(F.col("rank") <= _quota_column(F.col(bin_column), quotas))
-        .drop("rank")
-        .withColumn("pass_no", F.lit(1))
-    )
-    leftovers = singles.join(first.select(label, bin_column, key), [label, bin_column, key], "left_anti")
+    singles = staged(one_item_per_key(df.filter(F.col(bin_column).isNotNull()), [label, bin_column, key], item, seed), "singles")
+    ranked = ordering.seeded_top(singles, seed, [key], [label, bin_column], per_label)
+    first = _within_quota(ranked, quotas, bin_column).select(*singles.columns, F.lit(1).alias("pass_no"))
+    drawn = first.select(*[F.col(c).alias(f"_drawn_{c}") for c in (label, bin_column, key)])
+    same = F.lit(True)
+    for c in (label, bin_column, key):
+        same = same & singles[c].eqNullSafe(drawn[f"_drawn_{c}"])
+    leftovers = singles.join(drawn, same, "left_anti")
     ranked = ordering.seeded_top(leftovers, f"{seed}-top-up", [key], [label], per_label)
-    taken = first.groupBy(label).agg(F.count(F.lit(1)).alias("_taken"))
+    taken = first.groupBy(F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("_taken"))
     second = (
-        ranked.join(taken, label, "left")
+        ranked.join(taken, ranked[label].eqNullSafe(taken["_label"]), "left")
+        .drop("_label")
         .filter(F.col("rank") <= per_label - F.coalesce("_taken", F.lit(0)))
         .drop("rank", "_taken")
         .withColumn("pass_no", F.lit(2))
@@ -147,7 +138,11 @@ def with_custom_rows(sample: DataFrame, custom: DataFrame) -> DataFrame:
 
 def capped_sample(df: DataFrame, key: str, item: str, per_key: int, total: int, seed) -> DataFrame:
     """First ``per_key`` items of each key, keys in seeded order, until ``total`` rows."""
-    capped = ordering.top_per_group(df, [key], [F.col(item)], per_key).drop("rank")
+    if per_key > ordering.GROUP_LIMIT:
+        numbered = ordering.row_numbers(ordering.text_bucket(df, item), [item], [key], "rank")
+        capped = numbered.filter(F.col("rank") <= per_key).drop("rank")
+    else:
+        capped = ordering.top_per_group(df, [key], [F.col(item)], per_key).drop("rank")
     return capped.orderBy(seeded.order_key(seed, key), key, item).limit(total)
 
 
@@ -203,7 +198,7 @@ def rater_order(subset: DataFrame, raters: Sequence[str], rater: str, item: str)
     """
     grid = subset.withColumn(rater, F.explode(F.array(*[F.lit(r) for r in raters])))
     keyed = grid.withColumn("_key", seeded.order_key("rater", rater, item))
-    numbered = ordering.row_numbers(ordering.digest_bucket(keyed, "_key", 2), ["_key", item], [rater], "position")
+    numbered = ordering.row_numbers(ordering.digest_bucket(keyed, "_key"), ["_key", item], [rater], "position")
     return numbered.withColumn("position", F.col("position") - 1).drop("_key")
 
 
@@ -227,13 +222,21 @@ def frozen_subset(manifest: DataFrame, label: str, key: str, labels: Sequence[st
     return ordering.seeded_top(rows, seed, [key], [label], per_label).drop("rank")
 
 
-def freeze(spark, subset: DataFrame, path: str) -> DataFrame:
-    """Writes the subset once; later calls read what the first one wrote, whatever they pass."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")):
+def freeze(spark: SparkSession, subset: DataFrame, path: str) -> DataFrame:
+    """Writes the subset once; later calls read what the first one wrote, whatever they pass.
+
+    Spark moves a write's files into place only when it ends well, so a folder with rows is whole.
+    """
+    stored = spark.read.schema(subset.schema)
+    try:
+        done = not stored.parquet(path).isEmpty()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        done = False
+    if not done:
         subset.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return stored.parquet(path)
 
 
 # --- work planning ---------------------------------------------------------------------------

@@ -17,12 +17,3 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     made = F.struct(*[value.alias(name) for name, value in columns.items()])
     return df.select(*rest, F.inline(F.array(made)))
 
-
-def widen(df: DataFrame) -> DataFrame:
-    """Spreads a small input over all cores before costly row-local work.
-
-    A scan that already has as many splits as there are cores is left alone, so large inputs are
-    never shuffled for this.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

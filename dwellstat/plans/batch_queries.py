@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from dwellstat import reference_values as rv
-from dwellstat.operators import batches, sampling, stages, summaries
+from dwellstat.operators import batches, sampling, summaries
 from dwellstat.plans import views
 from dwellstat.plans.registry import query, table
 from dwellstat.plans.views import with_views
@@ -25,13 +25,13 @@ PROMPT = "Classify the room shown in the photo."
         || '"enum":["kitchen","bathroom","bedroom","living_room","floorplan","other"]},"other_label":{"type":"string","nullable":true}},"required":["room_type","other_label"]}}}}' AS line
     FROM photos""")
 def request_lines(spark, sf_dir):
-    lines = batches.request_lines(stages.widen(views.photos(spark, sf_dir)), "image_path", PROMPT, "MEDIA_RESOLUTION_LOW", rv.PHOTO_LABELS)
+    lines = batches.request_lines(views.photos(spark, sf_dir), "image_path", PROMPT, "MEDIA_RESOLUTION_LOW", rv.PHOTO_LABELS)
     return lines.select("image_path", "line")
 
 
 def result_lines(spark, sf_dir):
     """Result lines as a remote batch would return them: answers in two text parts, some errors, some junk."""
-    e = stages.widen(table(spark, sf_dir, "events"))
+    e = table(spark, sf_dir, "events")
     i, k = F.col("event_id"), F.get_json_object("props", "$.k").try_cast("bigint")
     key = F.concat(F.lit("images/"), F.col("user_id").cast("string"), F.lit("/"), i.cast("string"), F.when(i % 10 == 0, "_hero.jpg").otherwise(".jpg"))
     label = F.when(F.col("event_type") == "view", "bathroom").when(F.col("event_type") == "error", "other").otherwise("kitchen")
@@ -136,11 +136,11 @@ def roundtrip_parquet(spark, sf_dir):
 
 @query("version_archive", """
     SELECT version, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM (
-        SELECT 'v1' AS version, c_acctbal FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT 'v2', c_acctbal FROM customer WHERE c_custkey % 3 = 0) GROUP BY version""")
+        SELECT 'v1' AS version, c_acctbal FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT 'v2', c_acctbal FROM customer WHERE c_custkey % 2 = 1 OR c_custkey % 3 = 0) GROUP BY version""")
 def version_archive(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     paths = {}
-    for version, keep in (("v1", "c_custkey % 2 = 0"), ("v2", "c_custkey % 3 = 0")):
+    for version, keep in (("v1", "c_custkey % 2 = 0"), ("v2", "c_custkey % 2 = 1 or c_custkey % 3 = 0")):
         paths[version] = scratch_path(spark, f"lots-{version}")
         writers.write_csv(c.filter(keep), paths[version])
     lots = readers.read_versions(spark, paths, "c_custkey bigint, c_acctbal double", ["c_custkey", "c_acctbal"])
@@ -148,12 +148,12 @@ def version_archive(spark, sf_dir):
 
 
 @query("append_resume", """
-    SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS keys FROM events WHERE event_id % 5 <> 4 GROUP BY event_type""")
+    SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS keys FROM events GROUP BY event_type""")
 def append_resume(spark, sf_dir):
     path = scratch_path(spark, "log")
     e = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
-    # three overlapping runs; the last repeats the first
-    for keep in ("event_id % 5 <= 1", "event_id % 5 between 1 and 3", "event_id % 5 <= 1"):
+    # overlapping runs; the third repeats the first
+    for keep in ("event_id % 5 <= 1", "event_id % 5 between 1 and 3", "event_id % 5 <= 1", "event_id % 5 >= 3"):
         writers.append_pending(spark, e.filter(keep), path, ["event_id"])
     return spark.read.parquet(path).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("keys"))
 
@@ -185,7 +185,7 @@ def json_documents(spark, sf_dir):
     path = scratch_path(spark, "json")
     e = table(spark, sf_dir, "events")
     e.select(F.col("user_id").cast("string").alias("timestamp"), F.array("event_type").alias("rooms"), F.col("props").alias("label")).write.json(path)
-    runs = spark.read.schema(readers.RUN_META).json(path)
+    runs = readers.read_json_lines(spark, path, readers.RUN_META)
     return runs.groupBy("timestamp").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -196,8 +196,7 @@ def poi_elements(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     element = F.struct(F.col("event_id").alias("id"), F.round("value", 4).alias("lat"), F.create_map(F.lit("amenity"), F.col("event_type")).alias("tags"))
     e.select(F.array(element).alias("elements")).write.json(path)
-    lines = spark.read.schema("elements array<struct<id:bigint,lat:double,lon:double,tags:map<string,string>>>").json(path)
-    return lines.select(F.inline("elements")).select("id", F.try_element_at("tags", F.lit("amenity")).alias("amenity"), "lat")
+    return readers.read_poi_elements(spark, path, lines=True).select("id", F.try_element_at("tags", F.lit("amenity")).alias("amenity"), "lat")
 
 
 @query("prediction_cache", "SELECT o_orderkey, round(ln(o_totalprice), 6) AS pred_log FROM orders")
@@ -221,7 +220,7 @@ def stream_collect(spark, sf_dir):
     stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 3).parquet(source)
     logs.collect_results(stream, log, state).awaitTermination()
     columns = batches.parse_responses(lines).drop("error")
-    return logs.read_log(spark, log, columns.schema).drop("batch_id").withColumn("cost_usd", F.round("cost_usd", 9))
+    return logs.read_log(spark, log, columns.schema).drop("run", "batch_id", "division").withColumn("cost_usd", F.round("cost_usd", 9))
 
 
 @query("stream_ratings", with_views("ratings") + " SELECT rater, image_path, score, timestamp FROM ratings")
@@ -231,17 +230,16 @@ def stream_ratings(spark, sf_dir):
     rows.repartition(5, "arrival").write.parquet(source)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(source)
     logs.collect_ratings(stream, log, state).awaitTermination()
-    kept = summaries.latest_ratings(rows).schema
+    kept = summaries.latest_ratings(rows, arrival="arrival", fields=("score", "arrival")).schema
     return logs.current_ratings(logs.read_log(spark, log, kept))
 
 
 @query("stream_status", """
     SELECT user_id % 10 AS chunk, event_type AS state, count(*) AS n FROM events GROUP BY ALL""")
 def stream_status(spark, sf_dir):
-    source, state = [scratch_path(spark, n) for n in ("states", "state")]
+    source, counts, state = [scratch_path(spark, n) for n in ("states", "counts", "state")]
     e = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("chunk"), F.col("event_type").alias("state"))
     e.repartition(4).write.parquet(source)
     stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(source)
-    name = f"status_{state.rsplit('-', 1)[-1]}"
-    logs.chunk_status(stream, name, state).awaitTermination()
-    return spark.table(name)
+    logs.chunk_status(stream, counts, state).awaitTermination()
+    return spark.read.schema("chunk bigint, state string, n bigint").parquet(counts)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from dwellstat import reference_values as rv
 from dwellstat.functions import checks, dates, facts, history, text
-from dwellstat.operators import agreement, cleaning, enrich, joins, ordering, photos, stages, summaries
+from dwellstat.operators import agreement, cleaning, enrich, joins, ordering, photos, summaries
 from dwellstat.plans import views
 from dwellstat.plans.registry import query, table
 from dwellstat.plans.views import with_views
@@ -85,7 +85,7 @@ def _line_key():
     best AS (SELECT listing, k, arg_min(url, (-size, pos)) AS url, min(pos) AS first_pos FROM keyed GROUP BY listing, k)
     SELECT listing, row_number() OVER (PARTITION BY listing ORDER BY first_pos) - 1 AS img_index, k AS photo_hash, url FROM best""")
 def photo_variants(spark, sf_dir):
-    li = stages.widen(table(spark, sf_dir, "lineitem"))
+    li = table(spark, sf_dir, "lineitem")
     listing = _line_key()
 
     def digest(c):
@@ -111,7 +111,7 @@ LINK_CELL_SQL = """
 
 
 def _link_cells(spark, sf_dir):
-    li = stages.widen(table(spark, sf_dir, "lineitem"))
+    li = table(spark, sf_dir, "lineitem")
     key = _line_key()
 
     def link(c):
@@ -163,7 +163,7 @@ _RAW_SALE_SQL = """
 
 @query("sale_from_history", _RAW_SALE_SQL + " SELECT k AS row_key, sold_price_text AS sold_price, sold_date FROM sale")
 def sale_from_history(spark, sf_dir):
-    raw = stages.widen(views.raw_sales(spark, sf_dir))
+    raw = views.raw_sales(spark, sf_dir)
     sale = history.first_sale(*[history.history_values(f"price_history_{p}", f"price_history_{p}") for p in ("event", "price", "date")])
     return raw.select("row_key", sale.alias("s")).select("row_key", "s.*")
 
@@ -187,7 +187,7 @@ _CLEAN_SQL = _RAW_SALE_SQL + """,
         CAST(2 AS INT) AS fact_rows, k % 6 || '' AS bedroom_fact, 'Status ' || o_orderstatus AS bare_fact
     FROM tagged WHERE reject_reason IS NULL""")
 def clean_sales(spark, sf_dir):
-    kept, _ = cleaning.clean_sales(stages.widen(views.raw_sales(spark, sf_dir)))
+    kept, _ = cleaning.clean_sales(views.raw_sales(spark, sf_dir))
     facts_by_label = F.map_from_entries(F.transform("facts_features", lambda r: F.struct(r["label"], r["value"])))
     return kept.select(
         "row_key", "zpid", "address", "borough", "type", "area-sqft", "lot_area", "built_in", "bathrooms", "sold_price", "sold_date",
@@ -199,7 +199,7 @@ def clean_sales(spark, sf_dir):
 @query("reject_split", _CLEAN_SQL + """
     SELECT reject_reason, count(*) AS n, min(k) AS first_row FROM tagged GROUP BY reject_reason""")
 def reject_split(spark, sf_dir):
-    kept, rejected = cleaning.clean_sales(stages.widen(views.raw_sales(spark, sf_dir)))
+    kept, rejected = cleaning.clean_sales(views.raw_sales(spark, sf_dir))
     both = kept.select(F.lit(None).cast("string").alias("reject_reason"), "row_key").unionByName(rejected.select("reject_reason", "row_key"))
     return both.groupBy("reject_reason").agg(F.count(F.lit(1)).alias("n"), F.min("row_key").alias("first_row"))
 
@@ -310,7 +310,7 @@ def zip_urls(spark, sf_dir):
     UNION ALL SELECT c_custkey, c_mktsegment, 'Money & more', '_bare', 'no label ' || c_name FROM x
     UNION ALL SELECT c_custkey, '_uncategorised', '_general', '_bare', 'plain' FROM x WHERE c_custkey % 2 = 0""")
 def facts_html(spark, sf_dir):
-    c = stages.widen(table(spark, sf_dir, "customer"))
+    c = table(spark, sf_dir, "customer")
     html = F.concat(
         F.lit('<div><div data-testid="category-group"><h3> '), "c_mktsegment", F.lit(" </h3><ul><li>Nation: "),
         F.col("c_nationkey").cast("string"), F.lit(":x</li></ul><h6>Money &amp; more</h6><li>Balance: 0</li><li>Balance: <b>"),
@@ -497,12 +497,12 @@ _CATEGORY_SQL = with_views("pois", "homes") + """,
                 * pow(sin(radians(p.longitude - h.longitude) / 2), 2))) <= 600
         GROUP BY zpid, category)
     SELECT d.zpid, """ + ", ".join(
-        f"CASE WHEN any_value(snapshot) IS NOT NULL THEN coalesce(max(n) FILTER (category = '{c}'), 0) END AS {c}" for c in views.POI_USED)
+        f"CASE WHEN any_value(snapshot) IS NOT NULL THEN coalesce(max(n) FILTER (category = '{c}'), 0) END AS {c}" for c in rv.POI_CATEGORIES)
     + " FROM dated d LEFT JOIN hits USING (zpid) GROUP BY d.zpid")
 def radius_counts(spark, sf_dir):
     pois = views.tagged_pois(spark, sf_dir).withColumn("category", F.explode(enrich.poi_categories("tags")))
     homes = views.homes(spark, sf_dir).withColumn("snapshot", dates.snapshot_date("sold_date", views.POI_LATEST))
-    return enrich.radius_counts(homes, pois, views.POI_USED)
+    return enrich.radius_counts(homes, pois, tuple(rv.POI_CATEGORIES))
 
 
 @query("tag_counts", with_views("pois") + """
@@ -517,11 +517,10 @@ def tag_counts(spark, sf_dir):
         (row_number() OVER (PARTITION BY date_trunc('month', sold_date) ORDER BY zpid) - 1) // 100 AS chunk
         FROM homes WHERE latitude IS NOT NULL AND sold_date IS NOT NULL)
     SELECT least(month, DATE '2024-03-10') AS snapshot, month, chunk, count(*) AS circles, min(zpid) AS first_zpid, max(zpid) AS last_zpid, category, filter
-    FROM n, (VALUES ('fast_food', 'amenity=fast_food'), ('transit', 'railway=station or railway=subway_entrance or public_transport=station')) c(category, filter)
+    FROM n, (VALUES """ + ", ".join(f"('{c}', '{' or '.join(tags)}')" for c, tags in rv.POI_CATEGORIES.items()) + """) c(category, filter)
     GROUP BY month, chunk, category, filter""")
 def circle_requests(spark, sf_dir):
-    chosen = {c: rv.POI_CATEGORIES[c] for c in ("fast_food", "transit")}
-    requests = enrich.circle_requests(views.homes(spark, sf_dir), views.POI_LATEST, chosen, rows_per_request=100)
+    requests = enrich.circle_requests(views.homes(spark, sf_dir), views.POI_LATEST, rows_per_request=100)
     circles = F.transform(F.split("bcircles", r"\|"), lambda c: F.split_part(c, F.lit(":"), F.lit(1)).cast("bigint"))
     return requests.select(
         "snapshot", "month", "chunk", "circles", F.get(circles, 0).alias("first_zpid"),

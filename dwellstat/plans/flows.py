@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from dwellstat import reference_values as rv
 from dwellstat.functions import checks, dates
-from dwellstat.operators import agreement, batches, cleaning, enrich, joins, modeling, ordering, sampling, summaries
+from dwellstat.operators import agreement, batches, cleaning, enrich, joins, modeling, sampling, summaries
 from dwellstat.session import staged
 
 STRUCTURE = ("bedrooms", "bathrooms", "area-sqft", "built_in", "lot_area", "days_old")
@@ -40,19 +40,19 @@ def valuation_table(
     """Raw listings → one row per sale with lot record as of the sale and place counts as of its month.
 
     ``addresses`` is unique per house number, street and borough; ``pois`` has one row per place
-    and category. Listings without an id are dropped, repeated ids keep their first row.
+    and category. Every kept sale gives a row, also without an id and when an id repeats.
     """
     kept, _ = cleaning.clean_sales(raw)
-    kept = kept.filter(F.col("zpid").isNotNull())
-    kept = ordering.keep_first(kept, ["zpid"], [F.col("sold_date"), F.col("sold_price"), F.col("listing-link-href")])
     sold = kept.withColumn("sale_day", dates.us_date("sold_date"))
-    placed = staged(enrich.geocode(sold, addresses).drop("house_number", "street"), "placed-sales")
+    geocoded = enrich.geocode(sold, addresses).drop("house_number", "street")
+    # the row number is fixed once the rows are written
+    placed = staged(geocoded.withColumn("_sale", F.monotonically_increasing_id()), "placed-sales")
     versioned = placed.withColumn("version", enrich.version_as_of("sale_day", versions))
     with_lots = enrich.clean_lot_fields(enrich.attach_lots(versioned, lots))
     newest = latest_places or dt.date.today()
-    spots = placed.select("zpid", "latitude", "longitude", dates.snapshot_date("sale_day", newest).alias("snapshot"))
-    counts = enrich.radius_counts(spots, pois, categories)
-    return joins.lookup(with_lots, counts, ["zpid"])
+    spots = placed.select("_sale", "latitude", "longitude", dates.snapshot_date("sale_day", newest).alias("snapshot"))
+    counts = enrich.radius_counts(spots, pois, categories, key="_sale")
+    return joins.lookup(with_lots, counts, ["_sale"]).drop("_sale")
 
 
 def photo_batches(images: DataFrame, done: DataFrame, prompt: str, item: str = "image_path") -> DataFrame:

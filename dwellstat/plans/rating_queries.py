@@ -224,13 +224,13 @@ def score_range(spark, sf_dir):
 
 
 @query("replicate_lists", with_views("good_scores") + """,
-    one AS (SELECT image_path, replicate, score, reasoning FROM good_scores WHERE model = 'm1'
-        QUALIFY row_number() OVER (PARTITION BY image_path, replicate ORDER BY score, reasoning) = 1)
-    SELECT image_path, count(*) AS n, string_agg(replicate || ':' || CAST(CAST(score * 2 AS BIGINT) AS VARCHAR) || ':' || reasoning, ';' ORDER BY replicate) AS answers
-    FROM one GROUP BY image_path""")
+    all_answers AS (SELECT image_path, replicate, score, reasoning FROM good_scores WHERE model = 'm1')
+    SELECT image_path, count(*) AS n, string_agg(replicate || ':' || CAST(CAST(score * 2 AS BIGINT) AS VARCHAR) || ':' || reasoning, ';'
+        ORDER BY replicate, score, reasoning) AS answers
+    FROM all_answers GROUP BY image_path""")
 def replicate_lists(spark, sf_dir):
     s = good_scores(spark, sf_dir).filter("model = 'm1'")
-    out = agreement.replicate_lists(s, ["image_path"], 5, ["score", "reasoning"])
+    out = agreement.replicate_lists(s, ["image_path"], ["score", "reasoning"])
     line = F.transform("answers", lambda a: F.concat_ws(":", a["replicate"].cast("string"), (a["score"] * 2).cast("bigint").cast("string"), a["reasoning"]))
     return out.select("image_path", F.size("answers").cast("bigint").alias("n"), F.array_join(line, ";").alias("answers"))
 

@@ -9,6 +9,7 @@ from dwellstat.operators import ordering, sampling
 from dwellstat.plans import views
 from dwellstat.plans.registry import query, table
 from dwellstat.plans.views import with_views
+from dwellstat.session import staged
 
 R = 6
 BINS = 12
@@ -32,7 +33,8 @@ def binned_pool(spark, sf_dir):
     pool = pool.join(li.filter("l_quantity = 50").select(F.col("l_orderkey").alias("zpid")), "zpid", "left_anti")
     ppsf = F.try_divide("price", "sqft")
     pool = pool.select("zpid", ppsf.alias("ppsf"), F.ln(ppsf).alias("log_ppsf"))
-    return sampling.quantile_bins(pool, "log_ppsf", BINS)
+    # read for the edges and again for the rows
+    return sampling.quantile_bins(staged(pool, "pool"), "log_ppsf", BINS)
 
 
 @query("quantile_bins", _BINS_SQL + f" SELECT zpid, round(ppsf, {R}) AS ppsf, bin FROM binned")
@@ -52,7 +54,7 @@ def bin_edges(spark, sf_dir):
     SELECT zpid, round(ppsf, {R}) AS ppsf, bin FROM binned
     QUALIFY row_number() OVER (PARTITION BY bin ORDER BY md5('42|' || zpid), zpid) <= CASE WHEN bin IN (1, 2, 11, 12) THEN 40 ELSE 20 END""")
 def bin_sample(spark, sf_dir):
-    out = sampling.bin_sample(binned_pool(spark, sf_dir), "zpid", "bin", sampling.bin_quotas(BINS, 20, 2.0), 42)
+    out = sampling.bin_sample(binned_pool(spark, sf_dir), "zpid", "bin", sampling.bin_quotas(sampling.bin_table(spark, BINS, 20), 20), 40, 42)
     return out.select("zpid", F.round("ppsf", R).alias("ppsf"), "bin").orderBy("bin", "ppsf")
 
 
@@ -76,25 +78,27 @@ def sample_shortfalls(spark, sf_dir):
     return sampling.shortfalls(sample, "label", ("kitchen", "bathroom", "attic"), 25)
 
 
-@query("allocate", _BINS_SQL + """,
-    w AS (SELECT bin, CASE WHEN bin IN (1, 2, 11, 12) THEN 1.7::DOUBLE ELSE 1 END AS weight FROM (SELECT DISTINCT bin FROM binned)),
+_QUOTA_SQL = """
+    w AS (SELECT bin, CASE WHEN bin IN (1, 2, 11, 12) THEN 17 ELSE 10 END AS weight FROM {bins}),
     s AS (SELECT *, 38 * weight / sum(weight) OVER () AS share FROM w),
-    b AS (SELECT *, CAST(floor(share) AS BIGINT) AS base FROM s)
-    SELECT bin, weight, base + (row_number() OVER (ORDER BY round(base - share, 9), bin) <= 38 - sum(base) OVER ())::BIGINT AS allocated FROM b""")
+    b AS (SELECT *, CAST(floor(share) AS BIGINT) AS base FROM s),
+    quota AS (SELECT bin, weight, base + (row_number() OVER (ORDER BY round(base - share, 9), bin) <= 38 - sum(base) OVER ())::BIGINT AS q FROM b)"""
+
+
+@query("allocate", _BINS_SQL + "," + _QUOTA_SQL.format(bins="(SELECT DISTINCT bin FROM binned)") + " SELECT bin, weight, q AS quota FROM quota")
 def allocate(spark, sf_dir):
     bins = binned_pool(spark, sf_dir).select("bin").distinct()
-    weights = bins.withColumn("weight", F.when(F.col("bin").isin(1, 2, 11, 12), F.lit(1.7)).otherwise(F.lit(1.0)))
-    return sampling.allocate_rows(weights, 38, "bin", "weight")
+    return sampling.allocate(sampling.bin_table(spark, BINS, 17).join(bins, "bin"), 38, "bin")
 
 
 _TWO_PASS_SQL = _BINS_SQL + """,
     photos AS (SELECT 'images/' || l_orderkey || '/' || l_linenumber || '_' || l_partkey || '_' || l_suppkey || '.jpg' AS image_path, l_orderkey AS zpid,
         CASE l_returnflag || l_linestatus WHEN 'AF' THEN 'kitchen' WHEN 'AO' THEN 'bathroom' WHEN 'NF' THEN 'bedroom' WHEN 'NO' THEN 'living_room' ELSE 'other' END AS label
-        FROM lineitem WHERE l_discount = 0.03),
-    labelled AS (SELECT label, zpid, bin, image_path FROM photos JOIN binned USING (zpid) WHERE label <> 'other' AND (bin <> 1 OR zpid % 10 = 0)),
+        FROM lineitem),
+    labelled AS (SELECT label, zpid, bin, image_path FROM photos JOIN binned USING (zpid) WHERE label <> 'other'),
     singles AS (SELECT * FROM labelled QUALIFY row_number() OVER (PARTITION BY label, bin, zpid
         ORDER BY md5('42|' || label || '|' || bin || '|' || zpid || '|' || image_path), image_path) = 1),
-    quota(bin, q) AS (VALUES """ + ", ".join(f"({b}, {q})" for b, q in sampling.allocate(38, BINS, 1.7).items()) + """),
+""" + _QUOTA_SQL.format(bins=f"(SELECT unnest(range(1, {BINS + 1})) AS bin)") + """,
     pass1 AS (SELECT s.* FROM singles s JOIN quota USING (bin) QUALIFY row_number() OVER (PARTITION BY label, bin ORDER BY md5('42|' || zpid), zpid) <= q),
     rest AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42-top-up|' || zpid), zpid) AS rn FROM
         (SELECT * FROM singles EXCEPT SELECT * FROM pass1)),
@@ -104,17 +108,17 @@ _TWO_PASS_SQL = _BINS_SQL + """,
 
 
 def _labelled(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").filter("l_discount = 0.03")
+    li = table(spark, sf_dir, "lineitem")
     path = F.concat(F.lit("images/"), F.col("l_orderkey").cast("string"), F.lit("/"), F.concat_ws(
         "_", F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")), F.lit(".jpg"))
     flag = F.concat("l_returnflag", "l_linestatus")
     label = F.when(flag == "AF", "kitchen").when(flag == "AO", "bathroom").when(flag == "NF", "bedroom").when(flag == "NO", "living_room")
     photos = li.select(path.alias("image_path"), F.col("l_orderkey").alias("zpid"), label.alias("label")).filter("label is not null")
-    return photos.join(binned_pool(spark, sf_dir).select("zpid", "bin"), "zpid").filter("bin <> 1 or zpid % 10 = 0")
+    return photos.join(binned_pool(spark, sf_dir).select("zpid", "bin"), "zpid")
 
 
 def _two_pass(spark, sf_dir):
-    quotas = sampling.allocate(38, BINS, 1.7)
+    quotas = sampling.allocate(sampling.bin_table(spark, BINS, 17), 38, "bin")
     return sampling.two_pass_sample(_labelled(spark, sf_dir), "label", "zpid", "image_path", "bin", 38, quotas, 42)
 
 

@@ -25,7 +25,6 @@ RATERS = ("r0", "r1", "r2", "r3")
 PRICED_MODELS = {"m0": "gpt-4o", "m1": "gemini-3.5-flash", "m2": "claude-haiku-4-5"}
 AMENITIES = ("restaurant", "cafe", "bar", "bank", "school", "fuel", "bench")
 SHOPS = ("coffee", "bakery", "clothes")
-POI_USED = ("dining", "nightlife", "groceries", "retail", "civic_finance", "education", "disamenity")
 
 
 def _pick(values, index) -> F.Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,19 +16,40 @@ RUN_META = "timestamp string, rooms array<string>, label string"
 RUN_ENTRY = "file string, label string, timestamp string, rooms array<string>, model string, cost_usd double"
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | T.StructType, columns: Sequence[str] | None = None) -> DataFrame:
-    """CSV with a header whose cells may hold commas, quotes, line breaks, HTML or JSON.
+def _csv_layouts(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """The header layouts of the CSV files below a path, each with its files.
 
-    Columns are matched by name, so the schema may list a part of the file in any order.
+    Reads the first line of every file; what is gathered is one row per layout.
+    """
+    first = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
+                                         F.monotonically_increasing_id().alias("row")).filter("at = 0")
+    heads = first.groupBy("file").agg(F.min_by("value", "row").alias("head"))
+    found = heads.groupBy("head").agg(F.collect_list("file").alias("files")).collect()
+    return {tuple(next(csv.reader([r["head"].removeprefix("\ufeff")]))): r["files"] for r in found}
+
+
+def read_csv(spark: SparkSession, path: str, schema: str | T.StructType, columns: Sequence[str] | None = None,
+             multiline: bool = True) -> DataFrame:
+    """CSV with a header whose cells may hold commas, quotes, HTML or JSON.
+
+    Columns are matched by name in every file: files of one header layout are read together under
+    that layout's explicit schema. Line breaks in cells need ``multiline``, under which a file is
+    one task; without it files are split.
     """
     wanted = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("quote", '"')
-    present = reader.option("inferSchema", False).csv(path)
-    absent = [f.name for f in wanted if f.name not in present.columns]
-    if absent:
-        raise ValueError(f"{path}: columns not found: {', '.join(absent)}")
     names = list(columns) if columns is not None else wanted.names
-    return present.select(*[_typed(wanted[n]) for n in names])
+    out = None
+    for layout, files in sorted(_csv_layouts(spark, path).items()):
+        absent = [f.name for f in wanted if f.name not in layout]
+        if absent:
+            raise ValueError(f"{path}: columns not found: {', '.join(absent)}")
+        texts = T.StructType([T.StructField(n, T.StringType()) for n in layout])
+        reader = spark.read.schema(texts).option("header", True).option("multiLine", multiline).option("escape", '"').option("quote", '"')
+        part = reader.csv(files).select(*[_typed(wanted[n]) for n in names])
+        out = part if out is None else out.union(part)
+    if out is None:
+        raise ValueError(f"{path}: no CSV files with a header")
+    return out
 
 
 def _typed(field: T.StructField):
@@ -70,9 +92,16 @@ def read_json_document(spark: SparkSession, path: str, schema: str) -> DataFrame
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def read_poi_elements(spark: SparkSession, path: str) -> DataFrame:
-    """Place elements with their tag map from exports of the form ``{"elements": [...]}``."""
-    document = read_json_document(spark, path, f"elements array<struct<{_fields(POI_ELEMENT)}>>")
+def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One JSON object per line; files are split."""
+    return spark.read.schema(schema).json(path)
+
+
+def read_poi_elements(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Place elements with their tag map from exports of the form ``{"elements": [...]}``, one per
+    file or, with ``lines``, one per line."""
+    read = read_json_lines if lines else read_json_document
+    document = read(spark, path, f"elements array<struct<{_fields(POI_ELEMENT)}>>")
     return document.select(F.inline("elements"))
 
 

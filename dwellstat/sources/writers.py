@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dwellstat.operators import joins
+from dwellstat.operators import joins, ordering
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -22,15 +22,19 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
 
 
 def append_pending(spark: SparkSession, rows: DataFrame, path: str, keys: Sequence[str]) -> None:
-    """Appends the rows whose keys the log does not hold yet; running it again changes nothing."""
+    """Appends the rows whose keys the log does not hold yet; running it again changes nothing.
+
+    Of rows with one key the first by all columns is stored, so a retry stores the same.
+    """
+    rows = ordering.keep_first(rows, keys, [F.to_json(F.struct(*rows.columns))])
     try:
         done = spark.read.schema(rows.schema).parquet(path)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-        rows.dropDuplicates(list(keys)).write.parquet(path)
+        rows.write.parquet(path)
         return
-    joins.pending(rows, done, keys).dropDuplicates(list(keys)).write.mode("append").parquet(path)
+    joins.pending(rows, done, keys).write.mode("append").parquet(path)
 
 
 def write_request_files(lines: DataFrame, path: str, chunk: str = "chunk_id", line: str = "line") -> None:

@@ -1,7 +1,9 @@
 """Incremental collection of result files and ratings.
 
-Each micro-batch is written to its own ``batch_id`` folder in overwrite mode. A retried batch
-therefore replaces itself, and what a reader sees does not depend on how often a batch ran.
+Each micro-batch is written to a folder of its run and ``batch_id`` in overwrite mode; the run is the
+query's id, which Spark keeps in the checkpoint and makes anew with it. A retried batch therefore replaces itself, and a new checkpoint
+on an old log adds to it. The log is further divided by a digest of the key, so that a batch reads
+only the divisions its own keys fall into.
 """
 
 from __future__ import annotations
@@ -17,23 +19,44 @@ from pyspark.sql.streaming import StreamingQuery
 from dwellstat.operators import batches, joins, ordering, summaries
 
 
-def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+#: Divisions of a log by key digest; a batch with few keys reads few of them.
+DIVISIONS = 256
 
 
-def _earlier(spark: SparkSession, path: str, batch_id: int, schema: T.StructType) -> DataFrame | None:
-    """What earlier batches wrote; the current batch's own leftovers do not count."""
-    if batch_id == 0:
+def _run(batch: DataFrame) -> str:
+    """Id of the streaming query that a micro-batch belongs to."""
+    run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+    if not run:
+        raise RuntimeError("a log is written by a streaming query only")
+    return run
+
+
+def _division(keys: Sequence[str]):
+    return F.pmod(F.xxhash64(*keys), F.lit(DIVISIONS)).cast("int")
+
+
+def _write_batch(df: DataFrame, path: str, run: str, batch_id: int, keys: Sequence[str]) -> None:
+    divided = df.withColumn("division", _division(keys)).repartition("division")
+    divided.write.mode("overwrite").partitionBy("division").parquet(f"{path}/run={run}/batch_id={batch_id}")
+
+
+def _earlier(batch: DataFrame, path: str, run: str, batch_id: int, schema: T.StructType, keys: Sequence[str]) -> DataFrame | None:
+    """What any earlier batch of any run wrote in the batch's divisions; its own leftovers do not count."""
+    log = read_log(batch.sparkSession, path, schema)
+    if log is None:
         return None
-    log = read_log(spark, path, schema)
-    return None if log is None else log.filter(F.col("batch_id") < batch_id)
+    # at most DIVISIONS numbers
+    wanted = [r[0] for r in batch.select(_division(keys).alias("d")).distinct().collect()]
+    own = (F.col("run") == run) & (F.col("batch_id") >= batch_id)
+    return log.filter(F.col("division").isin(wanted) & ~own)
 
 
 def read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
-    """All batches of a log with their ``batch_id``; None before the first was written."""
-    fields = [f for f in schema.fields if f.name != "batch_id"]
+    """All batches of a log with their ``run``, ``batch_id`` and ``division``; None before the first was written."""
+    added = [T.StructField("run", T.StringType()), T.StructField("batch_id", T.IntegerType()), T.StructField("division", T.IntegerType())]
+    fields = [f for f in schema.fields if f.name not in {a.name for a in added}]
     try:
-        return spark.read.schema(T.StructType([*fields, T.StructField("batch_id", T.IntegerType())])).parquet(path)
+        return spark.read.schema(T.StructType([*fields, *added])).parquet(path)
     except AnalysisException as missing:
         if missing.getCondition() == "PATH_NOT_FOUND":
             return None
@@ -48,43 +71,47 @@ def collect_results(lines: DataFrame, log_path: str, checkpoint: str, key: str =
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
+        run = _run(batch)
         rows = batches.parse_responses(batch).filter(F.col("error") == "").drop("error")
         single = ordering.keep_first(rows, [key], [F.col("source_chunk"), F.to_json(F.struct(*rows.columns))])
-        earlier = _earlier(batch.sparkSession, log_path, batch_id, rows.schema)
+        earlier = _earlier(single, log_path, run, batch_id, rows.schema, [key])
         fresh = single if earlier is None else joins.exclude(single, earlier, [key])
-        _write_batch(fresh, log_path, batch_id)
+        _write_batch(fresh, log_path, run, batch_id, [key])
 
     return (
         lines.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
-def collect_ratings(ratings: DataFrame, log_path: str, checkpoint: str) -> StreamingQuery:
-    """Stores each micro-batch's last rating per (rater, photo); ``current_ratings`` resolves the rest."""
+def collect_ratings(ratings: DataFrame, log_path: str, checkpoint: str, arrival: str = "arrival",
+                    keys: Sequence[str] = ("rater", "image_path")) -> StreamingQuery:
+    """Stores each micro-batch's last rating per (rater, photo); ``current_ratings`` resolves the rest.
+
+    ``arrival`` is the column that tells which of two ratings with one time came later.
+    """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        _write_batch(summaries.latest_ratings(batch), log_path, batch_id)
+        newest = summaries.latest_ratings(batch, keys, arrival=arrival, fields=("score", arrival))
+        _write_batch(newest, log_path, _run(batch), batch_id, keys)
 
     return (
         ratings.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
-def current_ratings(log: DataFrame, keys: Sequence[str] = ("rater", "image_path")) -> DataFrame:
-    """Last rating per key by time; of equal times the later batch counts."""
-    return summaries.latest_ratings(log, keys, arrival="batch_id")
+def current_ratings(log: DataFrame, keys: Sequence[str] = ("rater", "image_path"), arrival: str = "arrival") -> DataFrame:
+    """Last rating per key by time; of equal times the later arrival counts."""
+    return summaries.latest_ratings(log.drop("run", "batch_id", "division"), keys, arrival=arrival)
 
 
-def compact_ratings(spark: SparkSession, log: DataFrame, path: str) -> DataFrame:
-    """Writes the resolved ratings as a table of their own."""
-    current_ratings(log).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+def chunk_status(states: DataFrame, path: str, checkpoint: str, by: Sequence[str] = ("chunk", "state")) -> StreamingQuery:
+    """Running counts per chunk and state; every micro-batch replaces the table at ``path``."""
 
+    def store(counts: DataFrame, batch_id: int) -> None:
+        counts.write.mode("overwrite").parquet(path)
 
-def chunk_status(states: DataFrame, name: str, checkpoint: str, by: Sequence[str] = ("chunk", "state")) -> StreamingQuery:
-    """Running counts per chunk and state, kept as a queryable in-memory table of that name."""
     return (
         states.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-        .writeStream.outputMode("complete").format("memory").queryName(name)
+        .writeStream.outputMode("complete").foreachBatch(store)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )

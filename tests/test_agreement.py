@@ -85,8 +85,9 @@ def test_replicates(spark):
                                "image_path string, replicate int, level int, score double, confidence double, error string")
     got = {r.image_path: r for r in agreement.replicate_summary(df, ["image_path"], 2).collect()}
     assert got["p"].consistent and got["p"].mean_score == 3.5 and not got["q"].consistent
-    lists = {r.image_path: r.answers for r in agreement.replicate_lists(df, ["image_path"], 2, ["score"]).collect()}
-    assert [(x.replicate, x.score) for x in lists["p"]] == [(1, 3.0), (2, 4.0)]
+    more = df.union(spark.createDataFrame([("p", 2, 3, 2.0, .7, None), ("p", 7, 3, 1.0, .7, None)], df.schema))
+    lists = {r.image_path: r.answers for r in agreement.replicate_lists(more, ["image_path"], ["score"]).collect()}
+    assert [(x.replicate, x.score) for x in lists["p"]] == [(1, 3.0), (2, 2.0), (2, 4.0), (7, 1.0)]
 
 
 def test_photo_features_and_route(spark):

@@ -87,7 +87,7 @@ def check(spark, value, make, expected):
     (text.street_name, "12 Main St APT 4, rear", "Main St"), (text.street_name, "12 Unity Ave #3", "Unity Ave"),
     (text.street_name, "Nowhere", None), (text.house_number, "12-34 Main", "12-34"), (text.street_name, "1 Floral Pl", "Floral Pl"),
     (text.zip5, "11201.0", "11201"), (text.zip5, "x", None), (text.code_string, "8.0", "8"), (text.code_string, "A5", "A5"),
-    (text.lenient_long, "3012.0", 3012), (text.lenient_long, "x", None), (text.photo_key, "http://h/a.jpg", "a.jpg"),
+    (text.lenient_long, "3012.0", 3012), (text.lenient_long, "x", None), (text.lenient_long, "12d", None), (text.lenient_double, "12f", None), (text.lenient_double, " 1.5e3 ", 1500.0), (text.lenient_double, ".5", 0.5), (text.photo_key, "http://h/a.jpg", "a.jpg"),
     (text.photo_key, "http://h/fp/0123456789abcdef-cc_ft_960.jpg", "0123456789abcdef"),
     (text.photo_size, "http://h/x-uncropped_scaled_within_1536_1152.webp", 1152), (text.photo_size, "http://h/a.jpg", 0),
     (text.is_hero, "images/1/1_hero.jpg", 1), (text.is_hero, "images/1/1_hero_2.jpg", 0), (text.parent_folder, "images/77/a.jpg", "77"),

@@ -109,3 +109,28 @@ def test_geocode_miss_is_null(spark):
     sales = spark.createDataFrame([("12 Main St Apt 2", "Brooklyn"), ("Nowhere", "Brooklyn")], "address string, borough string")
     ref = spark.createDataFrame([("12", "Main St", "Brooklyn", 7, 1.5)], "house_number string, street string, borough string, bbl long, latitude double")
     assert {r.address: r.bbl for r in enrich.geocode(sales, ref).collect()} == {"12 Main St Apt 2": 7, "Nowhere": None}
+
+
+def test_places_around_the_pole(spark):
+    """A circle over the pole holds places on every meridian; long radii are compared place by place."""
+    spots = spark.createDataFrame([(1, 89.9, 0.0, dt.date(2020, 1, 1)), (2, 40.0, 179.9, dt.date(2020, 1, 1))],
+                                  "zpid long, latitude double, longitude double, snapshot date")
+    places = [("a", 89.95, 180.0), ("a", 89.9, 90.0), ("a", 89.85, -3.0), ("a", 89.0, 0.0), ("a", 40.1, -179.9), ("a", 43.0, 175.0)]
+    pois = spark.createDataFrame([(c, la, lo, None, None) for c, la, lo in places],
+                                 "category string, latitude double, longitude double, valid_from date, valid_to date")
+    counts = lambda radius: {r.zpid: r.a for r in enrich.radius_counts(spots, pois, ["a"], radius).collect()}
+    assert counts(30_000.0) == {1: 3, 2: 1}
+    assert counts(600_000.0) == {1: 4, 2: 2}
+
+
+def test_requests_with_text_ids(spark):
+    rows = [(k, 40.0, -73.0, dt.date(2020, 1, 5)) for k in ("a1", "b2", "c3")]
+    df = spark.createDataFrame(rows, "zpid string, latitude double, longitude double, sold_date date")
+    got = enrich.circle_requests(df, dt.date(2024, 1, 1), {"x": ["k=v"]}, rows_per_request=2).orderBy("chunk").collect()
+    assert [r.circles for r in got] == [2, 1] and got[0].bcircles.startswith("a1:")
+
+
+def test_many_versions(spark):
+    versions = [(dt.date(1990, 1, 1) + dt.timedelta(days=i), f"v{i}") for i in range(700)]
+    row = spark.sql("SELECT DATE '1990-12-31' AS d").select(enrich.version_as_of("d", versions).alias("v")).first()
+    assert row.v == "v364"

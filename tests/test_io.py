@@ -139,18 +139,50 @@ def test_collected_results_do_not_repeat(spark, tmp_path):
     columns = batches.parse_responses(spark.createDataFrame([("", "")], schema)).drop("error").schema
     got = logs.read_log(spark, log, columns).collect()
     assert sorted(r.image_path for r in got) == ["images/7/7_hero.jpg", "images/7/b.jpg", "images/8/x.jpg"]
+    # a new checkpoint on the old log, and other files: nothing is lost or repeated
+    other = tmp_path / "other"
+    other.mkdir()
+    more = [LINES[0], response("images/9/y.jpg", ['{"room_type":"bedroom"}'])]
+    (other / "c2.json").write_text("\n".join(json.dumps({"value": v, "source_chunk": "c2"}) for v in more))
+    logs.collect_results(spark.readStream.schema(schema).json(str(other)), log, str(tmp_path / "state2")).awaitTermination()
+    paths = sorted(r.image_path for r in logs.read_log(spark, log, columns).collect())
+    assert paths == ["images/7/7_hero.jpg", "images/7/b.jpg", "images/8/x.jpg", "images/9/y.jpg"]
+
+
+def test_csv_columns_go_by_name_in_every_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a,b\n1,2\n3,4\n")
+    (tmp_path / "b.csv").write_text("b,c,a\n20,x,10\n")
+    for multiline in (True, False):
+        got = readers.read_csv(spark, str(tmp_path), "a int, b int", multiline=multiline).collect()
+        assert sorted((r.a, r.b) for r in got) == [(1, 2), (3, 4), (10, 20)]
+    with pytest.raises(ValueError, match="columns not found: d"):
+        readers.read_csv(spark, str(tmp_path), "a int, d int")
+
+
+def test_append_stores_the_same_row_again(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c")], "k int, v string")
+    for n in (1, 5):
+        writers.append_pending(spark, rows.repartition(n), str(tmp_path / str(n)), ["k"])
+        assert sorted(map(tuple, spark.read.parquet(str(tmp_path / str(n))).collect())) == [(1, "a"), (2, "c")]
+
+
+def test_lookup_reads_only_what_is_used(spark, sf_dir):
+    orders, customer = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer"))
+    joined = joins.lookup(orders.withColumnRenamed("o_custkey", "c_custkey"), customer, ["c_custkey"]).select("o_orderkey", "c_acctbal")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "struct<o_orderkey:bigint,o_custkey:bigint>" in plan and "struct<c_custkey:bigint,c_acctbal:double>" in plan
 
 
 def test_ratings_stream_last_write_wins(spark, tmp_path):
-    schema = "rater string, image_path string, score int, timestamp timestamp_ntz"
+    schema = "rater string, image_path string, score int, timestamp timestamp_ntz, arrival int"
     source, log, state = [str(tmp_path / n) for n in ("in", "log", "state")]
     at = [dt.datetime(2026, 1, d) for d in (1, 2, 3)]
-    for batch in ([("a", "p", 3, at[1]), ("b", "p", 1, at[0])], [("a", "p", 9, at[0]), ("b", "p", 2, at[2])]):
+    for batch in ([("a", "p", 3, at[1], 1), ("b", "p", 1, at[0], 2), ("c", "p", 5, at[0], 3), ("c", "p", 3, at[0], 4), ("d", "p", 8, at[0], 5)],
+                  [("a", "p", 9, at[0], 6), ("b", "p", 2, at[2], 7), ("d", "p", 4, at[0], 8)]):
         spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(source)
         logs.collect_ratings(spark.readStream.schema(schema).parquet(source), log, state).awaitTermination()
-    stored = logs.read_log(spark, log, summaries.latest_ratings(spark.createDataFrame([], schema)).schema)
-    assert {r.rater: r.score for r in logs.current_ratings(stored).collect()} == {"a": 3, "b": 2}
-    assert logs.compact_ratings(spark, stored, str(tmp_path / "current")).count() == 2
+    stored = logs.read_log(spark, log, summaries.latest_ratings(spark.createDataFrame([], schema), arrival="arrival", fields=("score", "arrival")).schema)
+    assert {r.rater: r.score for r in logs.current_ratings(stored).collect()} == {"a": 3, "b": 2, "c": 3, "d": 4}
 
 
 def test_chunks_written_per_folder(spark, tmp_path):

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from dwellstat.operators import sampling
+from dwellstat.operators import ordering, sampling
 
 ROOMS = ("kitchen", "bathroom", "bedroom", "living_room")
 
@@ -17,15 +17,38 @@ def photo_frame(spark, listings=60, hot=300):
     return pd.DataFrame(rows, columns=["image_path", "zpid", "label"])
 
 
-def test_allocate_sums_and_weights():
-    for total, bins, weight in [(38, 12, 1.7), (7, 12, 1.7), (100, 5, 3.0), (0, 4, 2.0)]:
-        got = sampling.allocate(total, bins, weight)
-        assert sum(got.values()) == total and len(got) == bins
-    assert sampling.allocate(38, 12, 1.7)[1] >= sampling.allocate(38, 12, 1.7)[6]
+def quotas_of(spark, quotas):
+    return spark.createDataFrame(list(quotas.items()), "bin bigint, quota bigint")
 
 
-def test_bin_quotas():
-    assert sampling.bin_quotas(12, 20, 2.0) == {b: 40 if b in (1, 2, 11, 12) else 20 for b in range(1, 13)}
+def test_allocate_sums_and_weights(spark):
+    for total, bins, tenths in [(38, 12, 17), (7, 12, 17), (100, 5, 30), (0, 4, 20)]:
+        got = {r.bin: r.quota for r in sampling.allocate(sampling.bin_table(spark, bins, tenths), total, "bin").collect()}
+        assert sum(got.values()) == total and sorted(got) == list(range(1, bins + 1))
+        weight = {b: tenths if b in (1, 2, bins - 1, bins) else 10 for b in got}
+        for b, n in got.items():  # never further than one from the exact share
+            assert abs(n - total * weight[b] / sum(weight.values())) < 1
+    assert got[1] >= got[3]
+
+
+def test_bin_quotas(spark):
+    got = {r.bin: r.quota for r in sampling.bin_quotas(sampling.bin_table(spark, 12, 20), 20).collect()}
+    assert got == {b: 40 if b in (1, 2, 11, 12) else 20 for b in range(1, 13)}
+
+
+def test_top_rows_do_not_depend_on_the_plan(spark):
+    """Rows without a group count as a group, whether few or many rows are asked for."""
+    df = spark.createDataFrame([(i, None if i % 2 else "a") for i in range(10)], "k int, g string")
+    few, many = (ordering.seeded_top(df, 1, ["k"], ["g"], n).collect() for n in (1000, 1001))
+    assert sorted((r.k, r.rank) for r in few) == sorted((r.k, r.rank) for r in many) and len(few) == 10
+    numbered = ordering.seeded_top(df, 1, ["k"], ["g"], 3).collect()
+    assert sorted(r.k for r in numbered) == sorted(r.k for r in many if r.rank <= 3)
+
+
+def test_capped_sample_has_no_limit_per_key(spark):
+    df = spark.createDataFrame([("a", f"{i:05d}") for i in range(1500)] + [("b", "x")], "key string, item string")
+    got = sampling.capped_sample(df, "key", "item", 1200, 5000, 7).collect()
+    assert sorted(r.item for r in got if r.key == "a") == [f"{i:05d}" for i in range(1200)] and len(got) == 1201
 
 
 @pytest.mark.parametrize("values", [np.random.default_rng(1).lognormal(5, 1, 500), np.repeat([1.0, 2.0, 3.0], [400, 50, 50])])
@@ -37,9 +60,9 @@ def test_quantile_bins_match_qcut(spark, values):
 
 def test_bin_sample_takes_all_of_a_small_bin(spark):
     df = spark.createDataFrame([(i, 1 if i < 3 else 2) for i in range(50)], "k int, bin int")
-    got = sampling.bin_sample(df, "k", "bin", {1: 5, 2: 7}, 42)
+    got = sampling.bin_sample(df, "k", "bin", quotas_of(spark, {1: 5, 2: 7}), 7, 42)
     assert Counter(r.bin for r in got.collect()) == {1: 3, 2: 7}
-    again = sampling.bin_sample(df.repartition(5), "k", "bin", {1: 5, 2: 7}, 42)
+    again = sampling.bin_sample(df.repartition(5), "k", "bin", quotas_of(spark, {1: 5, 2: 7}), 7, 42)
     assert {r.k for r in again.collect()} == {r.k for r in got.collect()}
 
 
@@ -50,15 +73,13 @@ def test_stratified_sample(spark):
     assert not got.duplicated(["label", "zpid"]).any()
     short = sampling.shortfalls(df.filter("label = 'kitchen'"), "label", ("kitchen", "attic"), 1).collect()
     assert [tuple(r) for r in short] == [("attic", 0)]
-    with pytest.raises(ValueError, match="attic 0 of 1"):
-        sampling.require_minimum(df, "label", ("attic",), 1)
 
 
 def test_two_pass_sample_tops_up(spark):
     rows = [("kitchen", z, f"p{z}-{i}", 1 if z < 2 else 2) for z in range(40) for i in range(3)]
     rows += [("bathroom", z, f"q{z}", 1) for z in range(4)]
     df = spark.createDataFrame(rows, "label string, zpid int, image_path string, bin int")
-    got = sampling.two_pass_sample(df, "label", "zpid", "image_path", "bin", 10, {1: 5, 2: 5}, 42).toPandas()
+    got = sampling.two_pass_sample(df, "label", "zpid", "image_path", "bin", 10, quotas_of(spark, {1: 5, 2: 5}), 42).toPandas()
     kitchen = got[got.label == "kitchen"]
     assert len(kitchen) == 10 and kitchen.zpid.is_unique
     assert Counter(zip(kitchen.bin, kitchen.pass_no)) == {(1, 1): 2, (2, 1): 5, (2, 2): 3}

@@ -18,7 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dwellstat.operators import ordering, sampling
-from dwellstat.session import use_checkpoints
+from dwellstat.session import staged, use_checkpoints
+
+#: Codes of a category column that keep a bin of their own.
+MOST_CODES = 500
 
 
 @dataclass(frozen=True)
@@ -57,6 +60,19 @@ def prepared(df: DataFrame, spec: FeatureSpec, key: str, target: str) -> DataFra
     return kept.select(key, F.col(target).cast("double").alias("price"), F.ln(target).alias("y_log"), *numeric, *flags, *codes)
 
 
+def common_codes(rows: DataFrame, columns: Sequence[str], most: int = MOST_CODES) -> DataFrame:
+    """Codes beyond the ``most`` frequent ones of a column become ``rare``.
+
+    Trees need a bin per code, so the number of codes must be bounded; equal counts go by code.
+    """
+    for c in columns:
+        counts = rows.groupBy(F.col(c).alias("_code")).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "_code").limit(most)
+        known = counts.select("_code", F.lit(True).alias("_known"))
+        joined = rows.join(known, F.col(c) == F.col("_code"), "left")
+        rows = joined.withColumn(c, F.when(F.col("_known"), F.col(c)).otherwise("rare")).drop("_code", "_known")
+    return rows
+
+
 def feature_stages(spec: FeatureSpec) -> list:
     stages: list = []
     if spec.categorical:
@@ -294,7 +310,8 @@ def _training_table(df: DataFrame, spec: FeatureSpec, key: str, target: str, fol
     the enrichment joins.
     """
     use_checkpoints(df.sparkSession)
-    return sampling.kfold(prepared(df, spec, key, target), key, folds).checkpoint()
+    rows = common_codes(prepared(df, spec, key, target), spec.categorical)
+    return sampling.kfold(rows, key, folds).checkpoint()
 
 
 def cross_validate(df: DataFrame, spec: FeatureSpec, key: str, target: str, learners: dict[str, Learner],
@@ -302,7 +319,8 @@ def cross_validate(df: DataFrame, spec: FeatureSpec, key: str, target: str, lear
     """(prepared data with folds, fits, seed-averaged predictions)."""
     data = _training_table(df, spec, key, target, folds)
     fits = fit_folds(data, spec, learners, folds, seeds)
-    return data, fits, seed_average(predict_folds(data, fits, key, train_too), key)
+    # written once: metrics, blends and correlations read predictions instead of running the models again
+    return data, fits, staged(seed_average(predict_folds(data, fits, key, train_too), key), "predictions")
 
 
 def sweep(df: DataFrame, spec: FeatureSpec, key: str, target: str, configs: dict[str, Learner],
@@ -325,7 +343,7 @@ def ablation(df: DataFrame, spec: FeatureSpec, key: str, target: str, learner: L
     out = tables[0]
     for t in tables[1:]:
         out = out.unionByName(t)
-    return _against_baseline(metric_summary(fold_metrics(out)), "all")
+    return _against_baseline(metric_summary(fold_metrics(staged(out, "predictions"))), "all")
 
 
 def _against_baseline(summary: DataFrame, baseline: str) -> DataFrame:

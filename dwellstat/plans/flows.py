@@ -67,12 +67,14 @@ def photo_batches(images: DataFrame, done: DataFrame, prompt: str, item: str = "
 def rating_report(scores: DataFrame, ratings: DataFrame, groups: dict[str, Sequence[str] | None], labels: DataFrame,
                   label: str, corpus_items: Column) -> dict[str, DataFrame]:
     """Every table of the model comparison, by name."""
-    good = scores.filter(checks.no_error("error"))
-    means = agreement.mean_scores(good, ["model", "image_path", "zpid", "room_type"])
-    references = agreement.consensus(ratings, groups)
-    pairs = agreement.rater_pairs(ratings)
-    overall = agreement.agreement(means, references)
-    consistency = agreement.consistency(good)
+    # each is read by several tables
+    good = staged(scores.filter(checks.no_error("error")), "good-scores")
+    ratings = staged(ratings, "ratings")
+    means = staged(agreement.mean_scores(good, ["model", "image_path", "zpid", "room_type"]), "means")
+    references = staged(agreement.consensus(ratings, groups), "references")
+    pairs = staged(agreement.rater_pairs(ratings), "pairs")
+    overall = staged(agreement.agreement(means, references), "agreement")
+    consistency = staged(agreement.consistency(good), "consistency")
     costs = summaries.scoring_cost(good, labels, label, corpus_items)
     ceiling = agreement.agreement_ceiling(pairs)
     return {

@@ -117,6 +117,35 @@ def _fitted(spark, sf_dir, learners, seeds=(42,), train_too=False):
     return modeling.cross_validate(model_rows(spark, sf_dir), SPEC, "o_orderkey", "sold_price", learners, folds=2, seeds=seeds, train_too=train_too)
 
 
+_LINE_SQL = """
+    WITH r AS (SELECT o_orderkey, o_totalprice AS price, ln(o_totalprice) AS y_log, date_diff('day', o_orderdate::DATE, DATE '2002-01-01') AS age,
+        CAST(('0x' || substr(md5('42|' || o_orderkey), 1, 8))::BIGINT % 5 AS INT) AS fold FROM orders WHERE o_totalprice > 0),
+    lines AS (SELECT f.fold, regr_slope(y_log, age) AS slope, regr_intercept(y_log, age) AS base FROM r, (SELECT DISTINCT fold FROM r) f
+        WHERE r.fold <> f.fold GROUP BY f.fold),
+    preds AS (SELECT 'line' AS learner, r.*, base + slope * age AS pred_log FROM r JOIN lines USING (fold)),"""
+
+
+@query("linear_folds", _LINE_SQL + _metrics_sql("preds", "m") + f" SELECT learner, fold, n, round(log_rmse, {R}) AS log_rmse, round(median_pct, 4) AS median_pct FROM m")
+def linear_folds(spark, sf_dir):
+    """Out-of-fold errors of a straight line through one feature, which SQL can fit as well."""
+    spec = modeling.FeatureSpec(numeric=("age",))
+    _, _, predictions = modeling.cross_validate(
+        model_rows(spark, sf_dir), spec, "o_orderkey", "sold_price", {"line": modeling.linear(0.0)}, seeds=(42,))
+    out = modeling.fold_metrics(predictions, ["learner"])
+    return out.withColumns({"log_rmse": F.round("log_rmse", R), "median_pct": F.round("median_pct", 4)})
+
+
+@query("tree_fit_checks", """
+    SELECT CAST(('0x' || substr(md5('42|' || o_orderkey), 1, 8))::BIGINT % 2 AS INT) AS fold, count(*) AS n, true AS finite, true AS gains_add_up
+    FROM orders WHERE o_totalprice > 0 GROUP BY fold""")
+def tree_fit_checks(spark, sf_dir):
+    """What holds for any fit of the trees: every row predicted once and by a number, gains that sum to 1."""
+    _, fits, predictions = _fitted(spark, sf_dir, {"trees": _small_trees()})
+    gains = modeling.gain_importance(spark, fits, SPEC).agg(F.abs(F.sum("importance") - 1) < 1e-9).scalar()
+    finite = F.bool_and(F.abs("pred_log") < 100)
+    return predictions.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), finite.alias("finite")).withColumn("gains_add_up", gains)
+
+
 @query("gbt_cv")
 def gbt_cv(spark, sf_dir):
     _, _, predictions = _fitted(spark, sf_dir, {"trees": _small_trees()}, seeds=(42, 43), train_too=True)

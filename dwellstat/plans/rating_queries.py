@@ -8,6 +8,7 @@ from dwellstat.functions import checks, usage
 from dwellstat.operators import agreement, joins, ordering, photos, sampling, stages, summaries
 from dwellstat.plans import views
 from dwellstat.plans.registry import query, table
+from dwellstat.session import staged
 from dwellstat.plans.views import with_views
 
 R = 6
@@ -376,10 +377,11 @@ _PICK_SQL = _AGREE_SQL + _rank_sql("joined", "model, reference", "mean_score", "
     FROM al JOIN ratio USING (model) JOIN cost USING (model)
     WHERE rho >= least((SELECT ceiling FROM ceiling), (SELECT max(rho) FROM al)) - 0.05""")
 def pick_model(spark, sf_dir):
-    r = ratings(spark, sf_dir)
-    table_all = agreement.agreement(means(spark, sf_dir), agreement.consensus(r, GROUPS)).filter("reference = 'all'")
+    r = staged(ratings(spark, sf_dir), "ratings")
+    averages, references = staged(means(spark, sf_dir), "means"), staged(agreement.consensus(r, GROUPS), "references")
+    table_all = agreement.agreement(averages, references).filter("reference = 'all'")
     costs = _costed(spark, sf_dir).groupBy("model").agg(F.avg("cost_usd").alias("mean_cost_per_call_usd"))
-    out = agreement.pick_model(table_all, agreement.consistency(good_scores(spark, sf_dir)), costs, agreement.agreement_ceiling(agreement.rater_pairs(r)))
+    out = agreement.pick_model(table_all, agreement.consistency(good_scores(spark, sf_dir)), costs, agreement.agreement_ceiling(staged(agreement.rater_pairs(r), "pairs")))
     return rounded(out, "spearman", "consistency_ratio").withColumn("mean_cost_per_call_usd", F.round("mean_cost_per_call_usd", 9))
 
 

@@ -48,6 +48,8 @@ BITMAP = 27
 GROUPS = 10
 #: Tuples handled in one go, and tuples a queue holds in memory before it writes to disk.
 BLOCK, HELD = 1 << 17, 1 << 22
+#: Bytes of text whose anchors are found in one go.
+STEP = 1 << 18
 _SPAN = LENGTH - GRAM  # bytes of context before and after an anchor
 _WIDTH = 2 * LENGTH - GRAM
 _OUTSIDE = 255  # never a byte of UTF-8
@@ -58,8 +60,8 @@ common.by_value(__name__, textkernel.__name__)
 
 def anchors(body: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Blocks of (text index, anchor place, first and last string start, anchor hash) of the strings of all texts."""
-    for begin in range(0, len(body), textkernel.BLOCK):
-        part = body[begin:begin + textkernel.BLOCK + LENGTH - 1]
+    for begin in range(0, len(body), STEP):
+        part = body[begin:begin + STEP + LENGTH - 1]
         starts = len(part) - LENGTH + 1
         if starts <= 0:
             return
@@ -144,23 +146,25 @@ def contexts(rows: DataFrame, bitmap) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(bitmap.value, np.uint8)
-        around = np.arange(-_SPAN, LENGTH)
+        at = np.arange(_WIDTH)
         for batch in batches:
             for part in textkernel.slices(batch, "text"):
                 body, offsets = textkernel.utf8(part.column("text"))
+                padded = np.concatenate([np.full(_SPAN, _OUTSIDE, np.uint8), body, np.full(LENGTH, _OUTSIDE, np.uint8)])
+                windows = np.lib.stride_tricks.sliding_window_view(padded, _WIDTH)
                 for owner, place, first, last, hashes in anchors(body, offsets):
                     bit = (hashes >> np.uint64(64 - BITMAP)).astype(np.int64)
                     hit = np.flatnonzero((bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
                     owner, place = owner[hit], place[hit]
-                    spots = place[:, None] + around
-                    outside = (spots < offsets[owner][:, None]) | (spots >= offsets[owner + 1][:, None])
-                    pieces = np.where(outside, np.uint8(_OUTSIDE), body[np.clip(spots, 0, max(len(body) - 1, 0))])
                     begin = place - _SPAN
+                    pieces = windows[place]
+                    # what no string of this anchor covers is blanked, so that contexts differ by their strings only
+                    low, high = first[hit] - begin, last[hit] - begin
+                    pieces[(at < low[:, None]) | (at >= high[:, None] + LENGTH)] = _OUTSIDE
                     ends = pa.py_buffer((np.arange(len(hit) + 1, dtype=np.int32) * _WIDTH).tobytes())
                     yield pa.RecordBatch.from_arrays(
                         [part.column("doc").take(pa.array(owner)), part.column("row").take(pa.array(owner)),
-                         pa.array((begin - offsets[owner]).astype(np.int32)), pa.array((first[hit] - begin).astype(np.int32)),
-                         pa.array((last[hit] - begin).astype(np.int32)),
+                         pa.array((begin - offsets[owner]).astype(np.int32)), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)),
                          pa.Array.from_buffers(pa.binary(), len(hit), [None, ends, pa.py_buffer(pieces.tobytes())])],
                         names=["doc", "row", "start", "low", "high", "context"])
 

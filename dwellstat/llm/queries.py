@@ -24,7 +24,8 @@ def query(name: str, sql: str | None = None):
 _QUALITY_SQL = r"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, row_number() OVER () AS rid FROM documents),
 w AS (SELECT rid, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
-win AS (SELECT rid, i, array_to_string(w[i:i+7], ' ') AS k FROM w, unnest(range(1, len(w) - 6)) AS u(i) WHERE len(w) >= 8),
+win AS (SELECT rid, unnest(range(1, len(w) - 6)) AS i, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i+7], ' '))) AS k
+    FROM w WHERE len(w) >= 8),
 dup AS (SELECT rid, i FROM win QUALIFY count(*) OVER (PARTITION BY rid, k) > 1),
 rep AS (SELECT rid, count(DISTINCT i + o) AS n FROM dup, range(0, 8) AS r(o) GROUP BY rid),
 l AS (SELECT rid, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
@@ -90,13 +91,41 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
-@query("op5_decontamination")
+_LEAKS_SQL = r"""
+WITH w AS (SELECT 'd' AS kind, doc_id AS id, row_number() OVER () AS rid, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents
+    UNION ALL SELECT 'i', item_id, row_number() OVER (), regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10FFFF}]+') FROM benchmark),
+s AS (SELECT DISTINCT kind, id, rid, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM w WHERE len(w) >= 5),
+n AS (SELECT id, rid, count(*) AS n FROM s WHERE kind = 'i' GROUP BY ALL),
+f AS (SELECT d.id AS doc_id, d.rid AS drid, i.id AS item_id, i.rid AS irid, count(*) AS f FROM s d JOIN s i ON d.s = i.s AND d.kind = 'd' AND i.kind = 'i' GROUP BY ALL)
+SELECT doc_id, item_id, max(n) AS n_shingles, max(f) AS n_found, max(f / n) AS containment
+FROM f JOIN n ON f.item_id = n.id AND f.irid = n.rid WHERE f >= 0.8 * n GROUP BY doc_id, item_id
+"""
+
+
+@query("op5_decontamination", _LEAKS_SQL)
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a document and a benchmark item found inside it."""
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@query("op3_near_dedup")
+_NEAR_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
+w AS (SELECT rid, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM d),
+r AS (SELECT rid, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM w WHERE len(w) >= 5),
+s AS (SELECT rid, s, count(*) AS c FROM r GROUP BY ALL),
+t AS (SELECT rid, sum(c) AS n FROM s GROUP BY rid),
+p AS (SELECT a.rid AS a, b.rid AS b, sum(least(a.c, b.c)) AS i FROM s a JOIN s b ON a.s = b.s AND a.rid < b.rid GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN t x ON x.rid = a JOIN t y ON y.rid = b WHERE i >= 0.8 * (x.n + y.n - i)
+    UNION SELECT rid, min(rid) OVER (PARTITION BY text) FROM d WHERE text IS NOT NULL),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+reach AS (SELECT rid AS a, rid AS b FROM d UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a),
+c AS (SELECT a AS rid, min(b) AS root FROM reach GROUP BY a)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY root) AS class_id, count(*) OVER (PARTITION BY root) AS class_size,
+  doc_id = min(doc_id) OVER (PARTITION BY root) AS stays FROM d JOIN c USING (rid)
+"""
+
+
+@query("op3_near_dedup", _NEAR_SQL)
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of near copies of every document."""
     return near_dedup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "stays")
@@ -135,7 +164,25 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extracted(table(spark, sf_dir, "pages"))
 
 
-@query("op9_suffix_dedup")
+_SUFFIX_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT rid, doc_id, unnest(range(0, length(h) // 2 - 49)) AS i,
+    unnest(list_transform(range(0, length(h) // 2 - 49), lambda i: md5_number_lower(substring(h, 2 * i + 1, 100)))) AS s FROM d),
+m AS (SELECT s, min(doc_id) AS least FROM p GROUP BY s HAVING count(*) > 1),
+c AS (SELECT rid, i FROM p JOIN m USING (s) WHERE doc_id > least OR (doc_id IS NULL AND least IS NOT NULL)),
+g AS (SELECT rid, i, coalesce(i > lag(i) OVER w + 50, true) AS fresh FROM c WINDOW w AS (PARTITION BY rid ORDER BY i)),
+k AS (SELECT rid, i, sum(fresh::INT) OVER (PARTITION BY rid ORDER BY i) AS k FROM g),
+r AS (SELECT rid, k, min(i) AS b, max(i) + 50 AS e FROM k GROUP BY ALL),
+x AS (SELECT rid, b, e, coalesce(lag(e) OVER (PARTITION BY rid ORDER BY b), 0) AS since FROM r),
+y AS (SELECT d.rid, sum(e - b)::BIGINT AS n_removed, count(*) AS n_spans, max(e) AS last, string_agg(substring(h, 2 * since + 1, 2 * (b - since)), '' ORDER BY b) AS kept
+    FROM x JOIN d USING (rid) GROUP BY d.rid)
+SELECT doc_id, (length(h) // 2) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+    sha256(unhex(coalesce(kept, '') || substring(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN y USING (rid)
+"""
+
+
+@query("op9_suffix_dedup", _SUFFIX_SQL)
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document that repeat an earlier document, and the digest of the rest."""
     return suffix_dedup.report(table(spark, sf_dir, "documents"))

@@ -76,15 +76,10 @@ def zip5(raw) -> Column:
 
 def sold_search_url(zip_code, window: str = "12m", price_min: int = 1001) -> Column:
     """Search address with a percent-encoded JSON filter; empty text where the zip is missing."""
-    yes_no = [
-        ("rs", True), ("fsba", False), ("fsbo", False), ("nc", False), ("cmsn", False),
-        ("auc", False), ("fore", False), ("mf", False), ("land", False), ("apa", False),
-        ("manu", False),
-    ]
     state = F.struct(
         F.struct(
             F.struct(F.lit(price_min).alias("min")).alias("price"),
-            *[F.struct(F.lit(flag).alias("value")).alias(name) for name, flag in yes_no],
+            *[F.struct(F.lit(flag).alias("value")).alias(name) for name, flag in rv.SEARCH_FLAGS],
             F.struct(F.lit(window).alias("value")).alias("doz"),
         ).alias("filterState")
     )
@@ -105,7 +100,7 @@ def street_name(address) -> Column:
     street = address.substr(F.instr(address, " ") + 1, F.length(address))
     cut = F.regexp_replace(
         street,
-        r"(?is)\s+(#|apt\b|unit\b|ph\b|penthouse\b|fl\b|floor\b|ste\b|suite\b|rm\b|room\b).*",
+        rv.UNIT_DESIGNATOR,
         "",
     )
     return F.when(F.instr(address, " ") > 0, F.trim(cut))

@@ -91,18 +91,26 @@ def response_row(line) -> Column:
     return F.from_json(_col(line), RESPONSE_LINE)
 
 
+def answer_text(response: Column) -> Column:
+    """The text parts of a response, joined."""
+    return F.array_join(F.get(response["candidates"], 0)["content"]["parts"]["text"], "")
+
+
 def answer_row(response: Column) -> Column:
-    """The answer inside a response: its text parts joined and read as JSON."""
-    parts = F.get(response["candidates"], 0)["content"]["parts"]["text"]
-    return F.from_json(F.array_join(parts, ""), ANSWER)
+    """The answer inside a response, read as JSON."""
+    return F.from_json(answer_text(response), ANSWER)
 
 
 def failure_text(row: Column, answer: Column) -> Column:
-    """Why a line gives no usable answer; null when it does."""
+    """Why a line gives no usable answer; null when it does.
+
+    An answer that names its label as null is usable; one that does not name it is not.
+    """
+    named = F.array_contains(F.json_object_keys(answer_text(row["response"])), "room_type")
     return F.coalesce(
         F.nullif(row["error"], F.lit("")),
         F.when(row["response"].isNull(), F.coalesce(row["status"], F.lit("no response"))),
-        F.when(answer["room_type"].isNull(), F.lit("unreadable answer")),
+        F.when(answer["room_type"].isNull() & ~F.coalesce(named, F.lit(False)), F.lit("unreadable answer")),
     )
 
 

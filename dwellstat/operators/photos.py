@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from dwellstat import reference_values as rv
 from dwellstat.functions import text
+from dwellstat.operators import stages
 
 
 def image_tasks(listings: DataFrame, links: str = "all_images", hero: str = "main_image-src", key: str = "zpid",
@@ -38,21 +39,21 @@ def image_tasks(listings: DataFrame, links: str = "all_images", hero: str = "mai
 def largest_variants(listings: DataFrame, links: Column, key: str) -> DataFrame:
     """One row per photo of a listing, its largest variant, indexed by first appearance.
 
-    Of equally large variants the first counts. Works inside each listing's own array.
+    Of equally large variants the first counts. Works inside each listing's own array, which is
+    sorted twice by photo, so the heads of its runs are the first and the largest variants.
     """
-    sized = F.transform(
-        links,
-        lambda url, i: F.struct(text.photo_key(url).alias("k"), text.photo_size(url).alias("size"), (-i).alias("early"), url.alias("url")),
-    )
-    staged = listings.select(key, sized.alias("_v"))
-    photos = F.array_distinct(F.transform("_v", lambda v: v["k"]))
-
-    def best(k: Column) -> Column:
-        mine = F.filter("_v", lambda v: v["k"] == k)
-        return F.array_max(F.transform(mine, lambda v: F.struct(v["size"], v["early"], v["url"].alias("url"))))["url"]
-
-    rows = F.transform(photos, lambda k: F.struct(k.alias("photo_hash"), best(k).alias("url")))
-    return staged.select(key, F.posexplode(rows).alias("img_index", "_r")).select(
+    small = F.lit(-1)
+    by_place = F.sort_array(F.transform(links, lambda url, i: F.struct(text.photo_key(url).alias("k"), i.alias("i"))))
+    by_size = F.sort_array(F.transform(links, lambda url, i: F.struct(
+        text.photo_key(url).alias("k"), (-F.coalesce(text.photo_size(url), small)).alias("size"), i.alias("i"), url.alias("url"))))
+    held = stages.once(listings, _by_place=by_place, _by_size=by_size).select(key, "_by_place", "_by_size")
+
+    def heads(name: str) -> Column:
+        return F.filter(name, lambda v, i: (i == 0) | ~v["k"].eqNullSafe(F.get(F.col(name), i - 1)["k"]))
+
+    rows = F.sort_array(F.zip_with(heads("_by_place"), heads("_by_size"), lambda p, s: F.struct(
+        p["i"].alias("i"), p["k"].alias("photo_hash"), s["url"].alias("url"))))
+    return held.select(key, F.posexplode(rows).alias("img_index", "_r")).filter("_r.photo_hash is not null").select(
         key, F.col("img_index").cast("bigint").alias("img_index"), "_r.photo_hash", "_r.url"
     )
 

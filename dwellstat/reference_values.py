@@ -27,11 +27,7 @@ RAW_METADATA_COLUMNS = (
 )
 
 # --- fixed values: lot table fields ---
-LOT_NUMERIC_FIELDS = (
-    "lotarea", "bldgarea", "resarea", "officearea", "retailarea", "garagearea", "strgearea",
-    "factryarea", "otherarea", "lotfront", "lotdepth", "bldgfront", "bldgdepth", "yearbuilt",
-    "yearalter1", "yearalter2", "builtfar", "residfar", "commfar", "assesstot", "assessland",
-)
+
 LOT_FLAG_FIELDS = ("histdist", "landmark")
 LOT_CODE_FIELDS = (
     "schooldist", "policeprct", "sanitboro", "sanitsub", "sanitdistrict", "landuse", "tract2010",
@@ -124,7 +120,6 @@ POI_KEYS = (
 SCORED_ROOMS = ("kitchen", "bathroom", "bedroom", "living_room")
 PHOTO_LABELS = SCORED_ROOMS + ("floorplan", "other")
 ROOM_TOP_LEVEL = {"kitchen": 7, "bathroom": 8, "bedroom": 8, "living_room": 8}
-RATING_TOP_LEVEL = 8
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "webp", "gif")
 MIME_BY_SUFFIX = {
     "jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "webp": "image/webp",
@@ -154,3 +149,10 @@ TOKEN_PRICES = {
 # --- fixed values: sold-listing search address ---
 SEARCH_URL_PREFIX = "https://www.zillow.com/brooklyn-new-york-ny-"
 SEARCH_URL_MIDDLE = "/sold/?searchQueryState="
+
+# fixed values: where a street name ends, and the flags of the sold-homes search
+UNIT_DESIGNATOR = r"(?is)\s+(#|apt\b|unit\b|ph\b|penthouse\b|fl\b|floor\b|ste\b|suite\b|rm\b|room\b).*"
+SEARCH_FLAGS = (
+    ("rs", True), ("fsba", False), ("fsbo", False), ("nc", False), ("cmsn", False), ("auc", False), ("fore", False),
+    ("mf", False), ("land", False), ("apa", False), ("manu", False),
+)

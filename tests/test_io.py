@@ -190,3 +190,11 @@ def test_chunks_written_per_folder(spark, tmp_path):
     writers.write_request_files(df, str(tmp_path / "req"))
     assert sorted(p for p in os.listdir(tmp_path / "req") if p.startswith("chunk_id")) == ["chunk_id=c0", "chunk_id=c1"]
     assert spark.read.text(str(tmp_path / "req")).filter(F.col("chunk_id") == "c0").count() == 2
+
+
+def test_answer_with_a_null_label_is_kept(spark):
+    lines = [response(f"images/{i}/x.jpg", [a]) for i, a in enumerate(['{"room_type":null}', '{"other_label":"x"}', "not json", '{"room_type":"kitchen"}'])]
+    df = spark.createDataFrame([(v, "c0") for v in lines], "value string, source_chunk string")
+    got = {r.image_path: (r.room_type, r.error) for r in batches.parse_responses(df).collect()}
+    assert got == {"images/0/x.jpg": (None, ""), "images/1/x.jpg": (None, "unreadable answer"), "images/2/x.jpg": (None, "unreadable answer"),
+                   "images/3/x.jpg": ("kitchen", "")}

@@ -233,7 +233,8 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity
     among equal ids) stays.
     """
     rows = written(signed(docs, text, key).withColumn("row", F.monotonically_increasing_id()), "near-signed")
-    firsts = rows.groupBy("text_id").agg(F.min("row").alias("row"))
+    # aggregates that join back are written first, so that Spark can split a frequent text or class
+    firsts = written(rows.groupBy("text_id").agg(F.min("row").alias("row")), "near-firsts")
     nodes = written(firsts.select("row").join(rows, "row"), "near-nodes")
     cells = nodes.select("row", F.explode("bands").alias("bucket"))
     full = cells.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
@@ -266,7 +267,8 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity
     joined = by_text.join(groups.select(F.col("node").alias("first"), "component"), "first", "left").withColumn(
         "component", F.coalesce("component", "first"))
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_id", "row")).alias("least")
-    named = joined.groupBy("component").agg(least, F.count("*").alias("class_size"))
+    joined = written(joined, "near-joined")
+    named = written(joined.groupBy("component").agg(least, F.count("*").alias("class_size")), "near-classes")
     return joined.join(named, "component").select(
         "doc_id", "text_id", F.col("least.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("least.row")).alias("stays"))
 

@@ -10,8 +10,8 @@ by the likelihood ratio statistic, so text of any length is judged by telling wo
 
 Models are fitted on a bounded sample of labelled rows, at most ``FIT_ROWS`` for each value of the
 last category, chosen by a hash of the id and weighted back to their share; features are counted and
-models applied by tasks, and every document is scored on its whole text. What the driver gathers is
-the sample's selected features.
+models applied by tasks, and every document is scored on its whole text. The models are fitted in
+one task, as the sample is bounded; the driver gets the models only.
 
 Cases: a null, empty or wordless text has no features and gets the models' base rate; a label that
 is null is not used for its category; of repeated labels of a document the largest counts; without
@@ -22,6 +22,7 @@ scored each; empty tables give no rows; other columns are ignored or kept whatev
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -175,6 +176,48 @@ def _threshold(odds: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
     return max((round(f1(t), 9), -abs(t - 0.5), t) for t in np.arange(0.2, 0.81, 0.05).round(2))[2]
 
 
+def _chain(rows: pa.Table, names: list[str], chosen: list[list[int]], every: np.ndarray) -> list[Model]:
+    """Fits the categories one after the other on the sample's selected features."""
+    rows = rows.combine_chunks()
+    columns = {c: rows.column(c).to_numpy() for c in ("row_weight", *names, "fold")}
+    lists = rows.column("features").combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.int32()))
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.chunk(0)
+    feature = lists.flatten().to_numpy().astype(np.int64)
+    owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()) if len(lists) else [])
+    fold, weight = columns["fold"], columns["row_weight"]
+    models, odds = [], np.zeros((len(lists), 0))
+    for c, own in zip(names, chosen, strict=True):
+        y = columns[c].astype(np.float64)
+        known = ~np.isnan(y)
+        if not known.any() or y[known].min() == y[known].max():
+            level = float(y[known][0]) if known.any() else 0.0
+            models.append(Model(np.zeros(0, np.int64), np.zeros(0), np.zeros(odds.shape[1]), 40.0 if level > 0.5 else -40.0))
+            odds = np.column_stack([odds, np.zeros(len(lists))])
+            continue
+        local = np.full(len(every), -1, np.int64)
+        local[np.searchsorted(every, own)] = np.arange(len(own))
+        mine = local[feature]
+        used, mine = owner[mine >= 0], mine[mine >= 0]
+
+        def learn(train: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+            number = np.cumsum(train) - 1
+            inside = train[used]
+            return _logistic(number[used[inside]], mine[inside], odds[train], y[train], weight[train], len(own))
+
+        out_of_fold = np.zeros(len(lists))
+        for f in range(FOLDS):
+            train = known & (fold != f)
+            if train.any():
+                beta, chain, base = learn(train)
+                z = np.bincount(used, beta[mine], len(lists)) + odds @ chain + base
+                out_of_fold[fold == f] = z[fold == f]
+        beta, chain, base = learn(known)
+        models.append(Model(np.asarray(own, np.int64), beta, chain, base, _threshold(out_of_fold[known], y[known], weight[known])))
+        odds = np.column_stack([odds, np.clip(out_of_fold, -10, 10)])
+    return models
+
+
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", categories: dict[str, str] = CATEGORIES) -> list[Model]:
     """The chain of models, one per category."""
     names = list(categories)
@@ -208,42 +251,19 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
                                              names=["row_weight", *names, "fold", "features"])
 
     folded = sample.select("row_weight", *names, F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(FOLDS)).cast("int").alias("fold"), "features")
-    rows = folded.mapInArrow(narrow, f"row_weight double, {', '.join(f'{c} double' for c in names)}, fold int, features array<int>").toPandas()
-    rows = rows.sort_values(["fold", "row_weight", *names], kind="stable").reset_index(drop=True)
-    sizes = np.array([len(x) for x in rows["features"]], np.int64)
-    owner = np.repeat(np.arange(len(rows)), sizes)
-    feature = np.concatenate([np.zeros(0, np.int64), *[np.asarray(x, np.int64) for x in rows["features"]]])
-    fold, weight = rows["fold"].to_numpy(), rows["row_weight"].to_numpy()
-    models, odds = [], np.zeros((len(rows), 0))
-    for c, own in zip(names, chosen, strict=True):
-        y = rows[c].to_numpy(np.float64)
-        known = ~np.isnan(y)
-        if not known.any() or y[known].min() == y[known].max():
-            level = float(y[known][0]) if known.any() else 0.0
-            models.append(Model(np.zeros(0, np.int64), np.zeros(0), np.zeros(odds.shape[1]), 40.0 if level > 0.5 else -40.0))
-            odds = np.column_stack([odds, np.zeros(len(rows))])
-            continue
-        local = np.full(len(every), -1, np.int64)
-        local[np.searchsorted(every, own)] = np.arange(len(own))
-        mine = local[feature]
-        used, mine = owner[mine >= 0], mine[mine >= 0]
-
-        def learn(train: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-            number = np.cumsum(train) - 1
-            inside = train[used]
-            return _logistic(number[used[inside]], mine[inside], odds[train], y[train], weight[train], len(own))
-
-        out_of_fold = np.zeros(len(rows))
-        for f in range(FOLDS):
-            train = known & (fold != f)
-            if train.any():
-                beta, chain, base = learn(train)
-                z = np.bincount(used, beta[mine], len(rows)) + odds @ chain + base
-                out_of_fold[fold == f] = z[fold == f]
-        beta, chain, base = learn(known)
-        models.append(Model(np.asarray(own, np.int64), beta, chain, base, _threshold(out_of_fold[known], y[known], weight[known])))
-        odds = np.column_stack([odds, np.clip(out_of_fold, -10, 10)])
-    return models
+    narrowed = folded.mapInArrow(narrow, f"row_weight double, {', '.join(f'{c} double' for c in names)}, fold int, features array<int>")
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if held:
+            models = _chain(pa.Table.from_batches(held), names, chosen, every)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps([tuple(m) for m in models])], pa.binary())], names=["models"])
+
+    # one task for the bounded sample; only the models come back
+    found = narrowed.repartition(1).mapInArrow(train, "models binary").collect()
+    if not found:
+        return _chain(narrowed.limit(0).toArrow(), names, chosen, every)
+    return [Model(*m) for m in pickle.loads(found[0]["models"])]
 
 
 def scored(docs: DataFrame, models: list[Model], text: str = "text", key: str = "doc_id", categories: dict[str, str] = CATEGORIES) -> DataFrame:

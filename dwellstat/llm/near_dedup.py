@@ -241,7 +241,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity
     members = written(cells.join(full, "bucket"), "near-members")
     degrees = members.groupBy("row").agg(F.sum("n").alias("degree"))
     centres = members.join(degrees, "row").groupBy("bucket").agg(F.max_by("row", F.struct("degree", -F.col("row"))).alias("centre"))
-    stars = members.join(centres, "bucket").where("row <> centre").select(F.col("row").alias("a"), F.col("centre").alias("b")).distinct()
+    stars = members.join(written(centres, "near-centres"), "bucket").where("row <> centre").select(F.col("row").alias("a"), F.col("centre").alias("b")).distinct()
     stars = written(_fitting(stars, nodes, similarity), "near-stars")
 
     wanted = members.select("row").distinct().join(nodes.select("row", "doc_id", "text_id"), "row")
@@ -254,8 +254,10 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity
     groups = components(links, "near-components")
     placed = members.join(groups.select(F.col("node").alias("row"), "component"), "row", "left").withColumn(
         "component", F.coalesce("component", "row"))
+    placed = written(placed, "near-placed")
     mixed = (placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
              .where("low <> high").select("bucket"))
+    mixed = written(mixed, "near-mixed")
     open_cells = written(placed.join(mixed, "bucket").where("n > 2"), "near-open")
     pairs = _rare_pairs(open_cells, texts, similarity)
     tried = stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))

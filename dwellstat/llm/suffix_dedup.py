@@ -50,6 +50,8 @@ GROUPS = 10
 BLOCK, HELD = 1 << 17, 1 << 22
 #: Bytes of text whose anchors are found in one go.
 STEP = 1 << 18
+#: Contexts among which equal ones are merged before the shuffle.
+GATHERED = 300_000
 _SPAN = LENGTH - GRAM  # bytes of context before and after an anchor
 _WIDTH = 2 * LENGTH - GRAM
 _OUTSIDE = 255  # never a byte of UTF-8
@@ -140,37 +142,87 @@ def repeated_anchors(rows: DataFrame) -> bytes:
     return bytes(out)
 
 
-def contexts(rows: DataFrame, bitmap) -> DataFrame:
+def _pieces(part: pa.RecordBatch, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of (text index, context start in the text, first and last string start, context bytes) of repeated anchors."""
+    at = np.arange(_WIDTH)
+    body, offsets = textkernel.utf8(part.column("text"))
+    padded = np.concatenate([np.full(_SPAN, _OUTSIDE, np.uint8), body, np.full(LENGTH, _OUTSIDE, np.uint8)])
+    windows = np.lib.stride_tricks.sliding_window_view(padded, _WIDTH)
+    for owner, place, first, last, hashes in anchors(body, offsets):
+        bit = (hashes >> np.uint64(64 - BITMAP)).astype(np.int64)
+        hit = np.flatnonzero((bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
+        owner, place = owner[hit], place[hit]
+        begin = place - _SPAN
+        pieces = windows[place]
+        # what no string of this anchor covers is blanked, so that contexts differ by their strings only
+        low, high = first[hit] - begin, last[hit] - begin
+        pieces[(at < low[:, None]) | (at >= high[:, None] + LENGTH)] = _OUTSIDE
+        yield owner, begin - offsets[owner], low, high, pieces
+
+
+def _binary(pieces: np.ndarray) -> pa.Array:
+    ends = pa.py_buffer((np.arange(len(pieces) + 1, dtype=np.int32) * _WIDTH).tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(pieces), [None, ends, pa.py_buffer(pieces.tobytes())])
+
+
+def occurrences(rows: DataFrame, bitmap) -> DataFrame:
     """(doc, row, start, low, high, context): a row per repeated anchor; ``start`` is where the context
     begins in the text and ``low`` and ``high`` the first and last string start within the context."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(bitmap.value, np.uint8)
-        at = np.arange(_WIDTH)
         for batch in batches:
             for part in textkernel.slices(batch, "text"):
-                body, offsets = textkernel.utf8(part.column("text"))
-                padded = np.concatenate([np.full(_SPAN, _OUTSIDE, np.uint8), body, np.full(LENGTH, _OUTSIDE, np.uint8)])
-                windows = np.lib.stride_tricks.sliding_window_view(padded, _WIDTH)
-                for owner, place, first, last, hashes in anchors(body, offsets):
-                    bit = (hashes >> np.uint64(64 - BITMAP)).astype(np.int64)
-                    hit = np.flatnonzero((bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
-                    owner, place = owner[hit], place[hit]
-                    begin = place - _SPAN
-                    pieces = windows[place]
-                    # what no string of this anchor covers is blanked, so that contexts differ by their strings only
-                    low, high = first[hit] - begin, last[hit] - begin
-                    pieces[(at < low[:, None]) | (at >= high[:, None] + LENGTH)] = _OUTSIDE
-                    ends = pa.py_buffer((np.arange(len(hit) + 1, dtype=np.int32) * _WIDTH).tobytes())
+                for owner, begin, low, high, pieces in _pieces(part, bits):
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("doc").take(pa.array(owner)), part.column("row").take(pa.array(owner)),
-                         pa.array((begin - offsets[owner]).astype(np.int32)), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)),
-                         pa.Array.from_buffers(pa.binary(), len(hit), [None, ends, pa.py_buffer(pieces.tobytes())])],
+                        [part.column("doc").take(pa.array(owner)), part.column("row").take(pa.array(owner)), pa.array(begin.astype(np.int32)),
+                         pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), _binary(pieces)],
                         names=["doc", "row", "start", "low", "high", "context"])
 
     return rows.mapInArrow(cut, "doc long, row long, start int, low int, high int, context binary")
 
 
+def contexts(rows: DataFrame, bitmap) -> DataFrame:
+    """(least, largest, low, high, context): the contexts with their least and largest document.
+
+    Equal contexts of ``GATHERED`` neighbouring ones are one row, so a frequent passage shrinks before
+    the shuffle; the shards merge what is left.
+    """
+
+    def merged(held: list[tuple]) -> pa.RecordBatch:
+        docs, low, high, pieces = (np.concatenate(x) for x in zip(*held, strict=True))
+        words = pieces.view(np.uint64)
+        key = np.zeros(len(pieces), np.uint64)
+        for j in range(words.shape[1]):
+            key = textkernel.mix64(key ^ words[:, j])
+        order = np.argsort(key, kind="stable")
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (words[order[1:]] != words[order[:-1]]).any(axis=1)
+        head = np.flatnonzero(fresh)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.minimum.reduceat(docs[order], head)), pa.array(np.maximum.reduceat(docs[order], head)),
+             pa.array(np.minimum.reduceat(low[order], head).astype(np.int32)), pa.array(np.maximum.reduceat(high[order], head).astype(np.int32)),
+             _binary(pieces[order[head]])], names=["least", "largest", "low", "high", "context"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(bitmap.value, np.uint8)
+        held, size = [], 0
+        for batch in batches:
+            for part in textkernel.slices(batch, "text"):
+                docs = part.column("doc").to_numpy()
+                for owner, _, low, high, pieces in _pieces(part, bits):
+                    if len(owner):
+                        held.append((docs[owner], low, high, pieces))
+                        size += len(owner)
+                if size > GATHERED:
+                    yield merged(held)
+                    held, size = [], 0
+        if held:
+            yield merged(held)
+
+    return rows.mapInArrow(gather, "least long, largest long, low int, high int, context binary")
+
+
 class BucketQueue:
     """Priority queue of (context, common prefix) tuples ordered by byte and, within a byte, by arrival.
 
@@ -272,11 +324,13 @@ def induce(queue: BucketQueue, column: np.ndarray, folder: str) -> BucketQueue:
     return out
 
 
-def least_documents(columns: np.ndarray, docs: np.ndarray, low: np.ndarray, high: np.ndarray, folder: str) -> np.ndarray:
-    """For every string start and context the least document with the same string, as (start, context)."""
+def least_documents(columns: np.ndarray, docs: np.ndarray, folder: str) -> tuple[np.ndarray, np.ndarray]:
+    """For every string start and context the least document with the same string, as (start, context),
+    and the first context among those equal to each."""
     n = len(docs)
     shape = (_SPAN + 1, n)
     out = np.zeros(shape, np.int64) if n < 1 << 21 else np.memmap(tempfile.TemporaryFile(dir=folder), np.int64, "w+", shape=shape)
+    same = np.zeros(n, np.uint32)
     queue = BucketQueue(folder)
     for begin in range(0, n, BLOCK):
         end = min(n, begin + BLOCK)
@@ -300,17 +354,19 @@ def least_documents(columns: np.ndarray, docs: np.ndarray, low: np.ndarray, high
             if len(ids):
                 least = np.minimum.reduceat(docs[ids], heads)
                 out[p, ids] = np.repeat(least, np.diff(np.append(heads, len(ids))))
+                if p == 0:  # equal contexts share their whole width
+                    leads = np.flatnonzero(prefix < _WIDTH)
+                    same[ids] = np.repeat(np.minimum.reduceat(ids, leads), np.diff(np.append(leads, len(ids))))
             block = following
     queue.close()
-    return out
+    return out, same
 
 
 def repeats(found: DataFrame) -> DataFrame:
     """(context_id, low, high, least): stretches of string starts of a context that begin in an earlier document.
 
-    ``found`` are the contexts with ``doc``, ``low`` and ``high``.
+    ``found`` are the contexts with their least and largest document.
     """
-    grouped = found.groupBy("context").agg(F.min("doc").alias("least"), F.max("doc").alias("largest"), F.min("low").alias("low"), F.max("high").alias("high"))
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with tempfile.TemporaryDirectory() as folder:
@@ -318,19 +374,25 @@ def repeats(found: DataFrame) -> DataFrame:
             with open(path, "wb") as f:
                 for batch in batches:
                     if batch.num_rows:
-                        f.write(np.frombuffer(b"".join(batch.column("context").to_pylist()), np.uint8).tobytes())
+                        f.write(b"".join(batch.column("context").to_pylist()))
                         facts.append([batch.column(c).to_numpy() for c in ("context_id", "least", "largest", "low", "high")])
                         n += batch.num_rows
             if not n:
                 return
             ids, least, largest, low, high = (np.concatenate(c) for c in zip(*facts, strict=True))
             columns = np.memmap(path, np.uint8, "r", shape=(n, _WIDTH))
-            first = least_documents(columns, least, low, high, folder)
+            first, same = least_documents(columns, least, folder)
+            # the facts of equal contexts go to the first of them
+            most, begins, ends = largest.copy(), low.copy(), high.copy()
+            np.maximum.at(most, same, largest)
+            np.minimum.at(begins, same, low)
+            np.maximum.at(ends, same, high)
+            lead = same == np.arange(n, dtype=np.uint32)
             for begin in range(0, n, BLOCK):
                 end = min(n, begin + BLOCK)
                 mine = np.asarray(first[:, begin:end]).T
                 starts = np.arange(_SPAN + 1)
-                use = (starts >= low[begin:end, None]) & (starts <= high[begin:end, None]) & (mine < largest[begin:end, None])
+                use = (starts >= begins[begin:end, None]) & (starts <= ends[begin:end, None]) & (mine < most[begin:end, None]) & lead[begin:end, None]
                 change = np.ones(use.shape, bool)
                 change[:, 1:] = (mine[:, 1:] != mine[:, :-1]) | ~use[:, :-1]
                 row, col = np.nonzero(use & change)
@@ -342,9 +404,9 @@ def repeats(found: DataFrame) -> DataFrame:
                     names=["context_id", "low", "high", "least"])
             del columns, first
 
-    keyed = grouped.select(F.xxhash64("context").alias("context_id"), "least", "largest", "low", "high", "context")
-    dealt = keyed.repartition(F.substring("context", _SPAN + 1, GRAM))
-    return dealt.mapInArrow(shard, "context_id long, low int, high int, least long")
+    dealt = found.repartition(F.substring("context", _SPAN + 1, GRAM))
+    keyed = dealt.select(F.xxhash64("context").alias("context_id"), "least", "largest", "low", "high", "context")
+    return keyed.mapInArrow(shard, "context_id long, low int, high int, least long")
 
 
 def removed_spans(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -352,9 +414,8 @@ def removed_spans(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
     rows = _rows(docs, text, key)
     spark = docs.sparkSession
     bitmap = spark.sparkContext.broadcast(repeated_anchors(rows))
-    found = contexts(rows, bitmap)
-    earlier = written(repeats(found), "suffix-repeats")
-    spots = found.select(F.xxhash64("context").alias("context_id"), "doc", "row", "start", F.col("low").alias("l"), F.col("high").alias("h"))
+    earlier = written(repeats(contexts(rows, bitmap)), "suffix-repeats")
+    spots = occurrences(rows, bitmap).select(F.xxhash64("context").alias("context_id"), "doc", "row", "start", F.col("low").alias("l"), F.col("high").alias("h"))
     hit = spots.join(earlier, "context_id").where("doc > least AND l <= high AND low <= h")
     span = F.struct((F.col("start") + F.greatest("l", "low")).alias("begin"), (F.col("start") + F.least("h", "high") + LENGTH).alias("end"))
     return hit.groupBy("doc", "row").agg(F.collect_list(span).alias("spans"))

@@ -292,7 +292,8 @@ def test_induced_sorting_with_tiny_blocks(monkeypatch, tmp_path):
             row[r.randrange(80)] = ord("c")
     columns = np.frombuffer(b"".join(map(bytes, rows)), np.uint8).reshape(150, 80)
     docs = np.array([r.randrange(1000) for _ in rows])
-    got = suffix_dedup.least_documents(columns, docs, None, None, str(tmp_path))
+    got, same = suffix_dedup.least_documents(columns, docs, str(tmp_path))
+    assert [same[i] for i in range(150)] == [rows.index(row) for row in rows]
     for p in range(31):
         least = {}
         for row, d in zip(rows, docs.tolist(), strict=True):

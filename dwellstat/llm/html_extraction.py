@@ -3,8 +3,9 @@
 Every page is read into a tree of elements. The trees of a host are merged: elements reached by the
 same path of tag, classes and id are one node of the host's style tree. A node's importance comes
 from two entropies over the pages of the host, that of its content and that of its presentation
-(the sequence of its children), each as a share of the entropy of whole pages; so a site whose
-articles repeat does not lose them. A node present on ``MIN_PAGES`` pages or more whose importance
+(the sequence of its children), each as a share of the entropy of whole pages over just the pages
+that hold the node; so a site whose articles repeat does not lose them, and a rare node is judged
+alike on hosts of any size. A node present on ``MIN_PAGES`` pages or more whose importance
 stays below ``LEAST`` is noise, as menus and notices are that repeat from page to page, and its
 branch is removed from each page of that host.
 
@@ -154,8 +155,8 @@ def _digest(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def style_rows(page: str) -> list[tuple[int, int, int]]:
-    """(node, content, style) hashes of a page's nodes with text; the whole page is node 0.
+def style_rows(page: str) -> list[tuple[int, int, int, int]]:
+    """(node, content, style, page content) hashes of a page's nodes with text; the whole page is node 0.
 
     Elements of equal path are one node. Declared noise takes no part.
     """
@@ -178,7 +179,9 @@ def style_rows(page: str) -> list[tuple[int, int, int]]:
         return text
 
     _deep(walk, parse(page), "", False)
-    return [(_digest(path) if path else 0, _digest("\n".join(own)), _digest("\n".join(styles[path]))) for path, own in texts.items()]
+    whole = _digest("\n".join(texts.get("", [])))
+    return [(_digest(path), _digest("\n".join(own)), _digest("\n".join(styles[path])), whole) if path else (0, whole, _digest("\n".join(styles[path])), whole)
+            for path, own in texts.items()]
 
 
 def _deep(walk, node: Node, *rest):
@@ -240,27 +243,31 @@ def site_noise(pages: DataFrame, url: str = "url", html: str = "html", least: fl
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, nodes, contents, styles = [], [], [], []
+            hosts, nodes, contents, styles, wholes = [], [], [], [], []
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                for node, content, style in style_rows(page or ""):
+                for node, content, style, whole in style_rows(page or ""):
                     hosts.append(host)
                     nodes.append(node)
                     contents.append(content)
                     styles.append(style)
+                    wholes.append(whole)
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(nodes, pa.int64()), pa.array(contents, pa.int64()),
-                                              pa.array(styles, pa.int64())], names=["host", "node", "content", "style"])
+                                              pa.array(styles, pa.int64()), pa.array(wholes, pa.int64())],
+                                             names=["host", "node", "content", "style", "page"])
 
-    tree = pages.select(_host(url).alias("host"), F.col(html).alias("html")).mapInArrow(rows, "host string, node long, content long, style long")
-    facets = tree.select("host", "node", F.explode(F.array(
-        F.struct(F.lit("content").alias("facet"), F.col("content").alias("value")),
-        F.struct(F.lit("style").alias("facet"), F.col("style").alias("value")))).alias("x")).select("host", "node", "x.facet", "x.value")
+    tree = pages.select(_host(url).alias("host"), F.col(html).alias("html")).mapInArrow(
+        rows, "host string, node long, content long, style long, page long")
+    facets = tree.where("node <> 0").select("host", "node", F.explode(F.array(*[
+        F.struct(F.lit(k).alias("facet"), F.col(k).alias("value")) for k in ("content", "style", "page")])).alias("x")).select("host", "node", "x.facet", "x.value")
     counts = facets.groupBy("host", "node", "facet", "value").agg(F.count("*").cast("double").alias("n"))
     spread = F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")
     entropy = counts.groupBy("host", "node", "facet").agg(F.sum("n").alias("pages"), spread.alias("entropy"))
+    whole = F.col("facet") == "page"
     nodes = written(entropy.groupBy("host", "node").agg(
-        F.max("pages").alias("pages"), F.max("entropy").alias("importance")), "style-tree")
-    whole = nodes.where("node = 0").select(F.col("host"), F.col("importance").alias("page_entropy"))
-    low = nodes.where(f"node <> 0 AND pages >= {MIN_PAGES}").join(whole, "host").where(F.col("importance") < least * F.col("page_entropy"))
+        F.max("pages").alias("pages"), F.max(F.when(~whole, F.col("entropy"))).alias("importance"),
+        F.max(F.when(whole, F.col("entropy"))).alias("page_entropy")), "style-tree")
+    # equal pages have no entropy but for rounding
+    low = nodes.where(f"pages >= {MIN_PAGES} AND page_entropy > 1e-9").where(F.col("importance") < least * F.col("page_entropy"))
     return low.groupBy("host").agg(F.collect_list("node").alias("noise"))
 
 

@@ -119,7 +119,7 @@ def item_index(items: DataFrame, text: str = "text", key: str = "item_id", conta
                     names=["item_id", "item_key", "n_shingles", "hash", "from_class"])
 
     kind = dict(items.dtypes)[key]
-    named = F.concat(F.col(key).isNull().cast("string"), F.coalesce(F.col(key).cast("string"), F.lit("")))
+    named = F.concat(F.col(key).isNull().cast("string"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("|"), F.md5(F.col(text)))
     rows = items.select(F.col(key).alias("item_id"), F.unhex(F.md5(named)).alias("item_key"), F.col(text).alias("text"))
     return rows.mapInArrow(index, f"item_id {kind}, item_key binary, n_shingles long, hash long, from_class int").distinct()
 
@@ -198,5 +198,5 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc
 
 def cleaned(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The documents into which no item leaks, with all their columns."""
-    leaked = _verified(docs, items, text, key, CONTAINMENT).select(F.col("doc_id").alias(key)).distinct()
-    return joined_on(docs, leaked, (key,), "left_anti")
+    leaked = _verified(docs, items, text, key, CONTAINMENT).select(F.col("doc_id").alias(key), F.col("digest").alias("__digest")).distinct()
+    return joined_on(docs.withColumn("__digest", _digest(text)), leaked, (key, "__digest"), "left_anti").drop("__digest")

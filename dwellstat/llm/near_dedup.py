@@ -198,7 +198,8 @@ def _rare_pairs(members: DataFrame, texts: DataFrame, similarity: float) -> Data
     """Pairs of different components that share one of their rarest shingle occurrences.
 
     With elements ordered from rare to frequent, two sets of the given similarity share an element
-    among the first ``n - ceil(similarity * n) + 1`` of each.
+    among the first ``n - ceil(similarity * n) + 1`` of each. What a product is too large by rounding
+    is taken off before, as it would shorten the prefix by one.
     """
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,11 +214,11 @@ def _rare_pairs(members: DataFrame, texts: DataFrame, similarity: float) -> Data
     common_ones = elements.groupBy("e").agg(F.count("*").alias("df")).where("df > 1")
     place = F.row_number().over(Window.partitionBy("row").orderBy(F.coalesce("df", F.lit(1)), "e"))
     ranked = elements.join(common_ones, "e", "left").select("row", "e", "df", place.alias("place"), F.count("*").over(Window.partitionBy("row")).alias("n"))
-    prefix = ranked.where(F.col("place") <= F.col("n") - F.ceil(similarity * F.col("n")) + 1).where("df > 1").select("row", "e", "place", "n")
+    prefix = ranked.where(F.col("place") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1).where("df > 1").select("row", "e", "place", "n")
     prefix = written(prefix.join(members.select("row", "component").distinct(), "row"), "near-prefix")
     # the smaller set of a pair needs a shorter prefix; both places bound what the sets can still share
     share = 2 * similarity / (1 + similarity)
-    small = prefix.where(F.col("place") <= F.col("n") - F.ceil(share * F.col("n")) + 1)
+    small = prefix.where(F.col("place") <= F.col("n") - F.ceil(share * F.col("n") - 1e-9) + 1)
     other = prefix.select("e", F.col("row").alias("b"), F.col("component").alias("cb"), F.col("place").alias("pb"), F.col("n").alias("nb"))
     ordered = (F.col("n") < F.col("nb")) | ((F.col("n") == F.col("nb")) & (F.col("row") < F.col("b")))
     enough = 1 + F.least(F.col("n") - F.col("place"), F.col("nb") - F.col("pb")) >= share / 2 * (F.col("n") + F.col("nb")) - 1e-9

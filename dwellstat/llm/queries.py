@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dwellstat.llm import decontamination, html_extraction, language_id, line_dedup, mixing, near_dedup, quality_rules, suffix_dedup, toxicity, warc
+from dwellstat.llm import (alignment, decontamination, html_extraction, language_id, line_dedup, mixing, near_dedup, near_vectors, quality_rules,
+                           suffix_dedup, toxicity, vector_codes, warc)
 from dwellstat.llm.common import table
 
 QUERIES = {}
@@ -186,3 +187,54 @@ FROM d LEFT JOIN y USING (rid)
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document that repeat an earlier document, and the digest of the rest."""
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """Plain Lloyd rounds in whole numbers: every part against every entry each time."""
+    steps = [f"""
+v AS (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS rid, list_transform(embedding, lambda x: floor(x::DOUBLE * {scale})::BIGINT) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS (SELECT rid, p, v[p * len(v) // {parts} + 1:(p + 1) * len(v) // {parts}] AS x FROM v, range({parts}) AS r(p)),
+c0 AS (SELECT p, rid - 1 AS e, x AS c FROM x WHERE rid <= {entries})"""]
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS (SELECT rid, p, x, e, d FROM (SELECT rid, x.p, x, e, list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i]))) AS d
+    FROM x JOIN c{r} USING (p)) QUALIFY row_number() OVER (PARTITION BY rid, p ORDER BY d, e) = 1)""")
+        if r < rounds:
+            steps.append(f"""
+s{r} AS (SELECT p, e, i, sum(x[i]) AS s, count(*) AS n FROM a{r}, range(1, (SELECT max(len(x)) FROM x) + 1) AS q(i) GROUP BY ALL),
+m{r} AS (SELECT p, e, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS m FROM s{r} GROUP BY ALL),
+c{r + 1} AS (SELECT p, e, coalesce(m, c) AS c FROM c{r} LEFT JOIN m{r} USING (p, e))""")
+    return f"""WITH {",".join(steps)},
+h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{rounds}),
+o AS (SELECT rid, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY rid)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM v JOIN o USING (rid), h"""
+
+
+@query("op11_vector_codes", _codes_sql())
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight-byte code of every usable vector, with its error and the digest of the codebooks."""
+    return vector_codes.encoded(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_token_alignment")
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, groups and links of two tokenizers for every document, with corpus-wide pair counts."""
+    return alignment.aligned(table(spark, sf_dir, "documents"))
+
+
+_VECTORS_SQL = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS rid, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+g AS (SELECT rid, vec_id, e FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT x.rid AS a, y.rid AS b FROM g x JOIN g y ON x.rid <> y.rid AND len(x.e) = len(y.e) AND list_cosine_similarity(x.e, y.e) >= 0.9),
+reach AS (SELECT rid AS a, rid AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a),
+n AS (SELECT a AS rid, count(*) AS n FROM l GROUP BY a),
+c AS (SELECT a AS rid, min(vec_id) AS component_id FROM reach JOIN v ON v.rid = b GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM v JOIN c USING (rid) LEFT JOIN n USING (rid)
+"""
+
+
+@query("op13_near_vectors", _VECTORS_SQL)
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    return near_vectors.linked(table(spark, sf_dir, "embeddings"))

@@ -10,7 +10,7 @@ from dwellstat.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_matches_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     df = queries.QUERIES[name](spark, sf_dir)
     result = con.execute(queries.ORACLES[name])
@@ -28,7 +28,7 @@ def test_native_queries_run_no_python(spark, sf_dir, name):
 
 def test_one_query_per_operator():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
 
 
 def test_pipeline_keeps_columns_and_takes_effect(spark, sf_dir):

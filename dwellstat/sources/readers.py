@@ -3,56 +3,66 @@
 from __future__ import annotations
 
 import csv
+import io
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dwellstat import reference_values as rv
+from dwellstat.sources import csv_records
 
 POI_ELEMENT = "id bigint, lat double, lon double, tags map<string,string>"
 RUN_META = "timestamp string, rooms array<string>, label string"
 RUN_ENTRY = "file string, label string, timestamp string, rooms array<string>, model string, cost_usd double"
 
 
-def _csv_layouts(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
-    """The header layouts of the CSV files below a path, each with its files.
+def _layouts(spark: SparkSession, path: str | list[str]) -> dict[str, list[str]]:
+    """The distinct header records below a path with their column names; a row per layout reaches the driver."""
+    heads = csv_records.headers(spark, path).select("header").distinct().collect()
+    if not heads:
+        raise ValueError(f"{path}: no CSV files with a header")
+    texts = sorted(r.header for r in heads)
+    return {t: next(csv.reader(io.StringIO(t.removeprefix("\ufeff").removesuffix("\r"), newline=""))) for t in texts}
 
-    Reads the first line of every file; what is gathered is one row per layout.
-    """
-    first = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
-                                         F.monotonically_increasing_id().alias("row")).filter("at = 0")
-    heads = first.groupBy("file").agg(F.min_by("value", "row").alias("head"))
-    found = heads.groupBy("head").agg(F.collect_list("file").alias("files")).collect()
-    return {tuple(next(csv.reader([r["head"].removeprefix("\ufeff")]))): r["files"] for r in found}
+
+def _text_cells(spark: SparkSession, path: str | list[str], layouts: dict[str, list[str]], names: Sequence[str]) -> DataFrame:
+    """The named columns as text from every record below the headers; a file without a column has nulls in it."""
+    rows = csv_records.records(spark, path).where("not head")
+
+    def cells(layout: Sequence[str]) -> Column:
+        parsed = F.from_csv(F.col("text"), ", ".join(f"c{i} string" for i in range(len(layout))), {"quote": '"', "escape": '"'})
+        empty = F.lit(None).cast("string")
+        # one evaluation per record however many columns are taken
+        return F.transform(F.array(parsed), lambda p: F.struct(
+            *[(p[f"c{layout.index(n)}"] if n in layout else empty).alias(f"_{i}") for i, n in enumerate(names)]))
+
+    if len(layouts) == 1:
+        made = cells(next(iter(layouts.values())))
+    else:
+        heads = csv_records.headers(spark, path).withColumnRenamed("file", "head_of")
+        rows = rows.join(heads, F.col("file") == F.col("head_of"))
+        made = F.coalesce(*[F.when(F.col("header") == head, cells(layout)) for head, layout in layouts.items()])
+    return rows.select(F.inline(made)).toDF(*names)
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | T.StructType, columns: Sequence[str] | None = None,
-             multiline: bool = True) -> DataFrame:
-    """CSV with a header whose cells may hold commas, quotes, HTML or JSON.
+def read_csv(spark: SparkSession, path: str | list[str], schema: str | T.StructType, columns: Sequence[str] | None = None) -> DataFrame:
+    """CSV with a header whose cells may hold commas, quotes, line breaks, HTML or JSON.
 
-    Columns are matched by name in every file: files of one header layout are read together under
-    that layout's explicit schema. Line breaks in cells need ``multiline``, under which a file is
-    one task; without it files are split.
+    Columns are matched by name in every file, whatever their order there. Files are read in splits
+    also where cells hold line breaks (see ``csv_records``).
     """
     wanted = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
     names = list(columns) if columns is not None else wanted.names
-    out = None
-    for layout, files in sorted(_csv_layouts(spark, path).items()):
-        absent = [f.name for f in wanted if f.name not in layout]
-        if absent:
-            raise ValueError(f"{path}: columns not found: {', '.join(absent)}")
-        texts = T.StructType([T.StructField(n, T.StringType()) for n in layout])
-        reader = spark.read.schema(texts).option("header", True).option("multiLine", multiline).option("escape", '"').option("quote", '"')
-        part = reader.csv(files).select(*[_typed(wanted[n]) for n in names])
-        out = part if out is None else out.union(part)
-    if out is None:
-        raise ValueError(f"{path}: no CSV files with a header")
-    return out
+    layouts = _layouts(spark, path)
+    absent = sorted({f.name for f in wanted for layout in layouts.values() if f.name not in layout})
+    if absent:
+        raise ValueError(f"{path}: columns not found: {', '.join(absent)}")
+    return _text_cells(spark, path, layouts, names).select(*[_typed(wanted[n]) for n in names])
 
 
-def _typed(field: T.StructField):
+def _typed(field: T.StructField) -> Column:
     column = F.col(f"`{field.name}`")
     if isinstance(field.dataType, T.StringType):
         return column
@@ -62,10 +72,15 @@ def _typed(field: T.StructField):
     return value.alias(field.name)
 
 
-def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with every column as text and empty cells as empty text."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("quote", '"')
-    return reader.csv(path).na.fill("")
+def read_text_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """CSV with every column as text and empty cells as empty text, by name over all files.
+
+    Columns that only some files have are empty text in the others.
+    """
+    layouts = _layouts(spark, path)
+    names = list(dict.fromkeys(n for layout in layouts.values() for n in layout))
+    cells = _text_cells(spark, path, layouts, names)
+    return cells.select(*[F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names])
 
 
 def read_parquet(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:

@@ -7,21 +7,26 @@ ordinary aggregate.
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, StringIndexerModel, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dwellstat.operators import ordering, sampling
-from dwellstat.session import staged, use_checkpoints
+from dwellstat.operators import boosting, fits as fitting, ordering, sampling
+from dwellstat.session import scratch_path, staged
 
 #: Codes of a category column that keep a bin of their own.
 MOST_CODES = 500
+#: Seeds whose predictions are averaged.
+SEEDS = tuple(range(42, 47))
+#: Code of a category without a value.
+MISSING = "missing"
 
 
 @dataclass(frozen=True)
@@ -56,30 +61,22 @@ def prepared(df: DataFrame, spec: FeatureSpec, key: str, target: str) -> DataFra
     kept = df.filter(F.col(target) > 0)
     numeric = [F.col(c).cast("double").alias(c) for c in spec.numeric]
     flags = [F.col(c).isNull().cast("double").alias(f"{c}__missing") for c in spec.numeric]
-    codes = [F.coalesce(F.col(c).cast("string"), F.lit("missing")).alias(c) for c in spec.categorical]
+    codes = [F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias(c) for c in spec.categorical]
     return kept.select(key, F.col(target).cast("double").alias("price"), F.ln(target).alias("y_log"), *numeric, *flags, *codes)
 
 
-def common_codes(rows: DataFrame, columns: Sequence[str], most: int = MOST_CODES) -> DataFrame:
-    """Codes beyond the ``most`` frequent ones of a column become ``rare``.
+def frequent_codes(train: DataFrame, column: str, most: int = MOST_CODES) -> list[str]:
+    """The most frequent codes of a column, at most ``most`` as trees need a bin per code; equal counts go by code."""
+    counts = train.groupBy(F.col(f"`{column}`").alias("code")).agg(F.count(F.lit(1)).alias("n"))
+    return [r.code for r in counts.orderBy(F.desc("n"), "code").limit(most).collect()]
 
-    Trees need a bin per code, so the number of codes must be bounded; equal counts go by code.
-    """
-    for c in columns:
-        counts = rows.groupBy(F.col(c).alias("_code")).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "_code").limit(most)
-        known = counts.select("_code", F.lit(True).alias("_known"))
-        joined = rows.join(known, F.col(c) == F.col("_code"), "left")
-        rows = joined.withColumn(c, F.when(F.col("_known"), F.col(c)).otherwise("rare")).drop("_code", "_known")
-    return rows
-
-
-def feature_stages(spec: FeatureSpec) -> list:
-    stages: list = []
-    if spec.categorical:
-        stages.append(
-            StringIndexer(inputCols=list(spec.categorical), outputCols=[f"{c}__index" for c in spec.categorical],
-                          handleInvalid="keep")
-        )
+
+def feature_stages(spec: FeatureSpec, train: DataFrame) -> list:
+    """Stages of the feature vector; codes that are not frequent in ``train`` get one index together."""
+    stages: list = [
+        StringIndexerModel.from_labels(frequent_codes(train, c), inputCol=c, outputCol=f"{c}__index", handleInvalid="keep")
+        for c in spec.categorical
+    ]
     stages.append(Imputer(inputCols=list(spec.numeric), outputCols=[f"{c}__filled" for c in spec.numeric], strategy="mean"))
     stages.append(VectorAssembler(inputCols=vector_slots(spec), outputCol="features"))
     return stages
@@ -96,7 +93,7 @@ def vector_slots(spec: FeatureSpec) -> list[str]:
 Learner = Callable[[int], object]
 
 
-def boosted_trees(trees: int = 2000, depth: int = 7, step: float = 0.02, max_bins: int = 512) -> Learner:
+def spark_boosted_trees(trees: int = 2000, depth: int = 7, step: float = 0.02, max_bins: int = 512) -> Learner:
     """Boosted trees on absolute error with row and column subsampling."""
     return lambda seed: GBTRegressor(
         labelCol="y_log", lossType="absolute", maxIter=trees, maxDepth=depth, stepSize=step, maxBins=max_bins,
@@ -123,25 +120,25 @@ class Fit:
     model: PipelineModel
 
 
-def fit_folds(data: DataFrame, spec: FeatureSpec, learners: dict[str, Learner], folds: int = 5,
-              seeds: Sequence[int] = tuple(range(42, 47))) -> list[Fit]:
-    """One model per learner, fold and seed; ``data`` needs a ``fold`` column.
+def fit_fold(data: DataFrame, spec: FeatureSpec, learners: dict[str, Learner], fold: int, seeds: Sequence[int] = SEEDS) -> list[Fit]:
+    """One model per learner and seed, trained on the rows of the other folds.
 
-    The feature stages of a fold are fitted once and shared by its learners and seeds.
+    The feature stages, the frequent codes among them, are fitted on those rows once.
     """
-    fits = []
-    for fold in range(folds):
-        train = data.filter(F.col("fold") != fold)
-        prepare = Pipeline(stages=feature_stages(spec)).fit(train)
-        matrix = prepare.transform(train).select("y_log", "features").persist()
-        for name, make in learners.items():
-            for seed in seeds:
-                model = make(seed).fit(matrix)
-                fits.append(Fit(name, fold, seed, PipelineModel(stages=[*prepare.stages, model])))
-        matrix.unpersist()
+    train = data.filter(F.col("fold") != fold)
+    prepare = Pipeline(stages=feature_stages(spec, train)).fit(train)
+    matrix = prepare.transform(train).select("y_log", "features").persist()
+    fits = [Fit(name, fold, seed, PipelineModel(stages=[*prepare.stages, make(seed).fit(matrix)]))
+            for name, make in learners.items() for seed in seeds]
+    matrix.unpersist()
     return fits
 
 
+def fit_folds(data: DataFrame, spec: FeatureSpec, learners: dict[str, Learner], folds: int = 5, seeds: Sequence[int] = SEEDS) -> list[Fit]:
+    """The models of every fold; ``data`` needs a ``fold`` column."""
+    return [fit for fold in range(folds) for fit in fit_fold(data, spec, learners, fold, seeds)]
+
+
 def predict_folds(data: DataFrame, fits: Sequence[Fit], key: str, train_too: bool = False) -> DataFrame:
     """Long predictions: learner, fold, seed, part (test/train), key, price, y_log, pred_log."""
     tables = []
@@ -253,40 +250,53 @@ def normalised_importance(long: DataFrame) -> DataFrame:
     )
 
 
-def shuffled_copy(rows: DataFrame, key: str, columns: Sequence[str], seed, prefix: str = "shuffled_") -> DataFrame:
+def shuffled_copy(rows: DataFrame, key: str, columns: Sequence[str], seed, prefix: str = "shuffled_", within: Sequence[str] = ()) -> DataFrame:
     """Adds a permuted copy of each column: row i of one seeded order gets the values of row i of
-    another. Both orders are numbered in buckets, so the permutation is global and distributed."""
-    base = ordering.seeded_row_numbers(rows, f"{seed}-base", [key], name="_rn")
-    other = ordering.seeded_row_numbers(rows.select(key, *columns), f"{seed}-other", [key], name="_rn")
-    return base.join(other.select("_rn", *[F.col(c).alias(f"{prefix}{c}") for c in columns]), "_rn").drop("_rn")
-
+    another, ``within`` groups if there are any. Both orders are numbered in buckets, so a group's
+    permutation is distributed."""
+    base = ordering.seeded_row_numbers(rows, f"{seed}-base", [key], within, name="_rn")
+    other = ordering.seeded_row_numbers(rows.select(key, *within, *columns), f"{seed}-other", [key], within, name="_rn")
+    return base.join(other.select("_rn", *within, *[F.col(c).alias(f"{prefix}{c}") for c in columns]), ["_rn", *within]).drop("_rn")
 
-def permutation_importance(data: DataFrame, fits: Sequence[Fit], spec: FeatureSpec, key: str, shuffles: int = 6) -> DataFrame:
-    """Loss of accuracy when one feature is scrambled: mean and deviation over folds and shuffles.
 
-    Every test row is repeated once per feature with that feature replaced, so one transform per
-    fit and shuffle scores all features.
-    """
+def _swapped(test: DataFrame, spec: FeatureSpec, key: str, seed: str) -> DataFrame:
+    """Every test row once as it is (feature '') and once per feature with that feature's values shuffled."""
     inputs = [*spec.numeric, *[f"{c}__missing" for c in spec.numeric], *spec.categorical]
     owner = {c: c.rsplit("__missing", 1)[0] for c in inputs}
     names = F.array(F.lit(""), *[F.lit(n) for n in spec.names])
+    mixed = shuffled_copy(test, key, inputs, seed, within=["fold"]).withColumn("feature", F.explode(names))
+    return mixed.withColumns({c: F.when(F.col("feature") == owner[c], F.col(f"shuffled_{c}")).otherwise(F.col(c)) for c in inputs})
+
+
+def permutation_importance(data: DataFrame, fits: Sequence[Fit] | boosting.Fitted, spec: FeatureSpec, key: str, shuffles: int = 6,
+                           learner: str = "boosted") -> DataFrame:
+    """Loss of accuracy when one feature is scrambled: mean and deviation over folds, seeds and shuffles.
+
+    Every test row is repeated once per feature with that feature replaced, so one transform per
+    fit and shuffle, or per shuffle for boosted models, scores all features.
+    """
     tables = []
-    for fit in fits:
-        test = data.filter(F.col("fold") == fit.fold)
+    if isinstance(fits, boosting.Fitted):
+        models = F.array(*[F.struct(F.lit(f).alias("of"), F.lit(s).alias("seed")) for f, s in fits.models])
+        held_out = data.filter(F.col("fold").isin([f for f, _ in fits.models]))
         for shuffle in range(shuffles):
-            mixed = shuffled_copy(test, key, inputs, f"{fit.fold}-{shuffle}").withColumn("feature", F.explode(names))
-            swapped = mixed.withColumns(
-                {c: F.when(F.col("feature") == owner[c], F.col(f"shuffled_{c}")).otherwise(F.col(c)) for c in inputs}
-            )
-            tables.append(
-                fit.model.transform(swapped).select(
-                    F.lit(fit.learner).alias("learner"), F.lit(fit.fold).alias("fold"), F.lit(fit.seed).alias("seed"),
-                    F.lit(shuffle).alias("shuffle"), "feature", "price", "y_log", F.col("prediction").alias("pred_log"),
+            rows = _missing_as_null(_swapped(held_out, spec, key, str(shuffle)), spec)
+            scores = boosting.scored(rows, fits, spec.numeric, spec.categorical, ["feature"])
+            each = scores.select("fold", "feature", "price", "y_log", F.inline(F.arrays_zip(models.alias("model"), F.col("pred").alias("pred_log"))))
+            tables.append(each.where(F.col("model.of") == F.col("fold")).select(
+                F.lit(learner).alias("learner"), "fold", F.col("model.seed").alias("seed"), F.lit(shuffle).alias("shuffle"), "feature", "price", "y_log", "pred_log"))
+    else:
+        for fit in fits:
+            test = data.filter(F.col("fold") == fit.fold)
+            for shuffle in range(shuffles):
+                swapped = _swapped(test, spec, key, f"{fit.fold}-{shuffle}")
+                tables.append(
+                    fit.model.transform(swapped).select(
+                        F.lit(fit.learner).alias("learner"), F.lit(fit.fold).alias("fold"), F.lit(fit.seed).alias("seed"),
+                        F.lit(shuffle).alias("shuffle"), "feature", "price", "y_log", F.col("prediction").alias("pred_log"),
+                    )
                 )
-            )
-    scored = tables[0]
-    for t in tables[1:]:
-        scored = scored.unionByName(t)
+    scored = staged(functools.reduce(DataFrame.unionByName, tables), "permuted")
     per_run = ["learner", "seed", "shuffle"]
     metrics = fold_metrics(scored, [*per_run, "feature"])
     base = metrics.filter(F.col("feature") == "").select(
@@ -303,43 +313,102 @@ def permutation_importance(data: DataFrame, fits: Sequence[Fit], spec: FeatureSp
     )
 
 
-def _training_table(df: DataFrame, spec: FeatureSpec, key: str, target: str, folds: int) -> DataFrame:
-    """Prepared rows with folds, written once to the checkpoint folder.
+def training_table(df: DataFrame, spec: FeatureSpec, key: str, target: str, folds: int = 5) -> DataFrame:
+    """Prepared rows with folds, written once to the shared folder.
 
     Every fit and prediction starts from that copy, so a lost executor costs a re-read instead of
     the enrichment joins.
     """
-    use_checkpoints(df.sparkSession)
-    rows = common_codes(prepared(df, spec, key, target), spec.categorical)
-    return sampling.kfold(rows, key, folds).checkpoint()
+    return staged(sampling.kfold(prepared(df, spec, key, target), key, folds), "training")
+
 
+def _variant(learner: Learner | boosting.Boosting, seed: int):
+    return learner if isinstance(learner, boosting.Boosting) else learner(seed)
 
-def cross_validate(df: DataFrame, spec: FeatureSpec, key: str, target: str, learners: dict[str, Learner],
-                   folds: int = 5, seeds: Sequence[int] = tuple(range(42, 47)), train_too: bool = False):
-    """(prepared data with folds, fits, seed-averaged predictions)."""
-    data = _training_table(df, spec, key, target, folds)
-    fits = fit_folds(data, spec, learners, folds, seeds)
-    # written once: metrics, blends and correlations read predictions instead of running the models again
-    return data, fits, staged(seed_average(predict_folds(data, fits, key, train_too), key), "predictions")
 
+def boosted(data: DataFrame, spec: FeatureSpec, key: str, settings: boosting.Boosting, models: Sequence[tuple[int, int]]) -> boosting.Fitted:
+    """The models (fold, seed) of one setting, grown together; missing codes count as missing values."""
+    return boosting.fit(_missing_as_null(data, spec), key, spec.numeric, spec.categorical, models, settings)
 
-def sweep(df: DataFrame, spec: FeatureSpec, key: str, target: str, configs: dict[str, Learner],
-          folds: int = 5, seeds: Sequence[int] = (42,)) -> DataFrame:
+
+def _missing_as_null(data: DataFrame, spec: FeatureSpec) -> DataFrame:
+    return data.withColumns({c: F.nullif(F.col(c), F.lit(MISSING)) for c in spec.categorical})
+
+
+def predictions_of(data: DataFrame, spec: FeatureSpec, key: str, learners: dict[str, Learner | boosting.Boosting], folds: int, seeds: Sequence[int],
+                   store: str | None = None, at_once: int = 4) -> DataFrame:
+    """Long predictions of every learner, fold and seed for all rows of ``data``, which has folds.
+
+    What ``store`` already holds for the same content is read; the rest is fitted, ``at_once`` fits at
+    a time (boosted models of one learner grow together and are one job), and stored. Without a
+    folder, the store lasts for this call only.
+    """
+    spark = data.sparkSession
+    found, planned = _planned(data, spec, key, learners, folds, seeds, store or scratch_path(spark, "predictions"))
+    jobs: list[fitting.Job] = []
+    for name, learner in learners.items():
+        missing = [k for n, k, stored in planned if n == name and not stored]
+        if isinstance(learner, boosting.Boosting):
+            if missing:
+                jobs.append(functools.partial(_store_boosted, found, data, spec, key, learner, missing))
+        else:
+            for fold in sorted({k.fold for k in missing}):
+                jobs.append(functools.partial(_store_fold, found, data, spec, key, name, learner, fold, [k for k in missing if k.fold == fold]))
+    fitting.run_jobs(spark, jobs, at_once)
+    return found.get([k for _, k, _ in planned])
+
+
+def missing_fits(data: DataFrame, spec: FeatureSpec, key: str, learners: dict[str, Learner | boosting.Boosting], folds: int, seeds: Sequence[int],
+                 store: str) -> int:
+    """How many fits a run with this store would start."""
+    return sum(not stored for _, _, stored in _planned(data, spec, key, learners, folds, seeds, store)[1])
+
+
+def _planned(data: DataFrame, spec: FeatureSpec, key: str, learners: dict, folds: int, seeds: Sequence[int], store: str):
+    """(the store, a (learner, key, whether stored) per fit)."""
+    kinds = dict(data.dtypes)
+    found = fitting.PredictionStore(data.sparkSession, store, f"part string, `{key}` {kinds[key]}, price double, y_log double, pred_log double")
+    digest = fitting.table_digest(data)
+    keys = [(name, fitting.fit_key(digest, spec.names, name, fitting.settings_of(_variant(learner, s)), f, s, folds))
+            for name, learner in learners.items() for f in range(folds) for s in seeds]
+    return found, [(name, k, found.has(k)) for name, k in keys]
+
+
+def _store_boosted(found: fitting.PredictionStore, data: DataFrame, spec: FeatureSpec, key: str, learner: boosting.Boosting, keys: list) -> None:
+    rows = boosted(data, spec, key, learner, [(k.fold, k.seed) for k in keys]).predictions("", train_too=True)
+    for k in keys:
+        found.put(k, rows.where((F.col("fold") == k.fold) & (F.col("seed") == k.seed)))
+
+
+def _store_fold(found: fitting.PredictionStore, data: DataFrame, spec: FeatureSpec, key: str, name: str, learner: Learner, fold: int, keys: list) -> None:
+    for k, fit in zip(keys, fit_fold(data, spec, {name: learner}, fold, [k.seed for k in keys])):
+        found.put(k, predict_folds(data, [fit], key, train_too=True))
+
+
+def cross_validate(df: DataFrame, spec: FeatureSpec, key: str, target: str, learners: dict[str, Learner | boosting.Boosting],
+                   folds: int = 5, seeds: Sequence[int] = SEEDS, train_too: bool = False, store: str | None = None, at_once: int = 4):
+    """(prepared data with folds, seed-averaged predictions)."""
+    data = training_table(df, spec, key, target, folds)
+    rows = predictions_of(data, spec, key, learners, folds, seeds, store, at_once)
+    # written once: metrics, blends and correlations read averages instead of every seed
+    return data, staged(seed_average(rows if train_too else rows.where("part = 'test'"), key), "predictions")
+
+
+def sweep(df: DataFrame, spec: FeatureSpec, key: str, target: str, configs: dict[str, Learner | boosting.Boosting],
+          folds: int = 5, seeds: Sequence[int] = SEEDS, store: str | None = None, at_once: int = 4) -> DataFrame:
     """Metrics of every named configuration on the same folds; the first is the baseline."""
-    _, _, predictions = cross_validate(df, spec, key, target, configs, folds, seeds)
+    _, predictions = cross_validate(df, spec, key, target, configs, folds, seeds, store=store, at_once=at_once)
     summary = metric_summary(fold_metrics(predictions))
     return _against_baseline(summary, next(iter(configs)))
 
 
-def ablation(df: DataFrame, spec: FeatureSpec, key: str, target: str, learner: Learner, folds: int = 5,
-             seeds: Sequence[int] = (42,)) -> DataFrame:
+def ablation(df: DataFrame, spec: FeatureSpec, key: str, target: str, learner: Learner | boosting.Boosting, folds: int = 5,
+             seeds: Sequence[int] = SEEDS, store: str | None = None, at_once: int = 4) -> DataFrame:
     """Metrics with all features and without each feature group, on the same folds."""
     variants = {"all": spec, **{f"without {g}": spec.without(*cols) for g, cols in spec.groups.items()}}
-    data = _training_table(df, spec, key, target, folds)
-    tables = [
-        seed_average(predict_folds(data, fit_folds(data, variant, {name: learner}, folds, seeds), key), key)
-        for name, variant in variants.items()
-    ]
+    data = training_table(df, spec, key, target, folds)
+    tables = [seed_average(predictions_of(data, variant, key, {name: learner}, folds, seeds, store, at_once).where("part = 'test'"), key)
+              for name, variant in variants.items()]
     out = tables[0]
     for t in tables[1:]:
         out = out.unionByName(t)

@@ -2,7 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from dwellstat.operators import modeling
+from dwellstat.operators import boosting, fits, modeling
 
 SPEC = modeling.FeatureSpec(numeric=("size", "noise"), categorical=("hood",), groups={"home": ("size", "hood"), "junk": ("noise",)})
 
@@ -21,20 +21,83 @@ def homes(spark):
 
 
 def trees():
-    return modeling.boosted_trees(trees=6, depth=4, step=0.3, max_bins=32)
+    return boosting.Boosting(trees=6, depth=4, step=0.3, bins=32)
 
 
-def test_cross_validation(spark, homes):
-    data, fits, predictions = modeling.cross_validate(homes, SPEC, "zpid", "sold_price", {"t": trees()}, folds=2, seeds=(1, 2), train_too=True)
-    assert data.count() == 392 and len(fits) == 4
-    metrics = {r.part: r for r in modeling.metric_summary(modeling.fold_metrics(predictions)).collect()}
-    assert set(metrics) == {"train", "test"} and metrics["test"].log_rmse_mean < 0.6
-    gains = modeling.gain_importance(spark, fits, SPEC).toPandas()
+def test_cross_validation(spark, homes, tmp_path):
+    learners = {"t": trees(), "line": modeling.linear()}
+    run = lambda: modeling.cross_validate(homes, SPEC, "zpid", "sold_price", learners, folds=2, seeds=(1, 2), train_too=True, store=str(tmp_path))
+    data, predictions = run()
+    assert data.count() == 392
+    metrics = {(r.learner, r.part): r for r in modeling.metric_summary(modeling.fold_metrics(predictions)).collect()}
+    assert set(metrics) == {(l, p) for l in learners for p in ("train", "test")} and metrics["t", "test"].log_rmse_mean < 0.6
+    assert modeling.missing_fits(data, SPEC, "zpid", learners, 2, (1, 2), str(tmp_path)) == 0
+    again = run()[1]
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, predictions.collect()))
+    fitted = modeling.boosted(data, SPEC, "zpid", trees(), [(f, s) for f in (0, 1) for s in (1, 2)])
+    gains = modeling.normalised_importance(fitted.gains("t")).toPandas()
     assert gains.importance.sum() == pytest.approx(1.0) and gains.feature.iloc[0] == "size"
-    scrambled = {r.feature: r for r in modeling.permutation_importance(data, fits[:1], SPEC, "zpid", shuffles=1).collect()}
+    scrambled = {r.feature: r for r in modeling.permutation_importance(data, fitted, SPEC, "zpid", shuffles=1).collect()}
     assert scrambled["size"].d_log_rmse > scrambled["noise"].d_log_rmse and scrambled["size"].feature_group == "home"
 
 
+def test_spark_trees(spark, homes):
+    learner = {"s": modeling.spark_boosted_trees(trees=3, depth=3, step=0.3, max_bins=32)}
+    data = modeling.training_table(homes, SPEC, "zpid", "sold_price", 2)
+    fits = modeling.fit_folds(data, SPEC, learner, folds=2, seeds=(1,))
+    gains = modeling.gain_importance(spark, fits, SPEC).toPandas()
+    assert gains.importance.sum() == pytest.approx(1.0)
+    scrambled = {r.feature: r for r in modeling.permutation_importance(data, fits[:1], SPEC, "zpid", shuffles=1).collect()}
+    assert scrambled["size"].d_log_rmse > scrambled["noise"].d_log_rmse
+
+
+def test_store_goes_by_content(spark, homes, tmp_path):
+    line = {"line": modeling.linear(0.0)}
+    missing = lambda df, learners=line, spec=SPEC, seeds=(1, 2): modeling.missing_fits(
+        modeling.training_table(df, spec, "zpid", "sold_price", 2), spec, "zpid", learners, 2, seeds, str(tmp_path))
+    assert missing(homes) == 4
+    modeling.predictions_of(modeling.training_table(homes, SPEC, "zpid", "sold_price", 2), SPEC, "zpid", line, 2, (1, 2), str(tmp_path))
+    assert missing(homes) == 0 and missing(homes.repartition(7)) == 0 and missing(homes, seeds=(1, 2, 3)) == 2
+    assert missing(homes, {"renamed": modeling.linear(0.0)}) == 0
+    assert missing(homes, {"line": modeling.linear(0.1)}) == 4
+    assert missing(homes, spec=SPEC.without("noise")) == 4
+    assert missing(homes.where("zpid <> 7")) == 4 and missing(homes.unionByName(homes.where("zpid = 7"))) == 4
+
+
+def test_fits_run_side_by_side_and_failures_stop_them(spark):
+    import threading
+    barrier = threading.Barrier(3, timeout=60)
+    assert fits.run_jobs(spark, [lambda i=i: (barrier.wait(), i)[1] for i in range(3)], 3) == [0, 1, 2]
+    begun = []
+
+    def job(i):
+        begun.append(i)
+        raise RuntimeError("no")
+
+    with pytest.raises(RuntimeError):
+        fits.run_jobs(spark, [lambda i=i: job(i) for i in range(5)], 1)
+    assert begun == [0]
+
+
+def test_missing_values_go_where_they_gain(spark):
+    """Missing sizes are dear here, so they belong with the large ones."""
+    rows = [(i, float(i % 10) if i % 4 else None, 0.0 if i % 4 and i % 10 < 5 else 5.0) for i in range(400)]
+    df = spark.createDataFrame([(i, x, 1.0, y + (i % 3) / 100, i // 20 % 2) for i, x, y in rows], "k long, x double, price double, y_log double, fold int")
+    fitted = boosting.fit(df, "k", ["x"], [], [(0, 1), (1, 1)], boosting.Boosting(trees=1, depth=1, step=1.0, row_share=1.0))
+    tree = fitted.trees[0][0]
+    assert tree.feature[1] == 0 and not tree.missing_left[1]
+    got = {r.k: r.pred_log for r in fitted.predictions("t").collect()}
+    assert len(got) == 400 and all(abs(got[i] - y) < 0.1 for i, _, y in rows)
+
+
+def test_codes_never_trained_on_and_empty_rows(spark):
+    rows = [(i, "ab"[i % 2] if i < 40 else "z", 1.0, float(i % 2), 0 if i >= 40 else 1 + i % 2) for i in range(50)] + [(99, None, None, None, 1)]
+    df = spark.createDataFrame(rows, "k long, c string, price double, y_log double, fold int")
+    fitted = boosting.fit(df, "k", [], ["c"], [(0, 1)], boosting.Boosting(trees=2, depth=2, step=1.0, row_share=1.0))
+    assert fitted.predictions("t").count() == 10 and fitted.predictions("t", train_too=True).count() == 51
+    assert {round(r.pred_log, 6) for r in fitted.predictions("t", train_too=True).where("k < 40").collect()} == {0.0, 1.0}
+
+
 def test_shuffled_copy_is_a_permutation(spark, homes):
     mixed = modeling.shuffled_copy(homes.select("zpid", "noise"), "zpid", ["noise"], 3).toPandas()
     assert np.allclose(sorted(mixed.noise), sorted(mixed.shuffled_noise)) and (mixed.noise != mixed.shuffled_noise).mean() > 0.9

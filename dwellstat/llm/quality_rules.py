@@ -6,6 +6,12 @@ by adding counts, so they are built by a partial aggregate per task, and the ske
 is the sum of those of its sources. Each sketch yields fences around its middle half; a document is
 kept when it lies inside the fences of its own language and source.
 
+An upper fence is the largest of three places, all read from the sketch: ``REACH`` interquartile
+ranges above the third quartile; an eighth of that quartile above it, so that a group of nearly equal
+values keeps them; and just below the median of the values above the quartile, so that a measure
+which is zero nearly everywhere is judged by the values of those documents where it is not. A fence
+therefore rejects an eighth of its group at most. Lower fences mirror this.
+
 Only DataFrame functions are used. Cases: a null or blank text has no words and fails the base
 rules; null languages and sources form groups of their own; a group with fewer than ``MIN_DOCS``
 documents uses its language's sketch, and a language with fewer uses that of the whole corpus; an
@@ -29,8 +35,7 @@ MAX_REPEAT_PCT = 30
 MIN_DOCS = 50
 #: Fences lie this many interquartile ranges beyond the middle half.
 REACH = 3
-#: Measure -> least distance of a fence from the middle half, in the measure's own unit.
-MEASURES = {"chars_per_100_words": 100, "symbols_per_1000_words": 100, "dup_per_1000_lines": 400, "repeats_per_1000_words": 300}
+MEASURES = ("chars_per_100_words", "symbols_per_1000_words", "dup_per_1000_lines", "repeats_per_1000_words")
 #: Measures that are also suspicious when low.
 TWO_SIDED = ("chars_per_100_words",)
 
@@ -107,18 +112,26 @@ def sketches(measures: DataFrame) -> DataFrame:
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """Fences per group and level: ``n_docs`` and a lower and upper end for every measure."""
+    """Fences per group and level (see above): ``n_docs`` and a lower and upper end for every measure."""
     group = ["lang", "source", "level", "measure"]
     running = Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     ranked = sketch.select("*", F.sum("n").over(running).alias("upto"), F.sum("n").over(Window.partitionBy(*group)).alias("n_docs"))
-    quarter = ranked.groupBy(*group).agg(
-        F.max("n_docs").alias("n_docs"),
-        F.min(F.when(4 * F.col("upto") >= F.col("n_docs"), F.col("bucket"))).alias("q1"),
-        F.min(F.when(4 * F.col("upto") >= 3 * F.col("n_docs"), F.col("bucket"))).alias("q3"))
+    whole = Window.partitionBy(*group)
+    quarters = ranked.select(
+        "*", F.min(F.when(4 * F.col("upto") >= F.col("n_docs"), F.col("bucket"))).over(whole).alias("q1"),
+        F.min(F.when(4 * F.col("upto") >= 3 * F.col("n_docs"), F.col("bucket"))).over(whole).alias("q3"))
+    beside = quarters.select(
+        "*", F.sum(F.when(F.col("bucket") <= F.col("q3"), F.col("n"))).over(whole).alias("to_q3"),
+        F.coalesce(F.sum(F.when(F.col("bucket") < F.col("q1"), F.col("n"))).over(whole), F.lit(0)).alias("below"))
+    above = (F.col("bucket") > F.col("q3")) & (2 * (F.col("upto") - F.col("to_q3")) >= F.col("n_docs") - F.col("to_q3"))
+    under = (F.col("bucket") < F.col("q1")) & (2 * (F.col("upto") - F.col("n")) <= F.col("below"))
+    found = beside.groupBy(*group).agg(
+        F.max("n_docs").alias("n_docs"), F.max("q1").alias("q1"), F.max("q3").alias("q3"),
+        F.min(F.when(above, F.col("bucket"))).alias("m_high"), F.max(F.when(under, F.col("bucket"))).alias("m_low"))
     reach = REACH * (F.col("q3") - F.col("q1"))
-    slack = F.create_map(*[F.lit(x) for pair in MEASURES.items() for x in pair])[F.col("measure")]
-    margin = F.greatest(reach, slack)
-    fenced = quarter.select(*group, "n_docs", (F.col("q1") - margin).alias("low"), (F.col("q3") + margin).alias("high"))
+    low = F.least(F.col("q1") - reach, F.expr("q1 - q1 div 8"), F.col("m_low") + 1)  # nulls are left out
+    high = F.greatest(F.col("q3") + reach, F.expr("q3 + q3 div 8"), F.col("m_high") - 1)
+    fenced = found.select(*group, "n_docs", low.alias("low"), high.alias("high"))
     ends = [F.max(F.when(F.col("measure") == m, F.col(e))).alias(f"{m}_{e}") for m in MEASURES for e in ("low", "high")]
     return fenced.groupBy("lang", "source", "level").agg(F.max("n_docs").alias("n_docs"), *ends)
 

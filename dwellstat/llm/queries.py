@@ -45,8 +45,12 @@ r AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY
         sum(n) OVER (PARTITION BY level, lang, source, measure) AS n_docs FROM c),
 q AS (SELECT level, lang, source, measure, max(n_docs) AS n_docs, min(bucket) FILTER (WHERE 4 * upto >= n_docs) AS q1,
         min(bucket) FILTER (WHERE 4 * upto >= 3 * n_docs) AS q3 FROM r GROUP BY ALL),
-f AS (SELECT *, greatest(3 * (q3 - q1), CASE measure WHEN 1 THEN 100 WHEN 2 THEN 100 WHEN 3 THEN 400 ELSE 300 END) AS margin FROM q),
-j AS (SELECT k.rid, k.measure, k.val, f.level, f.q1 - f.margin AS low, f.q3 + f.margin AS high FROM k
+one AS (SELECT c.level, c.lang, c.source, c.measure, c.bucket, unnest(range(c.n)), q.q1, q.q3 FROM c JOIN q ON c.level = q.level AND c.measure = q.measure
+      AND c.lang IS NOT DISTINCT FROM q.lang AND c.source IS NOT DISTINCT FROM q.source),
+mid AS (SELECT level, lang, source, measure, quantile_disc(bucket, 0.5) FILTER (bucket > q3) AS hi, -quantile_disc(-bucket, 0.5) FILTER (bucket < q1) AS lo FROM one GROUP BY ALL),
+f AS (SELECT q.*, least(q1 - 3 * (q3 - q1), q1 - q1 // 8, lo + 1) AS low, greatest(q3 + 3 * (q3 - q1), q3 + q3 // 8, hi - 1) AS high
+      FROM q JOIN mid ON mid.level = q.level AND mid.measure = q.measure AND mid.lang IS NOT DISTINCT FROM q.lang AND mid.source IS NOT DISTINCT FROM q.source),
+j AS (SELECT k.rid, k.measure, k.val, f.level, f.low, f.high FROM k
       JOIN f ON k.measure = f.measure AND f.lang IS NOT DISTINCT FROM CASE WHEN f.level < 2 THEN k.lang END
         AND f.source IS NOT DISTINCT FROM CASE WHEN f.level < 1 THEN k.source END
       WHERE f.n_docs >= 50 OR f.level = 2

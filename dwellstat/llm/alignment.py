@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import json
 import os
 import re
@@ -56,6 +57,9 @@ BLOCK, FAN_IN = 1 << 16, 64
 #: Records of a part that one task matches with the counted pairs.
 SALT_RECORDS = 1 << 23
 FILE_BYTES = 1 << 26
+#: Fixed value: the pattern by which byte-level vocabularies split texts into words.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+QUICK_CHARS = 50_000
 
 common.by_value(__name__, textkernel.__name__)
 
@@ -77,6 +81,7 @@ class Aligner:
 
         self.a = tokenizers.Tokenizer.from_str(byte_bpe.decode())
         self.a.encode_special_tokens = True
+        self.quick = self._same_ids(json.loads(byte_bpe))
         self.b = sentencepiece.SentencePieceProcessor(model_proto=piece_bpe)
         letters = _byte_letters()
         added = {t["id"] for t in json.loads(byte_bpe).get("added_tokens", [])}
@@ -94,10 +99,31 @@ class Aligner:
         self.span = len(ids)
         self.printed = [f";{i}" for i in ids] + [f",{i}" for i in ids] + [f"|{i}" for i in ids]
 
+    @staticmethod
+    def _same_ids(described: dict):
+        """A faster encoder with the same ids, if the vocabulary allows it: plain byte-level BPE merged in the order of ids."""
+        vocabulary, letters = described["model"]["vocab"], _byte_letters()
+        joined = [vocabulary["".join(m.split(" ") if isinstance(m, str) else m)] for m in described["model"]["merges"]]
+        split = described.get("pre_tokenizer") or {}
+        plain = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and not described.get("normalizer")
+        if not plain or joined != sorted(joined) or described["model"].get("ignore_merges"):
+            return None
+        import tiktoken
+
+        added = {t["content"] for t in described.get("added_tokens", [])}
+        ranks = {bytes(letters[c] for c in entry): i for entry, i in vocabulary.items() if entry not in added}
+        return tiktoken.Encoding("ranks", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+
+    def _side_a(self, texts: list[str]) -> list[list[int]]:
+        # very long texts may exceed the quick encoder's stack
+        quick = [self.quick is not None and len(t) < QUICK_CHARS for t in texts]
+        slow = iter(self.a.encode_batch_fast([t for t, q in zip(texts, quick) if not q], add_special_tokens=False))
+        return [self.quick.encode_ordinary(t) if q else next(slow).ids for t, q in zip(texts, quick)]
+
     def encode(self, texts: list[str | None]) -> tuple[list[int], list[list[int]], list[list[int]]]:
         """(indexes of texts that both sides give back, their ids on side A, on side B)."""
         filled = [i for i, t in enumerate(texts) if t]
-        side_a = [e.ids for e in self.a.encode_batch_fast([" " + texts[i] for i in filled], add_special_tokens=False)]
+        side_a = self._side_a([" " + texts[i] for i in filled])
         side_b = self.b.encode([texts[i] for i in filled], num_threads=1) if filled else []
         good = []
         for n, i in enumerate(filled):
@@ -113,19 +139,23 @@ class Aligner:
         A pair is the B id times 2**32 plus the A id.
         """
         n_a, n_b = (np.array([len(x) for x in side], np.int64) for side in (side_a, side_b))
-        ids_a, ids_b = (np.array([i for x in side for i in x], np.int64) for side in (side_a, side_b))
+        ids_a, ids_b = (np.fromiter(itertools.chain.from_iterable(side), np.int64, int(n.sum())) for side, n in ((side_a, n_a), (side_b, n_b)))
         ends_a, ends_b = np.cumsum(self.sizes_a[ids_a]), np.cumsum(self.sizes_b[ids_b])
-        text_ends = ends_a[np.cumsum(n_a) - 1]
-        both = np.intersect1d(ends_a, ends_b, assume_unique=True)
-        cuts = np.union1d(ends_a, ends_b)
-        pairs = ids_b[np.searchsorted(ends_b, cuts)] << 32 | ids_a[np.searchsorted(ends_a, cuts)]
-        owner = np.searchsorted(text_ends, cuts)
-        counts = {"n_a": n_a, "n_b": n_b, "n_groups": np.bincount(np.searchsorted(text_ends, both), minlength=len(n_a)),
-                  "n_links": np.bincount(owner, minlength=len(n_a))}
+        ends = np.zeros(int(ends_a[-1]) + 1, np.uint8)  # per byte: 1 where an A token ends, 2 for B, 4 for a text
+        ends[ends_a] = 1
+        ends[ends_b] |= 2
+        ends[ends_a[np.cumsum(n_a) - 1]] |= 4
+        cuts = np.flatnonzero(ends)
+        at_a, at_b, at_text = (ends[cuts] & bit > 0 for bit in (1, 2, 4))
+        at_both = at_a & at_b
+        # how many ended before a cut is the number of the token, group or text that it lies in
+        token_a, token_b, group, owner = (np.cumsum(x) - x for x in (at_a, at_b, at_both, at_text))
+        pairs = ids_b[token_b] << 32 | ids_a[token_a]
+        counts = {"n_a": n_a, "n_b": n_b, "n_groups": np.bincount(owner[at_both], minlength=len(n_a)), "n_links": np.bincount(owner, minlength=len(n_a))}
         # the groups in print: A ids behind ; and , then B ids behind | and ,
-        group_a, group_b = np.searchsorted(both, ends_a), np.searchsorted(both, ends_b)
-        before_b = np.concatenate([[0], np.cumsum(np.bincount(group_b, minlength=len(both)))])
-        upto_a = np.cumsum(np.bincount(group_a, minlength=len(both)))
+        group_a, group_b = group[at_a], group[at_b]
+        before_b = np.concatenate([[0], np.cumsum(np.bincount(group_b))])
+        upto_a = np.cumsum(np.bincount(group_a))
         first_a, first_b = np.diff(group_a, prepend=-1) > 0, np.diff(group_b, prepend=-1) > 0
         order = np.empty(len(ids_a) + len(ids_b), np.int64)
         order[np.arange(len(ids_a)) + before_b[group_a]] = ids_a + np.where(first_a, 0, self.span)
@@ -271,8 +301,6 @@ def _encoded(docs: DataFrame, text: str, key: str, folder: str) -> DataFrame:
 
 def _by_group(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[tuple, Iterator[dict]]]:
     """Consecutive rows of equal keys, from rows that come sorted by them."""
-    import itertools
-
     rows = (row for batch in batches for row in batch.to_pylist())
     return itertools.groupby(rows, key=lambda row: tuple(row[k] for k in keys))
 

@@ -64,7 +64,7 @@ def check(spark, aligner, texts):
 
 
 def test_odd_texts(spark, aligner):
-    texts = [None, "", " ", "a", "\n\n x\ty", "<|endoftext|> and <s> </s>", "naïve café ﬁne", "日本語 текст 🙂", "x" * 300, "don't  stop\r\n", "same", "same", "\u2581under"]
+    texts = [None, "", " ", "a", "\n\n x\ty", "<|endoftext|> and <s> </s>", "naïve café ﬁne", "日本語 текст 🙂", "x" * 300, "don't  stop\r\n", "same", "same", "\u2581under", "word " * 15000, "x" + " " * 60000 + "y"]
     out = check(spark, aligner, texts)
     assert out[0] == out[1] == (0, 0, 0, 0, 0, 0, "")
     assert out[5][0] > 3 and out[10] == out[11]

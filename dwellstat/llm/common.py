@@ -48,6 +48,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def packed(docs: DataFrame, **taken: Column) -> DataFrame:
+    """The columns ``taken`` beside ``row``, which holds all of ``docs`` under names of its own.
+
+    What an operator adds can then clash with no input column, whatever that is called.
+    """
+    fields = [F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns)]
+    return docs.select(F.struct(F.lit(True).alias("_"), *fields).alias("row"), *[value.alias(name) for name, value in taken.items()])
+
+
+def unpacked(columns: list[str], **replaced: Column) -> list[Column]:
+    """The columns that went into ``row``, for a select; those in ``replaced`` get a new value."""
+    return [replaced.get(c, F.col(f"row._{i}")).alias(c) for i, c in enumerate(columns)]
+
+
 def joined_on(left: DataFrame, right: DataFrame, keys: Iterable[str], how: str) -> DataFrame:
     """Equi-join in which null keys match each other; the right side's keys are dropped."""
     keys = list(keys)

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dwellstat.llm import common, textkernel
-from dwellstat.llm.common import joined_on, written
+from dwellstat.llm.common import joined_on, packed, unpacked, written
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -198,5 +198,6 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc
 
 def cleaned(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The documents into which no item leaks, with all their columns."""
-    leaked = _verified(docs, items, text, key, CONTAINMENT).select(F.col("doc_id").alias(key), F.col("digest").alias("__digest")).distinct()
-    return joined_on(docs.withColumn("__digest", _digest(text)), leaked, (key, "__digest"), "left_anti").drop("__digest")
+    leaked = _verified(docs, items, text, key, CONTAINMENT).select("doc_id", "digest").distinct()
+    rows = packed(docs, doc_id=F.col(f"`{key}`"), digest=_digest(text))
+    return joined_on(rows, leaked, ("doc_id", "digest"), "left_anti").select(*unpacked(docs.columns))

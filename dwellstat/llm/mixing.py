@@ -17,7 +17,7 @@ tree's table has one row per node with one number per source; the block table ha
 per source however many documents there are.
 
 Cases: a null text has size 0 and is never taken; null sources form one source, ordered last;
-repeated rows share a block and are all taken or all left when they straddle the target; empty
+rows with the same id, source and text are all taken or all left when they straddle the target; empty
 tables give no rows; other columns are kept untouched by ``mixed`` and ignored by ``shares``.
 """
 
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dwellstat.llm.common import joined_on, let, words, written
+from dwellstat.llm.common import joined_on, let, packed, unpacked, words, written
 
 BLOCKS = 1024
 MAX_EPOCHS = 3
@@ -49,14 +49,13 @@ def _unit(*parts: Column | int) -> Column:
 def sized(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
     """Words per row with the row's block and its place ``h`` inside the block."""
     size = F.size(words(F.col(text))).cast("long")
-    out = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), size.alias("size"))
-    return placed(out)
+    return placed(docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), size.alias("size"), F.xxhash64(F.col(f"`{text}`")).alias("body")))
 
 
 def placed(rows: DataFrame) -> DataFrame:
-    """Adds ``block`` and ``h`` from doc_id, source and size."""
-    return rows.withColumns({"block": F.pmod(_hashed("doc_id", "source", "size", SEED), F.lit(BLOCKS)).cast("int"),
-                             "h": _hashed("doc_id", "source", "size", SEED + 1)})
+    """Adds ``block`` and ``h`` from doc_id, source and the text's hash ``body``."""
+    return rows.withColumns({"block": F.pmod(_hashed("doc_id", "source", "body", SEED), F.lit(BLOCKS)).cast("int"),
+                             "h": _hashed("doc_id", "source", "body", SEED + 1)})
 
 
 def targets(rows: DataFrame) -> DataFrame:
@@ -198,21 +197,19 @@ def _shards() -> Column:
 def mixed(docs: DataFrame, text: str = "text", depth: int = TREE_DEPTH) -> DataFrame:
     """The mix itself: every taken row once per copy, dealt to its shard and ordered by hash inside it.
 
-    Keeps the columns of ``docs`` and adds ``mix_shard`` and ``mix_epoch``.
+    Keeps the columns of ``docs`` and adds ``mix_shard`` and ``mix_epoch``, in place of columns of these names.
     """
     rows = written(sized(docs, text), "mix-sizes")
     plan = mixing_plan(rows, depth)
-    plan = plan.select("source", F.struct(*[c for c in plan.columns if c != "source"]).alias("__mix"))
-    plan = plan.select("source", F.col("__mix.block").alias("__block"), "__mix")
-    size = F.size(words(F.col(text))).cast("long")
-    tagged = docs.withColumn("__size", size)
-    tagged = tagged.withColumns({"__block": F.pmod(_hashed("doc_id", "source", "__size", SEED), F.lit(BLOCKS)).cast("int"),
-                                 "__h": _hashed("doc_id", "source", "__size", SEED + 1)})
-    joined = joined_on(tagged, plan, ("source", "__block"), "inner")
-    copies = _copies(F.col("__mix.whole"), F.col("__mix.drawn"), F.col("__mix.cut"), F.col("__h"), F.col("__size"))
-    out = joined.withColumn("__copies", copies).where("__copies > 0")
-    out = out.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__copies") - 1)))
-    shard = F.size(F.filter("__mix.ends", lambda x: x < F.col("mix_epoch") * F.col("__mix.n_blocks") + F.col("__mix.place")))
-    out = out.withColumn("mix_shard", shard).withColumn("__order", _hashed("__h", "mix_epoch", SEED + 4))
-    return out.repartition("mix_shard", F.pmod("__order", F.lit(64))).sortWithinPartitions("mix_shard", "__order").select(
-        *docs.columns, "mix_shard", "mix_epoch")
+    plan = plan.select("source", "block", F.struct(*[c for c in plan.columns if c != "source"]).alias("plan"))
+    tagged = placed(packed(docs, doc_id=F.col("`doc_id`"), source=F.col("`source`"), size=F.size(words(F.col(f"`{text}`"))).cast("long"),
+                           body=F.xxhash64(F.col(f"`{text}`"))))
+    joined = joined_on(tagged, plan, ("source", "block"), "inner")
+    copies = _copies(F.col("plan.whole"), F.col("plan.drawn"), F.col("plan.cut"), F.col("h"), F.col("size"))
+    out = joined.withColumn("copies", copies).where("copies > 0")
+    out = out.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    shard = F.size(F.filter("plan.ends", lambda x: x < F.col("epoch") * F.col("plan.n_blocks") + F.col("plan.place")))
+    out = out.withColumn("shard", shard).withColumn("order", _hashed("h", "epoch", SEED + 4))
+    kept = [column for c, column in zip(docs.columns, unpacked(docs.columns)) if c.lower() not in ("mix_shard", "mix_epoch")]
+    return out.repartition("shard", F.pmod("order", F.lit(64))).sortWithinPartitions("shard", "order").select(
+        *kept, F.col("shard").alias("mix_shard"), F.col("epoch").alias("mix_epoch"))

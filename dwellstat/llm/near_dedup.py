@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from dwellstat.llm import common, textkernel
-from dwellstat.llm.common import written
+from dwellstat.llm.common import packed, unpacked, written
 from dwellstat.llm.graph import components
 
 SHINGLE = 5
@@ -281,9 +281,15 @@ def _row_key(key: str, text_id: str) -> Column:
 
 
 def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
-    """One document of each class, with all its columns."""
-    staying = classes(docs, text, key, similarity).where("stays").select(_row_key("doc_id", "text_id").alias("__row_key"))
-    marked = docs.withColumn("__text_id", text_key(F.col(text), F.col(key))).withColumn("__row_key", _row_key(key, "__text_id"))
-    kept = marked.join(staying, "__row_key", "left_semi")
-    one = Window.partitionBy("__row_key").orderBy(F.lit(0))
-    return kept.withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One document of each class, with all its columns; of rows with its id and text, the one with the least hash.
+
+    Rows without a text stay unless all of their columns repeat.
+    """
+    whole = docs.where(F.col(f"`{text}`").isNotNull())
+    staying = classes(whole, text, key, similarity).where("stays").select(_row_key("doc_id", "text_id").alias("row_key"))
+    text_id = text_key(F.col(f"`{text}`"), F.col(f"`{key}`"))
+    rows = packed(whole, doc_id=F.col(f"`{key}`"), text_id=text_id).withColumn("row_key", _row_key("doc_id", "text_id"))
+    kept = rows.join(staying, "row_key", "left_semi")
+    one = Window.partitionBy("row_key").orderBy(F.xxhash64("row"))
+    found = kept.withColumn("n", F.row_number().over(one)).where("n = 1").select(*unpacked(docs.columns))
+    return found.union(docs.where(F.col(f"`{text}`").isNull()).dropDuplicates())

@@ -76,17 +76,17 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LINES_SQL = r"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS rid FROM documents),
-l AS (SELECT rid, doc_id, unnest(string_split(t, chr(10))) AS line, unnest(range(0, len(string_split(t, chr(10))))) AS i FROM d),
-h AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h FROM l),
-b AS (SELECT *, (coalesce(lag(h) OVER w, 0) * 31 + h) % 3 = 0 AS ends FROM h WINDOW w AS (PARTITION BY rid ORDER BY i)),
-k AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM b),
-c AS (SELECT rid, doc_id, k, string_agg(line, chr(10) ORDER BY i) AS body, count(*) AS n,
-        count(*) FILTER (WHERE regexp_matches(line, '[^\x20\x09-\x0D]')) AS n_full FROM k GROUP BY ALL),
-g AS (SELECT *, n_full >= 2 AND (doc_id, k) <> first_value((doc_id, k)) OVER (PARTITION BY n_full >= 2, body ORDER BY doc_id NULLS LAST, k) AS gone FROM c)
-SELECT doc_id, sum(n)::BIGINT AS n_lines, coalesce(sum(n) FILTER (WHERE gone), 0)::BIGINT AS n_removed_lines,
-  count(*) FILTER (WHERE gone) AS n_removed_chunks, md5(coalesce(string_agg(body, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '')) AS kept_md5
-FROM g GROUP BY rid, doc_id
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS t, row_number() OVER () AS rid FROM documents),
+l AS (SELECT rid, doc_id, unnest(t) AS line, unnest(range(len(t))) AS i FROM d),
+f AS (SELECT *, lag(line) OVER w AS before, lag(i) OVER w AS before_i FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') WINDOW w AS (PARTITION BY rid ORDER BY i)),
+u AS (SELECT rid, doc_id, before_i AS b, i AS e, before || chr(10) || line AS x FROM f WHERE before IS NOT NULL
+    UNION ALL SELECT rid, doc_id, i, i, line FROM f WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) > 50),
+g AS (SELECT rid, b, e FROM u QUALIFY (doc_id, b) <> first_value((doc_id, b)) OVER (PARTITION BY x ORDER BY doc_id NULLS LAST, b)),
+r AS (SELECT DISTINCT rid, unnest(range(b, e + 1)) AS i FROM g),
+n AS (SELECT rid, count(*) AS n, count(*) FILTER (fresh) AS runs FROM (SELECT rid, i, coalesce(i > lag(i) OVER (PARTITION BY rid ORDER BY i) + 1, true) AS fresh FROM r) GROUP BY rid),
+k AS (SELECT l.rid, string_agg(line, chr(10) ORDER BY l.i) AS kept FROM l LEFT JOIN r ON l.rid = r.rid AND l.i = r.i WHERE r.i IS NULL GROUP BY l.rid)
+SELECT doc_id, len(t)::BIGINT AS n_lines, coalesce(n, 0) AS n_removed_lines, coalesce(runs, 0) AS n_removed_runs, md5(coalesce(kept, '')) AS kept_md5
+FROM d LEFT JOIN n USING (rid) LEFT JOIN k USING (rid)
 """
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dwellstat.llm import common, textkernel
-from dwellstat.llm.common import written
+from dwellstat.llm.common import packed, unpacked, written
 
 #: Category -> expression over the label columns; the last one decides.
 CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
@@ -308,7 +308,7 @@ def filtered(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
     The verdict is computed beside the row, so no join is needed.
     """
     models = fit(docs, labels, text, key)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
+    rows = packed(docs, text=F.col(f"`{text}`"))
     *_, last = CATEGORIES
-    verdicts = scored(packed, models, "text", "row").where(F.col(f"p_{last}") < float(models[-1].threshold))
-    return verdicts.select(*[F.col("doc_id").getField(c).alias(c) for c in docs.columns])
+    verdicts = scored(rows, models, "text", "row").where(F.col(f"p_{last}") < float(models[-1].threshold))
+    return verdicts.withColumnRenamed("doc_id", "row").select(*unpacked(docs.columns))

@@ -25,7 +25,6 @@ least id are kept; an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Iterator
 
@@ -45,6 +44,8 @@ SEED = 20
 LOAD = 64
 #: Groups or members compared with each other in one block.
 BLOCK = 256
+#: Longest run whose pairs are listed instead of multiplied out.
+SHORT = 24
 #: Angle left for rounding, in radians.
 MARGIN = 1e-6
 
@@ -113,7 +114,6 @@ def buckets(units: np.ndarray, signs: np.ndarray, probes: int = PROBES) -> np.nd
 def _entries(rows: DataFrame, length: int, n: int) -> DataFrame:
     """(bucket, member): member is the row in its own bucket and -1 - row where it was a probe."""
     hashes, tables = sized(n, _width(length))
-    rng = np.random.default_rng(SEED)
     signs: dict[int, np.ndarray] = {}
 
     def drawn(width: int) -> np.ndarray:
@@ -122,7 +122,7 @@ def _entries(rows: DataFrame, length: int, n: int) -> DataFrame:
             signs[width] = np.random.default_rng(SEED).integers(0, 2, (tables, hashes, 3, width)).astype(np.int8) * 2 - 1
         return signs[width]
 
-    signs[_width(length)] = rng.integers(0, 2, (tables, hashes, 3, _width(length))).astype(np.int8) * 2 - 1
+    drawn(_width(length))
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -165,24 +165,20 @@ def _assigned(rows: DataFrame, stars: DataFrame, half: float) -> DataFrame:
         "row", "id", F.coalesce("hub.centre", "row").alias("hub"), F.coalesce("hub.angle", F.lit(0.0)).alias("angle"))
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
-    """The rows of each key as one batch, from rows that come sorted by the keys."""
+def _whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """(rows, edges): batches that hold all rows of each of their keys, from rows that come sorted by them."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        values = np.stack([batch.column(k).to_numpy() for k in keys])
-        cuts = [0, *(np.flatnonzero((values[:, 1:] != values[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
-        if held and [held[-1].column(k)[held[-1].num_rows - 1] for k in keys] != [batch.column(k)[0] for k in keys]:
-            yield _joined(held)
-            held = []
-        for begin, end in itertools.pairwise(cuts):
-            if begin:
-                yield _joined(held)
-                held = []
-            held.append(batch.slice(begin, end - begin))
+        whole = _joined([*held, batch])
+        values = np.stack([whole.column(k).to_numpy() for k in keys])
+        edges = np.append(0, np.flatnonzero((values[:, 1:] != values[:, :-1]).any(0)) + 1)
+        if len(edges) > 1:
+            yield whole.slice(0, int(edges[-1])), edges
+        held = [whole.slice(int(edges[-1]))]
     if held:
-        yield _joined(held)
+        yield held[0], np.array([0, held[0].num_rows])
 
 
 def _joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -205,24 +201,34 @@ def _group_pairs(members: DataFrame, assigned: DataFrame, groups: DataFrame, row
     dealt = dealt.select("bucket", F.least("own", "partner").alias("low"), F.greatest("own", "partner").alias("high"), "own", "hub", "radius", "vector")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in _runs(batches, ["bucket", "low", "high"]):
-            if run.num_rows < 2:
-                continue
-            units, sizes = _units(run.column("vector"))
-            hub, radius, own = (run.column(c).to_numpy() for c in ("hub", "radius", "own"))
-            left, right = (own == own.min()), (own == own.max())  # one block met with itself has both
-            if run.column("low")[0] != run.column("high")[0] and own.min() == own.max():
-                continue  # the other block is empty
-            i, j = np.flatnonzero(left), np.flatnonzero(right)
-            cosine = units[i] @ units[j].T
+        for part, edges in _whole_runs(batches, ["bucket", "low", "high"]):
+            units, sizes = _units(part.column("vector"))
+            hub, radius, own = (part.column(c).to_numpy() for c in ("hub", "radius", "own"))
+            same_block = part.column("low").to_numpy() == part.column("high").to_numpy()
+            firsts, seconds = [], []
+            length = np.diff(edges)
+            run = np.repeat(np.arange(len(length)), length)
+            # short runs together, each row with the one so many places on; long ones by a product of matrices
+            short = length[run] <= SHORT
+            for step in range(1, int(min(SHORT, length.max()))):
+                i = np.flatnonzero((run[:-step] == run[step:]) & short[:-step])
+                firsts.append(i)
+                seconds.append(i + step)
+            for r in np.flatnonzero(length > SHORT):
+                i, j = np.triu_indices(int(length[r]), 1)
+                angle = np.arccos(np.clip(units[edges[r]:edges[r + 1]] @ units[edges[r]:edges[r + 1]].T, -1, 1))[i, j]
+                near = angle <= limit + 2 * MARGIN + radius[edges[r] + i] + radius[edges[r] + j]
+                firsts.append(edges[r] + i[near])
+                seconds.append(edges[r] + j[near])
+            i, j = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (firsts, seconds))
+            use = (same_block[i] | (own[i] != own[j])) & (sizes[i] == sizes[j]) & (hub[i] != hub[j])
+            i, j = i[use], j[use]
+            swap = hub[i] > hub[j]  # products in one fixed order, so that a pair has one cosine wherever it meets
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            cosine = np.concatenate([np.zeros(0), *[np.einsum("nd,nd->n", units[i[k:k + 4096]], units[j[k:k + 4096]]) for k in range(0, len(i), 4096)]])
             angle = np.arccos(np.clip(cosine, -1, 1))
-            near = (angle <= limit + MARGIN + radius[i][:, None] + radius[j][None, :]) & (sizes[i][:, None] == sizes[j][None, :])
-            near &= hub[i][:, None] != hub[j][None, :]
-            x, y = np.nonzero(near)
-            a, b = np.minimum(hub[i][x], hub[j][y]), np.maximum(hub[i][x], hub[j][y])
-            # summed in one fixed order, so that a pair has one cosine in every block it meets in
-            exact = np.einsum("nd,nd->n", *(units[np.where(hub[i][x] < hub[j][y], p, q)] for p, q in ((i[x], j[y]), (j[y], i[x]))))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.arccos(np.clip(exact, -1, 1))), pa.array(exact)],
+            near = angle <= limit + MARGIN + radius[i] + radius[j]
+            yield pa.RecordBatch.from_arrays([pa.array(hub[i[near]]), pa.array(hub[j[near]]), pa.array(angle[near]), pa.array(cosine[near])],
                                              names=["a", "b", "angle", "cosine"])
 
     found = dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high").mapInArrow(
@@ -249,7 +255,8 @@ def _member_links(pairs: DataFrame, assigned: DataFrame, groups: DataFrame, rows
     dealt = left.unionByName(right).join(vectors, "row")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in _runs(batches, ["owner", "line", "column"]):
+        for run in (part.slice(int(a), int(b - a)) for part, edges in _whole_runs(batches, ["owner", "line", "column"])
+                    for a, b in zip(edges[:-1], edges[1:])):
             side = run.column("side").to_numpy()
             i, j = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
             if not len(i) or not len(j):

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from dwellstat import reference_values as rv
 from dwellstat.operators import ordering
+from dwellstat.session import staged
+
+#: Raters of one item that are paired in one task.
+RATERS_PER_BLOCK = 256
 
 
 def mean_scores(scores: DataFrame, by: Sequence[str], score: str = "score") -> DataFrame:
@@ -93,20 +97,41 @@ def wide(table: DataFrame, rows: str, columns: str, value: str, order: Sequence[
 
 
 def rater_pairs(ratings: DataFrame, min_common: int = 10, rater: str = "rater", item: str = "image_path",
-                score: str = "score") -> DataFrame:
+                score: str = "score", block: int = RATERS_PER_BLOCK) -> DataFrame:
     """Rank correlation of every rater pair over the items both rated, where they share enough.
 
     The result has one row per rater pair by definition. Pairs are counted per score combination
     straight after the join, so what is shuffled is as small as pairs times score levels squared.
     """
-    rated = ratings.groupBy(item, rater).agg(F.avg(score).alias("_s"))
-    a = rated.select(item, F.col(rater).alias("rater_a"), F.col("_s").alias("score_a"))
-    b = rated.select(item, F.col(rater).alias("rater_b"), F.col("_s").alias("score_b"))
-    pairs = a.join(b, item).filter(F.col("rater_a") < F.col("rater_b"))
+    # read for the block counts and for both sides of the join
+    rated = staged(ratings.groupBy(item, rater).agg(F.avg(score).alias("_s")), "rated")
+    pairs = _blocked_pairs(rated, rater, item, block)
     rho = ordering.spearman(pairs, "score_a", "score_b", ["rater_a", "rater_b"], few_values=True)
     return rho.filter(F.col("n") >= min_common).withColumnRenamed("n", "n_common")
 
 
+def _blocked_pairs(rated: DataFrame, rater: str, item: str, block: int) -> DataFrame:
+    """(item, rater_a, score_a, rater_b, score_b): the pairs of each item's raters, ``a`` below ``b``.
+
+    An item's raters are dealt to blocks of about ``block``, and each unordered pair of blocks is a
+    join key of its own, so an item that everybody rated spreads over as many tasks as it has pairs
+    of blocks. A rater is sent to every pair of blocks that its own is part of. Raters of one block
+    meet where it is paired with itself, those of two blocks in the pair of the two: once each.
+    """
+    sizes = rated.groupBy(item).agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("_blocks"))
+    own = F.pmod(F.xxhash64(rater), F.col("_blocks"))
+    dealt = (
+        rated.join(sizes, item)
+        .withColumns({"_own": own, "_other": F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1))})
+        .withColumns({"_low": F.least("_own", "_other"), "_high": F.greatest("_own", "_other")})
+    )
+    keys = [item, "_low", "_high"]
+    a = dealt.select(*keys, F.col("_own").alias("_own_a"), F.col(rater).alias("rater_a"), F.col("_s").alias("score_a"))
+    b = dealt.select(*keys, F.col("_own").alias("_own_b"), F.col(rater).alias("rater_b"), F.col("_s").alias("score_b"))
+    once = (F.col("_low") == F.col("_high")) | (F.col("_own_a") != F.col("_own_b"))
+    return a.join(b, keys).filter(once & (F.col("rater_a") < F.col("rater_b"))).select(item, "rater_a", "score_a", "rater_b", "score_b")
+
+
 def rater_summary(ratings: DataFrame, pairs: DataFrame, rater: str = "rater", item: str = "image_path") -> DataFrame:
     """Per rater: items rated, mean correlation with the others, and the outlier flag."""
     both = pairs.select(F.col("rater_a").alias(rater), "rho").unionByName(pairs.select(F.col("rater_b").alias(rater), "rho"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dwellstat.operators import ordering
+from dwellstat.session import staged
 
 
 def require_unique(df: DataFrame, keys: Sequence[str], what: str) -> DataFrame:
@@ -76,3 +78,44 @@ def run_changes(before: DataFrame, after: DataFrame, key: str, score: str, room:
         "score_after",
         (F.col("score_after") - F.col("score_before")).alias("change"),
     )
+
+
+def as_of(left: DataFrame, right: DataFrame, by: Sequence[str], time: str, since: str, first_before: bool = False) -> DataFrame:
+    """Left join of each row with the newest ``right`` row of its key that begins at or before its time.
+
+    ``right`` has the key columns, ``since`` and whatever is wanted; of rows with one key and
+    beginning, the largest by the other columns counts. Rows without a key or time match nothing.
+    With ``first_before``, times before a key's first beginning take that first row.
+
+    A merge, not a join on ranges: distinct (key, time) points and beginnings are put in one order,
+    cut into buckets of time, and the last beginning is carried within each bucket. What a bucket
+    inherits comes from a table of one row per key and bucket. So neither a key nor a day with a
+    third of all rows gets into one task: equal points are one row before the order is made, and the
+    answers go back by an equi-join.
+    """
+    by = list(by)
+    rest = [c for c in right.columns if c not in (*by, since)]
+    value = F.struct(F.col(since).alias("_since"), *[F.col(c).alias(f"_v{i}") for i, c in enumerate(rest)])
+    known = right.filter(F.col(since).isNotNull()).groupBy(*by, F.col(since).alias("_at")).agg(F.max(value).alias("_value"))
+    known = staged(known.filter(_filled(by)), "as-of-known")
+    points = left.filter(F.col(time).isNotNull() & _filled(by)).select(*by, F.col(time).alias("_at")).distinct()
+    both = known.select(*by, "_at", "_value").unionByName(points.withColumn("_value", F.lit(None).cast(known.schema["_value"].dataType)).select(*by, "_at", "_value"))
+    number = F.unix_timestamp("_at") if dict(both.dtypes)["_at"] in ("date", "timestamp") else F.col("_at")
+    placed = staged(ordering.value_bucket(both.withColumn("_order", number), "_order"), "as-of-order")
+    within = Window.partitionBy(*by, "_bucket").orderBy("_at", F.col("_value").isNull())
+    carried = placed.withColumn("_found", F.last("_value", ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = placed.groupBy(*by, "_bucket").agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col("_at"))).alias("_last"))
+    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    inherited = ends.select(*by, "_bucket", F.last("_last", ignorenulls=True).over(before).alias("_inherited"))
+    answers = carried.filter(F.col("_value").isNull()).join(inherited, [*by, "_bucket"]).select(
+        *by, F.col("_at").alias(time), F.coalesce("_found", "_inherited").alias("_value"))
+    if first_before:
+        first = known.groupBy(*by).agg(F.min_by("_value", "_at").alias("_first"))
+        answers = answers.join(first, by, "left").select(*by, time, F.coalesce("_value", "_first").alias("_value"))
+    answers = staged(answers.filter("_value is not null"), "as-of-answers")
+    joined = left.join(answers, [*by, time], "left")
+    return joined.select(*[F.col(c) for c in left.columns], F.col("_value._since").alias(since), *[F.col(f"_value._v{i}").alias(c) for i, c in enumerate(rest)])
+
+
+def _filled(columns: Sequence[str]) -> Column:
+    return functools.reduce(Column.__and__, [F.col(c).isNotNull() for c in columns], F.lit(True))

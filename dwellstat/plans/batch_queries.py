@@ -189,6 +189,33 @@ def json_documents(spark, sf_dir):
     return runs.groupBy("timestamp").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("json_document_files", """
+    SELECT event_type || '' AS label, count(*) AS n, min(event_id) || '' AS first_file, sum(value) > 0 AS paid FROM events GROUP BY event_type, user_id % 20""")
+def json_document_files(spark, sf_dir):
+    """Whole-file JSON documents, an indented array of entries each, through the document reader."""
+    path = scratch_path(spark, "documents")
+    e = table(spark, sf_dir, "events")
+    bundle = e.groupBy("event_type", (F.col("user_id") % 20).alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("low"), F.sum("value").alias("cost"))
+    entry = F.struct(F.col("low").cast("string").alias("file"), F.col("event_type").alias("label"), F.array(F.col("n").cast("string")).alias("rooms"), F.col("cost").alias("cost_usd"))
+    documents = bundle.select("event_type", "part", F.to_json(F.array(entry), {"pretty": "true"}).alias("value"))
+    documents.repartition("event_type", "part").write.partitionBy("event_type", "part").text(path)
+    runs = readers.read_json_document(spark, f"{path}/*/*", readers.RUN_ENTRY)
+    return runs.select("label", F.col("rooms")[0].cast("bigint").alias("n"), F.col("file").alias("first_file"), (F.col("cost_usd") > 0).alias("paid"))
+
+
+@query("image_files", """
+    SELECT user_id % 50 || '' AS zpid, count(*) AS images, (count(*) * 8 + count(*))::BIGINT AS bytes FROM events WHERE event_type <> 'click' GROUP BY user_id % 50""")
+def image_files(spark, sf_dir):
+    """Inventory of a folder of files, one folder per listing; files of other kinds are left out."""
+    path = f"{scratch_path(spark, 'folder')}/images"
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("k"), "event_type", F.format_string("%08d", "event_id").alias("value"))
+    for kind, suffix in (("event_type <> 'click'", "txt"), ("event_type = 'click'", "csv")):
+        e.where(kind).repartition("k").select("k", "value").write.mode("append").format(suffix if suffix == "csv" else "text").partitionBy("k").save(path)
+    found = readers.image_inventory(spark, path, suffixes=("txt",))
+    per = found.groupBy(F.regexp_replace("zpid", "^k=", "").alias("zpid")).agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"))
+    return per.select("zpid", (F.col("bytes") / 9).cast("bigint").alias("images"), "bytes")
+
+
 @query("poi_elements", """
     SELECT event_id AS id, event_type AS amenity, round(value, 4) AS lat FROM events""")
 def poi_elements(spark, sf_dir):

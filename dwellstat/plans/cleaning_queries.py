@@ -473,6 +473,23 @@ def lot_fields(spark, sf_dir):
     return out.select("zpid", "version", F.round("assesstot", 2).alias("assesstot"), "bldgclass", "schooldist", "histdist", "landmark")
 
 
+_BOUNDS_SQL = with_views("sales", "lots") + """,
+    days(version, since) AS (VALUES ('v1', DATE '1993-06-23'), ('v2', DATE '1995-09-25'), ('v3', DATE '1997-01-26'), ('v4', DATE '1999-04-14')),
+    known AS (SELECT bbl, since + CAST(bbl % 90 AS INTEGER) AS since, version, max(assesstot) AS assesstot FROM lots JOIN days USING (version) GROUP BY ALL)"""
+
+
+@query("asof_boundaries", _BOUNDS_SQL + """
+    SELECT s.zpid, k.since, k.version, round(k.assesstot, 2) AS assesstot FROM sales s ASOF LEFT JOIN known k ON s.bbl = k.bbl AND s.sold_date >= k.since""")
+def asof_boundaries(spark, sf_dir):
+    """Newest lot record at or before each sale, with boundaries that differ from lot to lot."""
+    days = F.create_map(*[F.lit(x) for v, d in (("v1", dt.date(1993, 6, 23)), ("v2", dt.date(1995, 9, 25)), ("v3", dt.date(1997, 1, 26)), ("v4", dt.date(1999, 4, 14)))
+                          for x in (v, d)])
+    since = F.date_add(F.element_at(days, F.col("version")), (F.col("bbl") % 90).cast("int"))
+    known = views.lots(spark, sf_dir).select("bbl", since.alias("since"), "assesstot", "version")
+    out = joins.as_of(views.sales(spark, sf_dir), known, ["bbl"], "sold_date", "since")
+    return out.select("zpid", "since", "version", F.round("assesstot", 2).alias("assesstot"))
+
+
 @query("missing_versions", _ASOF_SQL + " SELECT DISTINCT version FROM versioned WHERE version IS NOT NULL AND version <> 'v3'")
 def missing_versions(spark, sf_dir):
     sales = views.sales(spark, sf_dir).withColumn("version", enrich.version_as_of("sold_date", views.VERSIONS))

@@ -8,7 +8,7 @@ from dwellstat.functions import checks, usage
 from dwellstat.operators import agreement, joins, ordering, photos, sampling, stages, summaries
 from dwellstat.plans import views
 from dwellstat.plans.registry import query, table
-from dwellstat.session import staged
+from dwellstat.session import scratch_path, staged
 from dwellstat.plans.views import with_views
 
 R = 6
@@ -416,7 +416,10 @@ _SUBSET_SQL = with_views("rating_log") + """,
 
 @query("rating_subset", _SUBSET_SQL + " SELECT image_path, room_type FROM subset")
 def rating_subset(spark, sf_dir):
-    return _subset(spark, sf_dir)
+    """The subset as frozen by its first draw; a later draw of other items changes nothing."""
+    path = scratch_path(spark, "subset")
+    sampling.freeze(spark, _subset(spark, sf_dir), path)
+    return sampling.freeze(spark, _subset(spark, sf_dir).limit(1), path)
 
 
 def _subset(spark, sf_dir):

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dwellstat.functions import seeded
+from dwellstat.session import staged
 
 # row_number limits up to this size are pruned before the shuffle by the optimizer
 GROUP_LIMIT = 1000
@@ -177,10 +178,11 @@ def spearman(pairs: DataFrame, x: str, y: str, groups: Sequence[str] = (), few_v
     neither side is ever sorted within one task.
     """
     groups = list(groups)
-    cells = (
+    # read for the cuts, the sums and the rows of both sides
+    cells = staged(
         pairs.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
         .groupBy(*groups, x, y)
-        .agg(F.count(F.lit(1)).alias("_cells"))
+        .agg(F.count(F.lit(1)).alias("_cells")), "score-cells"
     )
     rx = average_ranks(cells, x, "_cells", groups, few_values).withColumnRenamed("centred_rank", "_rx")
     ry = average_ranks(cells, y, "_cells", groups, few_values).withColumnRenamed("centred_rank", "_ry")

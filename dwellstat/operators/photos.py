@@ -39,14 +39,15 @@ def image_tasks(listings: DataFrame, links: str = "all_images", hero: str = "mai
 def largest_variants(listings: DataFrame, links: Column, key: str) -> DataFrame:
     """One row per photo of a listing, its largest variant, indexed by first appearance.
 
-    Of equally large variants the first counts. Works inside each listing's own array, which is
-    sorted twice by photo, so the heads of its runs are the first and the largest variants.
+    Of equally large variants the first counts. Works inside each listing's own array: key and size
+    are taken from each link once, then what was found is sorted twice by photo, so the heads of its
+    runs are the first and the largest variants.
     """
-    small = F.lit(-1)
-    by_place = F.sort_array(F.transform(links, lambda url, i: F.struct(text.photo_key(url).alias("k"), i.alias("i"))))
-    by_size = F.sort_array(F.transform(links, lambda url, i: F.struct(
-        text.photo_key(url).alias("k"), (-F.coalesce(text.photo_size(url), small)).alias("size"), i.alias("i"), url.alias("url"))))
-    held = stages.once(listings, _by_place=by_place, _by_size=by_size).select(key, "_by_place", "_by_size")
+    found = F.transform(links, lambda url, i: F.struct(
+        text.photo_key(url).alias("k"), (-text.photo_size(url)).alias("size"), i.alias("i"), url.alias("url")))
+    parsed = stages.once(listings, _found=found).select(key, "_found")
+    by_place = F.sort_array(F.transform("_found", lambda v: F.struct(v["k"].alias("k"), v["i"].alias("i"))))
+    held = stages.once(parsed, _by_place=by_place, _by_size=F.sort_array("_found")).select(key, "_by_place", "_by_size")
 
     def heads(name: str) -> Column:
         return F.filter(name, lambda v, i: (i == 0) | ~v["k"].eqNullSafe(F.get(F.col(name), i - 1)["k"]))

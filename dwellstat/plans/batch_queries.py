@@ -269,4 +269,4 @@ def stream_status(spark, sf_dir):
     e.repartition(4).write.parquet(source)
     stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(source)
     logs.chunk_status(stream, counts, state).awaitTermination()
-    return spark.read.schema("chunk bigint, state string, n bigint").parquet(counts)
+    return logs.current_status(spark, counts, "chunk bigint, state string, n bigint")

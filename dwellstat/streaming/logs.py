@@ -3,7 +3,8 @@
 Each micro-batch is written to a folder of its run and ``batch_id`` in overwrite mode; the run is the
 query's id, which Spark keeps in the checkpoint and makes anew with it. A retried batch therefore replaces itself, and a new checkpoint
 on an old log adds to it. The log is further divided by a digest of the key, so that a batch reads
-only the divisions its own keys fall into.
+only the divisions its own keys fall into, and compacted from time to time, so that a division is one
+file and those of the batches since.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from dwellstat.operators import batches, joins, ordering, summaries
 
 #: Divisions of a log by key digest; a batch with few keys reads few of them.
 DIVISIONS = 256
+#: Batches after which a log is compacted.
+COMPACT_EVERY = 16
 
 
 def _run(batch: DataFrame) -> str:
@@ -55,12 +58,52 @@ def read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
     """All batches of a log with their ``run``, ``batch_id`` and ``division``; None before the first was written."""
     added = [T.StructField("run", T.StringType()), T.StructField("batch_id", T.IntegerType()), T.StructField("division", T.IntegerType())]
     fields = [f for f in schema.fields if f.name not in {a.name for a in added}]
-    try:
-        return spark.read.schema(T.StructType([*fields, *added])).parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+    whole = T.StructType([*fields, *added])
+    batches = _existing(spark.read.schema(whole), path)
+    newest = _newest_manifest(spark, path)
+    if batches is None or newest is None:
+        return batches
+    # one number per run: its batches up to that one are in the compacted files
+    covered = F.lit(False)
+    for run, upto in newest.covered.items():
+        covered = covered | ((F.col("run") == run) & (F.col("batch_id") <= upto))
+    compacted = spark.read.schema(whole).parquet(f"{path}/_compact/seq={newest.seq}")
+    return compacted.unionByName(batches.filter(~covered))
+
+
+_MANIFEST = "covered map<string,int>, seq long"
+
+
+def _newest_manifest(spark: SparkSession, path: str):
+    found = _existing(spark.read.schema(_MANIFEST), f"{path}/_manifest")
+    return None if found is None else found.orderBy(F.desc("seq")).first()
+
+
+def compact(spark: SparkSession, path: str, schema: T.StructType, before: tuple[str, int] | None = None) -> None:
+    """Puts the rows of all batches into one file per division and makes readers use them.
+
+    ``before`` (run, batch_id) leaves out the batch that is being written. The files are whole before
+    the manifest row that names them is written, and batch folders stay, so a crash at any point
+    leaves the log as it was. Readers take the newest manifest: the compacted files and the batches
+    after it, so what a batch reads does not grow with the number of batches before it.
+    """
+    log = read_log(spark, path, schema)
+    if log is None:
+        return
+    if before is not None:
+        log = log.filter((F.col("run") != before[0]) | (F.col("batch_id") < before[1]))
+    covered = {r.run: r.upto for r in log.groupBy("run").agg(F.max("batch_id").alias("upto")).collect()}
+    newest = _newest_manifest(spark, path)
+    if not covered or newest is not None and newest.covered == covered:
+        return
+    seq = newest.seq + 1 if newest is not None else 0
+    log.repartition("division").write.mode("overwrite").partitionBy("division").parquet(f"{path}/_compact/seq={seq}")
+    spark.createDataFrame([(covered,)], "covered map<string,int>").coalesce(1).write.mode("overwrite").parquet(f"{path}/_manifest/seq={seq}")
+
+
+def _compact_at_times(batch: DataFrame, path: str, schema: T.StructType, run: str, batch_id: int) -> None:
+    if batch_id and batch_id % COMPACT_EVERY == 0:
+        compact(batch.sparkSession, path, schema, (run, batch_id))
 
 
 def collect_results(lines: DataFrame, log_path: str, checkpoint: str, key: str = "image_path") -> StreamingQuery:
@@ -74,6 +117,7 @@ def collect_results(lines: DataFrame, log_path: str, checkpoint: str, key: str =
         run = _run(batch)
         rows = batches.parse_responses(batch).filter(F.col("error") == "").drop("error")
         single = ordering.keep_first(rows, [key], [F.col("source_chunk"), F.to_json(F.struct(*rows.columns))])
+        _compact_at_times(batch, log_path, rows.schema, run, batch_id)
         earlier = _earlier(single, log_path, run, batch_id, rows.schema, [key])
         fresh = single if earlier is None else joins.exclude(single, earlier, [key])
         _write_batch(fresh, log_path, run, batch_id, [key])
@@ -92,6 +136,7 @@ def collect_ratings(ratings: DataFrame, log_path: str, checkpoint: str, arrival:
 
     def store(batch: DataFrame, batch_id: int) -> None:
         newest = summaries.latest_ratings(batch, keys, arrival=arrival, fields=("score", arrival))
+        _compact_at_times(batch, log_path, newest.schema, _run(batch), batch_id)
         _write_batch(newest, log_path, _run(batch), batch_id, keys)
 
     return (
@@ -104,14 +149,54 @@ def current_ratings(log: DataFrame, keys: Sequence[str] = ("rater", "image_path"
     return summaries.latest_ratings(log.drop("run", "batch_id", "division"), keys, arrival=arrival)
 
 
+_POINTER = "seq long, version string"
+
+
+def _pointers(spark: SparkSession, path: str) -> DataFrame:
+    return _existing(spark.read.schema(_POINTER + ", batch string"), f"{path}/pointers") or spark.createDataFrame([], _POINTER + ", batch string")
+
+
+def _existing(reader, path: str) -> DataFrame | None:
+    try:
+        return reader.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def chunk_status(states: DataFrame, path: str, checkpoint: str, by: Sequence[str] = ("chunk", "state")) -> StreamingQuery:
-    """Running counts per chunk and state; every micro-batch replaces the table at ``path``."""
+    """Running counts per chunk and state, read by ``current_status``.
+
+    A micro-batch hands over the counts that changed. It writes the whole table, the last one with
+    those counts put in, to a version folder of its own and then a pointer to that folder. Nothing a
+    reader may be using is touched, and a crash between the two steps leaves the last version current.
+    A retried batch builds on the version before its own.
+    """
 
     def store(counts: DataFrame, batch_id: int) -> None:
-        counts.write.mode("overwrite").parquet(path)
+        spark, batch = counts.sparkSession, f"{_run(counts)}-{batch_id}"
+        # a row per version; the newest of the others is what this one builds on
+        others = _pointers(spark, path).filter(F.col("batch") != batch).orderBy(F.desc("seq"))
+        newest, mine = others.first(), others.filter(F.col("version").startswith(f"{_run(counts)}-")).first()
+        whole = counts
+        if mine is not None:  # a new checkpoint counts from the beginning
+            last = spark.read.schema(counts.schema).parquet(f"{path}/versions/{mine.version}")
+            whole = last.join(counts.select(*by), list(by), "left_anti").unionByName(counts)
+        whole.write.mode("overwrite").parquet(f"{path}/versions/{batch}")
+        pointer = spark.createDataFrame([(newest.seq + 1 if newest is not None else 0, batch)], _POINTER)
+        pointer.write.mode("overwrite").parquet(f"{path}/pointers/batch={batch}")
 
     return (
         states.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-        .writeStream.outputMode("complete").foreachBatch(store)
+        .writeStream.outputMode("update").foreachBatch(store)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
+
+
+def current_status(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+    """The table of the newest pointer, whole also while a batch is being written; empty before the first."""
+    newest = _pointers(spark, path).orderBy(F.desc("seq")).first()
+    if newest is None:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/versions/{newest.version}")

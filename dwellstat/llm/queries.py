@@ -142,7 +142,27 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query("op2_language_id")
+_LANGUAGE_SQL = r"""
+WITH tab AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))) AS tab),
+d AS (SELECT row_number() OVER () AS rid, doc_id, lang, text, string_split(' ' || trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}]+', ' ', 'g')) || ' ', '') AS c,
+    doc_id IS NOT NULL AND xor(list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: unicode(x)::BIGINT)),
+        lambda x, y: xor(x >> 8, tab[(xor(x, y) & 255) + 1])), 4294967295) % 3 = 1 AS held_out FROM documents, tab),
+u AS (SELECT rid, list_transform(c, lambda x: unicode(x)::BIGINT) AS u FROM d WHERE len(c) > 2),
+g AS (SELECT rid, unnest(u) AS v FROM u
+    UNION ALL SELECT rid, unnest(list_transform(range(1, len(u)), lambda i: (u[i] << 21) | u[i + 1])) FROM u
+    UNION ALL SELECT rid, unnest(list_transform(range(1, len(u) - 1), lambda i: (u[i] << 42) | (u[i + 1] << 21) | u[i + 2])) FROM u),
+n AS (SELECT rid, v, count(*) AS n FROM g WHERE v <> 32 GROUP BY ALL),
+p AS (SELECT rid, v, row_number() OVER (PARTITION BY rid ORDER BY n DESC, v) - 1 AS r FROM n QUALIFY r < 400),
+l AS (SELECT lang, v, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, v) - 1 AS r FROM n JOIN d USING (rid)
+    WHERE NOT held_out AND lang IS NOT NULL AND text IS NOT NULL GROUP BY lang, v QUALIFY r < 400),
+far AS (SELECT p.rid, names.lang, sum(coalesce(abs(l.r - p.r), 400)) AS far, count(*) AS size FROM p CROSS JOIN (SELECT DISTINCT lang FROM l) names
+    LEFT JOIN l ON l.lang = names.lang AND l.v = p.v GROUP BY ALL),
+best AS (SELECT * FROM far QUALIFY row_number() OVER (PARTITION BY rid ORDER BY far, lang) = 1)
+SELECT doc_id, held_out, coalesce(best.lang, 'und') AS lang_pred, coalesce(1.0::DOUBLE - far::DOUBLE / (400 * size), 0.0::DOUBLE) AS score FROM d LEFT JOIN best USING (rid)
+"""
+
+
+@query("op2_language_id", _LANGUAGE_SQL)
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document."""
     return language_id.identified(table(spark, sf_dir, "documents"))

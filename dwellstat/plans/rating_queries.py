@@ -416,7 +416,12 @@ _SUBSET_SQL = with_views("rating_log") + """,
 
 @query("rating_subset", _SUBSET_SQL + " SELECT image_path, room_type FROM subset")
 def rating_subset(spark, sf_dir):
-    """The subset as frozen by its first draw; a later draw of other items changes nothing."""
+    return _subset(spark, sf_dir)
+
+
+@query("frozen_subset", _SUBSET_SQL + " SELECT image_path, room_type FROM subset")
+def frozen_subset(spark, sf_dir):
+    """The subset as kept by its first draw; a later draw of other items changes nothing."""
     path = scratch_path(spark, "subset")
     sampling.freeze(spark, _subset(spark, sf_dir), path)
     return sampling.freeze(spark, _subset(spark, sf_dir).limit(1), path)

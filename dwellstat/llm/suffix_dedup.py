@@ -6,8 +6,9 @@ meet; so strings are first brought together by anchors:
 
 1. The anchor of a ``LENGTH``-byte string is the leftmost of its ``GRAM``-byte runs with the least
    hash. It depends on the string alone, and neighbouring strings mostly share it, so a text has
-   about one anchor per 16 bytes. Anchors that occur in one document only cannot belong to a
-   repeated string; a bitmap of fixed size tells the others (collisions only add work).
+   about one anchor per 16 bytes. Anchors that occur once only cannot belong to a repeated
+   string; a bitmap tells the others. Its size follows their number, up to ``LARGEST`` bits
+   (false positives only add work).
 2. A repeated anchor stands for its context, the bytes around it that its strings can cover. Equal
    contexts are counted before the shuffle with the least and largest document. Contexts meet by
    anchor in shards.
@@ -20,6 +21,8 @@ meet; so strings are first brought together by anchors:
    strings, and the least document among them decides.
 4. Documents take their removed stretches and are cut.
 
+Contexts are told apart by 96 bits of two hashes. Ids are whole numbers.
+
 Cases: a null text counts as empty; texts below ``LENGTH`` bytes lose nothing; rows with equal ids
 never remove each other's bytes; a null id comes after every other; very long texts are read in
 blocks; an empty table gives no rows; other columns are ignored or kept.
@@ -34,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dwellstat.llm import common, textkernel
@@ -42,10 +45,10 @@ from dwellstat.llm.common import written
 
 LENGTH = 50
 GRAM = 20
-#: Bits of the bitmap of repeated anchors, as a power of two; 16 megabytes whatever the input.
-BITMAP = 27
-#: Groups of anchor hashes, as a power of two.
-GROUPS = 10
+#: Bits of the bitmap per repeated anchor, and the most bits it may have (128 megabytes).
+PER_ANCHOR, LARGEST = 16, 1 << 30
+#: Groups of anchor hashes, as a power of two; 32 further bits tell hashes of a group apart.
+GROUPS = 16
 #: Tuples handled in one go, and tuples a queue holds in memory before it writes to disk.
 BLOCK, HELD = 1 << 17, 1 << 22
 #: Bytes of text whose anchors are found in one go.
@@ -86,7 +89,8 @@ def anchors(body: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
         new[1:] = chosen[1:] != chosen[:-1]
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(whole)) - 1
-        yield owner[whole[first]], chosen[first].astype(np.int64) + begin, whole[first] + begin, whole[last] + begin, hashes[chosen[first]]
+        # least hashes crowd at the lower end, so they are scrambled once more
+        yield owner[whole[first]], chosen[first].astype(np.int64) + begin, whole[first] + begin, whole[last] + begin, textkernel.mix64(hashes[chosen[first]])
 
 
 def _rows(docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -94,25 +98,40 @@ def _rows(docs: DataFrame, text: str, key: str) -> DataFrame:
     return docs.select(order.alias("doc"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
 
 
-def repeated_anchors(rows: DataFrame) -> bytes:
-    """Bitmap of the leading hash bits of anchors that occur in two documents or more."""
+def _group(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - GROUPS)).astype(np.int64)
+
+
+def _rest(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(32 - GROUPS)).astype(np.uint32)
+
+
+def _grouped(hashes: np.ndarray) -> pa.RecordBatch:
+    """(part, hashes): sorted 48-bit hashes, a row per group with the lower 32 bits of its own."""
+    group = (hashes >> np.uint64(32)).astype(np.int64)
+    heads = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, np.int64)
+    ends = (4 * np.append(heads, len(group))).astype(np.int32)
+    rest = pa.py_buffer(hashes.astype(np.uint32).tobytes())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(group[heads].astype(np.int32)), pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(ends.tobytes()), rest])],
+        names=["part", "hashes"])
+
+
+def repeated_anchors(rows: DataFrame) -> DataFrame:
+    """(part, hashes): the anchors that occur twice or more, as 48-bit hashes by group."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def emit() -> pa.RecordBatch:
             found, counts = np.unique(np.concatenate(held), return_counts=True)
-            found = np.repeat(found, np.minimum(counts, 2))
-            group = (found >> np.uint64(64 - GROUPS)).astype(np.int64)
-            cuts = np.searchsorted(group, np.arange((1 << GROUPS) + 1))
-            used = np.flatnonzero(np.diff(cuts))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(used.astype(np.int32)), pa.array([found[cuts[g]:cuts[g + 1]].tobytes() for g in used], pa.binary())], names=["part", "hashes"])
+            return _grouped(np.repeat(found, np.minimum(counts, 2)))
 
         for batch in batches:
             for part in textkernel.slices(batch, "text"):
                 body, offsets = textkernel.utf8(part.column("text"))
                 for owner, _, _, _, hashes in anchors(body, offsets):
+                    hashes = hashes >> np.uint64(32 - GROUPS)
                     order = np.lexsort((hashes, owner))
                     owner, hashes = owner[order], hashes[order]
                     new = np.ones(len(owner), bool)
@@ -125,23 +144,63 @@ def repeated_anchors(rows: DataFrame) -> bytes:
         if held:
             yield emit()
 
-    bits = BITMAP - GROUPS
+    def twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows arrive sorted by group, so only the last group of a batch goes on in the next."""
+        rest = np.zeros(0, np.uint64)
 
-    def twice(keys: tuple, table: pa.Table) -> pa.Table:
-        hashes = np.sort(np.concatenate([np.frombuffer(b.as_py(), np.uint64) for b in table.column("hashes")]))
-        again = hashes[1:][hashes[1:] == hashes[:-1]]
-        chunk = np.zeros(1 << bits, bool)
-        chunk[(again >> np.uint64(64 - BITMAP)).astype(np.int64) & ((1 << bits) - 1)] = True
-        return pa.table({"part": pa.array([keys[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(chunk, bitorder="little").tobytes()], pa.binary())})
+        def again(hashes: np.ndarray) -> pa.RecordBatch:
+            hashes = np.sort(hashes)
+            return _grouped(np.unique(hashes[1:][hashes[1:] == hashes[:-1]]))
 
-    parts = rows.mapInArrow(collect, "part int, hashes binary").groupBy("part").applyInArrow(twice, "part int, bits binary")
-    out = bytearray(1 << (BITMAP - 3))
-    for r in parts.toLocalIterator():  # the bitmap's fixed size in all
-        begin = r["part"] << (bits - 3)
-        out[begin:begin + (1 << (bits - 3))] = r["bits"]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column, groups = batch.column("hashes"), batch.column("part").to_numpy().astype(np.uint64)
+            ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
+            own = np.frombuffer(column.buffers()[2], np.uint8)[ends[0]:ends[-1]].copy().view(np.uint32)
+            hashes = np.concatenate([rest, (np.repeat(groups, np.diff(ends) // 4) << np.uint64(32)) | own.astype(np.uint64)])
+            last = (hashes >> np.uint64(32)) == groups[-1]
+            yield again(hashes[~last])
+            rest = hashes[last]
+        yield again(rest)
+
+    schema = "part int, hashes binary"
+    parts = rows.mapInArrow(collect, schema).repartition("part").sortWithinPartitions("part")
+    return parts.mapInArrow(twice, schema)
+
+
+def bitmap(repeated: DataFrame) -> bytes:
+    """Bits set by the leading bits of the hashes, as many as their number asks for."""
+    n = repeated.agg(F.sum(F.octet_length("hashes") / 4)).first()[0] or 0
+    bits = 8 << GROUPS
+    while bits < min(PER_ANCHOR * n, LARGEST):
+        bits *= 2
+    own = bits >> GROUPS  # bits of a group
+    shift = np.uint32(32 - (own.bit_length() - 1))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for hashes in batch.column("hashes").to_pylist():
+                chunk = np.zeros(own, bool)
+                chunk[np.frombuffer(hashes, np.uint32) >> shift] = True
+                out.append(np.packbits(chunk, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array(out, pa.binary())], names=["part", "bits"])
+
+    out = bytearray(bits >> 3)
+    for r in repeated.mapInArrow(pack, "part int, bits binary").toLocalIterator():  # the bitmap's bounded size in all
+        begin = r["part"] * (own >> 3)
+        out[begin:begin + (own >> 3)] = r["bits"]
     return bytes(out)
 
 
+def _known(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which hashes have their bit set."""
+    own = (len(bits) << 3) >> GROUPS
+    bit = _group(hashes) * own + (_rest(hashes) >> np.uint32(32 - (own.bit_length() - 1)))
+    return ((bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool)
+
+
 def _pieces(part: pa.RecordBatch, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Blocks of (text index, context start in the text, first and last string start, context bytes) of repeated anchors."""
     at = np.arange(_WIDTH)
@@ -149,8 +208,7 @@ def _pieces(part: pa.RecordBatch, bits: np.ndarray) -> Iterator[tuple[np.ndarray
     padded = np.concatenate([np.full(_SPAN, _OUTSIDE, np.uint8), body, np.full(LENGTH, _OUTSIDE, np.uint8)])
     windows = np.lib.stride_tricks.sliding_window_view(padded, _WIDTH)
     for owner, place, first, last, hashes in anchors(body, offsets):
-        bit = (hashes >> np.uint64(64 - BITMAP)).astype(np.int64)
-        hit = np.flatnonzero((bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
+        hit = np.flatnonzero(_known(hashes, bits))
         owner, place = owner[hit], place[hit]
         begin = place - _SPAN
         pieces = windows[place]
@@ -165,12 +223,12 @@ def _binary(pieces: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(pieces), [None, ends, pa.py_buffer(pieces.tobytes())])
 
 
-def occurrences(rows: DataFrame, bitmap) -> DataFrame:
+def occurrences(rows: DataFrame, known) -> DataFrame:
     """(doc, row, start, low, high, context): a row per repeated anchor; ``start`` is where the context
     begins in the text and ``low`` and ``high`` the first and last string start within the context."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(bitmap.value, np.uint8)
+        bits = np.frombuffer(known.value, np.uint8)
         for batch in batches:
             for part in textkernel.slices(batch, "text"):
                 for owner, begin, low, high, pieces in _pieces(part, bits):
@@ -182,7 +240,7 @@ def occurrences(rows: DataFrame, bitmap) -> DataFrame:
     return rows.mapInArrow(cut, "doc long, row long, start int, low int, high int, context binary")
 
 
-def contexts(rows: DataFrame, bitmap) -> DataFrame:
+def contexts(rows: DataFrame, known) -> DataFrame:
     """(least, largest, low, high, context): the contexts with their least and largest document.
 
     Equal contexts of ``GATHERED`` neighbouring ones are one row, so a frequent passage shrinks before
@@ -205,7 +263,7 @@ def contexts(rows: DataFrame, bitmap) -> DataFrame:
              _binary(pieces[order[head]])], names=["least", "largest", "low", "high", "context"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(bitmap.value, np.uint8)
+        bits = np.frombuffer(known.value, np.uint8)
         held, size = [], 0
         for batch in batches:
             for part in textkernel.slices(batch, "text"):
@@ -363,7 +421,7 @@ def least_documents(columns: np.ndarray, docs: np.ndarray, folder: str) -> tuple
 
 
 def repeats(found: DataFrame) -> DataFrame:
-    """(context_id, low, high, least): stretches of string starts of a context that begin in an earlier document.
+    """(context_id, check, low, high, least): stretches of string starts of a context that begin in an earlier document.
 
     ``found`` are the contexts with their least and largest document.
     """
@@ -375,11 +433,11 @@ def repeats(found: DataFrame) -> DataFrame:
                 for batch in batches:
                     if batch.num_rows:
                         f.write(b"".join(batch.column("context").to_pylist()))
-                        facts.append([batch.column(c).to_numpy() for c in ("context_id", "least", "largest", "low", "high")])
+                        facts.append([batch.column(c).to_numpy() for c in ("context_id", "check", "least", "largest", "low", "high")])
                         n += batch.num_rows
             if not n:
                 return
-            ids, least, largest, low, high = (np.concatenate(c) for c in zip(*facts, strict=True))
+            ids, checks, least, largest, low, high = (np.concatenate(c) for c in zip(*facts, strict=True))
             columns = np.memmap(path, np.uint8, "r", shape=(n, _WIDTH))
             first, same = least_documents(columns, least, folder)
             # the facts of equal contexts go to the first of them
@@ -400,23 +458,27 @@ def repeats(found: DataFrame) -> DataFrame:
                 last[:, :-1] = (mine[:, 1:] != mine[:, :-1]) | ~use[:, 1:]
                 _, stop = np.nonzero(use & last)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[begin:end][row]), pa.array(col.astype(np.int32)), pa.array(stop.astype(np.int32)), pa.array(mine[row, col])],
-                    names=["context_id", "low", "high", "least"])
+                    [pa.array(ids[begin:end][row]), pa.array(checks[begin:end][row]), pa.array(col.astype(np.int32)), pa.array(stop.astype(np.int32)), pa.array(mine[row, col])],
+                    names=["context_id", "check", "low", "high", "least"])
             del columns, first
 
     dealt = found.repartition(F.substring("context", _SPAN + 1, GRAM))
-    keyed = dealt.select(F.xxhash64("context").alias("context_id"), "least", "largest", "low", "high", "context")
-    return keyed.mapInArrow(shard, "context_id long, low int, high int, least long")
+    keyed = dealt.select(*_identity(), "least", "largest", "low", "high", "context")
+    return keyed.mapInArrow(shard, "context_id long, check int, low int, high int, least long")
+
+
+def _identity() -> list[Column]:
+    return [F.xxhash64("context").alias("context_id"), F.hash("context").alias("check")]
 
 
 def removed_spans(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc, row, spans): per document the (begin, end) of every covered stretch, not yet merged."""
     rows = _rows(docs, text, key)
     spark = docs.sparkSession
-    bitmap = spark.sparkContext.broadcast(repeated_anchors(rows))
-    earlier = written(repeats(contexts(rows, bitmap)), "suffix-repeats")
-    spots = occurrences(rows, bitmap).select(F.xxhash64("context").alias("context_id"), "doc", "row", "start", F.col("low").alias("l"), F.col("high").alias("h"))
-    hit = spots.join(earlier, "context_id").where("doc > least AND l <= high AND low <= h")
+    known = spark.sparkContext.broadcast(bitmap(written(repeated_anchors(rows), "suffix-anchors")))
+    earlier = written(repeats(contexts(rows, known)), "suffix-repeats")
+    spots = occurrences(rows, known).select(*_identity(), "doc", "row", "start", F.col("low").alias("l"), F.col("high").alias("h"))
+    hit = spots.join(earlier, ["context_id", "check"]).where("doc > least AND l <= high AND low <= h")
     span = F.struct((F.col("start") + F.greatest("l", "low")).alias("begin"), (F.col("start") + F.least("h", "high") + LENGTH).alias("end"))
     return hit.groupBy("doc", "row").agg(F.collect_list(span).alias("spans"))
 

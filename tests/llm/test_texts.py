@@ -299,3 +299,16 @@ def test_induced_sorting_with_tiny_blocks(monkeypatch, tmp_path):
         for row, d in zip(rows, docs.tolist(), strict=True):
             least[bytes(row[p:p + 50])] = min(d, least.get(bytes(row[p:p + 50]), d))
         assert [least[bytes(row[p:p + 50])] for row in rows] == got[p].tolist()
+
+
+def test_every_repeated_anchor_has_its_bit(spark):
+    texts = suffix_case()
+    rows = suffix_dedup._rows(docs_of(spark, texts), "text", "doc_id")
+    bits = np.frombuffer(suffix_dedup.bitmap(suffix_dedup.repeated_anchors(rows)), np.uint8)
+    seen = collections.Counter()
+    for _, t in texts:
+        body = np.frombuffer((t or "").encode(), np.uint8)
+        seen.update({h for *_, hashes in suffix_dedup.anchors(body, np.array([0, len(body)])) for h in hashes.tolist()})
+    found = dict(zip(seen, suffix_dedup._known(np.array(list(seen), np.uint64), bits).tolist(), strict=True))
+    assert all(found[h] for h, n in seen.items() if n > 1)
+    assert sum(found[h] for h, n in seen.items() if n == 1) < 0.1 * len(seen)

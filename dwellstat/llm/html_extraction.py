@@ -9,8 +9,12 @@ alike on hosts of any size. A node present on ``MIN_PAGES`` pages or more whose
 stays below ``LEAST`` is noise, as menus and notices are that repeat from page to page, and its
 branch is removed from each page of that host.
 
-On small hosts entropies tell little, so elements that declare their role (navigation, footer,
-form, a class naming adverts, comments and so on) are removed everywhere. An element that holds an
+Elements that declare a role (navigation, footer, form, a class naming adverts, comments and so on)
+are nodes of the tree like all others, and most of them go by their importance. Entropies tell little
+on small hosts and nothing against comments and adverts that differ from page to page; so declared
+elements that the tree leaves are removed by their role. They count neither as content of the nodes
+around them nor of the page, as comments below a copied article would make the copies look different
+and the article unimportant. An element that holds an
 ``article`` or ``main`` is never removed, and when the style tree would leave nothing of a page, only
 the declared roles are applied to it.
 
@@ -47,6 +51,8 @@ LEAST = 0.4
 DEEPEST = 3000
 
 _MAIN = {"article", "main"}
+#: Elements that hold no text for readers.
+_TECHNICAL = set("head title script style noscript template iframe object svg canvas math audio video datalist noembed noframes xmp".split())
 _INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike "
               "strong sub sup time tt u var wbr nobr".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -158,7 +164,8 @@ def _digest(text: str) -> int:
 def style_rows(page: str) -> list[tuple[int, int, int, int]]:
     """(node, content, style, page content) hashes of a page's nodes with text; the whole page is node 0.
 
-    Elements of equal path are one node. Declared noise takes no part.
+    Elements of equal path are one node. A declared element is a node of its own, never the same as an
+    undeclared one, and no content of others.
     """
     texts: dict[str, list[str]] = {}
     styles: dict[str, list[str]] = {}
@@ -168,7 +175,10 @@ def style_rows(page: str) -> list[tuple[int, int, int, int]]:
         for child in node.children:
             if isinstance(child, str):
                 parts.append(child)
-            elif not declared_noise(child, inside):
+            elif declared_noise(child, inside):
+                if child.tag not in _TECHNICAL:
+                    walk(child, f"{path}/!{child.key}", inside)
+            else:
                 if not keys or keys[-1] != child.key:
                     keys.append(child.key)
                 parts.append(walk(child, f"{path}/{child.key}", inside or child.tag in _MAIN))
@@ -194,8 +204,8 @@ def _deep(walk, node: Node, *rest):
         sys.setrecursionlimit(old)
 
 
-def text_of(page: str, noise: frozenset[int] | set[int] = frozenset()) -> str:
-    """The page's text without declared noise and without the style tree nodes in ``noise``."""
+def text_of(page: str, noise: frozenset[int] | set[int] = frozenset(), roles: bool = True) -> str:
+    """The page's text without the style tree nodes in ``noise`` and, with ``roles``, without declared noise."""
     blocks: list[str] = []
     held: list[str] = []
 
@@ -210,11 +220,12 @@ def text_of(page: str, noise: frozenset[int] | set[int] = frozenset()) -> str:
             if isinstance(child, str):
                 held.append(child)
                 continue
-            if declared_noise(child, inside):
+            declared = declared_noise(child, inside)
+            if declared and (roles or child.tag in _TECHNICAL):
                 if child.tag not in _INLINE:
                     flush()
                 continue
-            here = f"{path}/{child.key}"
+            here = f"{path}/!{child.key}" if declared else f"{path}/{child.key}"
             main = child.holds_main or child.tag in _MAIN
             if noise and not main and _digest(here) in noise:
                 if child.tag not in _INLINE:

@@ -2,7 +2,8 @@
 
 The categories are label columns, predicted one after the other: the model of a category sees, beside
 words, the log odds that the models before it gave. While training, those odds are out-of-fold
-predictions, so a later model learns how far an earlier one can be trusted on unseen text.
+predictions, so a later model learns how far an earlier one can be trusted on unseen text. Features
+are chosen for each fold from the other folds' rows only.
 
 Features say whether a word, or a word's beginning of ``PREFIXES`` bytes, occurs in the text at
 least so many times (``LEVELS``); words are hashed to ``BITS`` bits. Each category keeps the ``SELECTED`` features that tell it apart best
@@ -123,29 +124,36 @@ def fit_sample(docs: DataFrame, labels: DataFrame, text: str = "text", key: str
     return texts.join(F.broadcast(chosen), "doc_id")
 
 
-def _selected(sample: DataFrame, categories: list[str]) -> list[list[int]]:
-    """Per category the features with the largest likelihood ratio statistic."""
-    totals = sample.agg(*[F.sum(F.when(F.col(c).isNotNull(), 1.0).otherwise(0.0)).alias(f"n_{c}") for c in categories],
-                        *[F.coalesce(F.sum(c), F.lit(0.0)).alias(f"p_{c}") for c in categories]).first()
-    counts = sample.select(F.explode("features").alias("feature"), *categories).groupBy("feature").agg(
-        *[F.count(c).cast("double").alias(f"n_{c}") for c in categories], *[F.coalesce(F.sum(c), F.lit(0.0)).alias(f"p_{c}") for c in categories])
-    counts = written(counts.where(F.greatest(*[F.col(f"n_{c}") for c in categories], F.lit(0.0)) >= MIN_DOCS), "tox-counts")
-    out = []
-    for c in categories:
-        n, p = float(totals[f"n_{c}"] or 0), float(totals[f"p_{c}"] or 0)
-        if not 0 < p < n:
-            out.append([])
-            continue
+def _selected(sample: DataFrame, categories: list[str]) -> list[list[list[int]]]:
+    """Per category the features with the largest likelihood ratio statistic: for each fold those of the
+    rows outside it, then those of all rows. ``sample`` has a column ``fold``."""
+    sums = [x for c in categories for f in range(FOLDS) for x in (
+        F.count(F.when(F.col("fold") == f, F.col(c))).cast("double").alias(f"n_{c}_{f}"),
+        F.coalesce(F.sum(F.when(F.col("fold") == f, F.col(c))), F.lit(0.0)).alias(f"p_{c}_{f}"))]
+    totals = sample.agg(*sums).first()
+    counts = sample.select(F.explode("features").alias("feature"), "fold", *categories).groupBy("feature").agg(*sums)
+
+    def outside(kind: str, c: str, fold: int) -> Column:
+        return sum((F.col(f"{kind}_{c}_{f}") for f in range(FOLDS) if f != fold), F.lit(0.0))
 
-        def term(seen: Column, expected: Column) -> Column:
-            return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+    counts = written(counts.where(F.greatest(*[outside("n", c, FOLDS) for c in categories], F.lit(0.0)) >= MIN_DOCS), "tox-counts")
 
-        a, here = F.col(f"p_{c}"), F.col(f"n_{c}")
+    def term(seen: Column, expected: Column) -> Column:
+        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+
+    def best(c: str, fold: int) -> list[int]:
+        n, p = (sum(totals[f"{kind}_{c}_{f}"] for f in range(FOLDS) if f != fold) for kind in "np")
+        if not 0 < p < n:
+            return []
+        often = F.greatest(*[outside("n", other, fold) for other in categories], F.lit(0.0)) >= MIN_DOCS
+        here, a = F.col("here"), F.col("a")
         g2 = 2 * (term(a, here * p / n) + term(here - a, here * (n - p) / n)
                   + term(p - a, (n - here) * p / n) + term(n - here - p + a, (n - here) * (n - p) / n))
-        best = counts.select("feature", g2.alias("g2")).where(F.col("g2") >= MIN_G2).orderBy(F.desc("g2"), "feature").limit(SELECTED)
-        out.append(sorted(r["feature"] for r in best.collect()))
-    return out
+        rows = counts.where(often).select("feature", outside("n", c, fold).alias("here"), outside("p", c, fold).alias("a"))
+        top = rows.select("feature", g2.alias("g2")).where(F.col("g2") >= MIN_G2).orderBy(F.desc("g2"), "feature").limit(SELECTED)
+        return sorted(r["feature"] for r in top.collect())
+
+    return [[best(c, fold) for fold in range(FOLDS + 1)] for c in categories]
 
 
 def _logistic(owner: np.ndarray, feature: np.ndarray, extra: np.ndarray, y: np.ndarray, w: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, float]:
@@ -176,7 +184,7 @@ def _threshold(odds: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
     return max((round(f1(t), 9), -abs(t - 0.5), t) for t in np.arange(0.2, 0.81, 0.05).round(2))[2]
 
 
-def _chain(rows: pa.Table, names: list[str], chosen: list[list[int]], every: np.ndarray) -> list[Model]:
+def _chain(rows: pa.Table, names: list[str], chosen: list[list[list[int]]], every: np.ndarray) -> list[Model]:
     """Fits the categories one after the other on the sample's selected features."""
     rows = rows.combine_chunks()
     columns = {c: rows.column(c).to_numpy() for c in ("row_weight", *names, "fold")}
@@ -195,25 +203,29 @@ def _chain(rows: pa.Table, names: list[str], chosen: list[list[int]], every: np.
             models.append(Model(np.zeros(0, np.int64), np.zeros(0), np.zeros(odds.shape[1]), 40.0 if level > 0.5 else -40.0))
             odds = np.column_stack([odds, np.zeros(len(lists))])
             continue
-        local = np.full(len(every), -1, np.int64)
-        local[np.searchsorted(every, own)] = np.arange(len(own))
-        mine = local[feature]
-        used, mine = owner[mine >= 0], mine[mine >= 0]
 
-        def learn(train: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        def places(own: list[int]) -> tuple[np.ndarray, np.ndarray]:
+            """(row, place among ``own``) of every occurrence of a chosen feature."""
+            local = np.full(len(every), -1, np.int64)
+            local[np.searchsorted(every, own)] = np.arange(len(own))
+            mine = local[feature]
+            return owner[mine >= 0], mine[mine >= 0]
+
+        def learn(train: np.ndarray, used: np.ndarray, mine: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, float]:
             number = np.cumsum(train) - 1
             inside = train[used]
-            return _logistic(number[used[inside]], mine[inside], odds[train], y[train], weight[train], len(own))
+            return _logistic(number[used[inside]], mine[inside], odds[train], y[train], weight[train], width)
 
         out_of_fold = np.zeros(len(lists))
         for f in range(FOLDS):
             train = known & (fold != f)
             if train.any():
-                beta, chain, base = learn(train)
+                used, mine = places(own[f])
+                beta, chain, base = learn(train, used, mine, len(own[f]))
                 z = np.bincount(used, beta[mine], len(lists)) + odds @ chain + base
                 out_of_fold[fold == f] = z[fold == f]
-        beta, chain, base = learn(known)
-        models.append(Model(np.asarray(own, np.int64), beta, chain, base, _threshold(out_of_fold[known], y[known], weight[known])))
+        beta, chain, base = learn(known, *places(own[FOLDS]), len(own[FOLDS]))
+        models.append(Model(np.asarray(own[FOLDS], np.int64), beta, chain, base, _threshold(out_of_fold[known], y[known], weight[known])))
         odds = np.column_stack([odds, np.clip(out_of_fold, -10, 10)])
     return models
 
@@ -236,8 +248,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     sample = fit_sample(docs, labels, text, key, categories).select("doc_id", "row_weight", *names, "text")
     schema = f"doc_id {kind}, row_weight double, {', '.join(f'{c} double' for c in names)}, features array<int>"
     sample = written(sample.mapInArrow(extract, schema), "tox-sample")
-    chosen = _selected(sample, names)
-    every = np.array(sorted(set().union(*chosen)), np.int64)
+    folded = sample.select("row_weight", *names, F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(FOLDS)).cast("int").alias("fold"), "features")
+    chosen = _selected(folded, names)
+    every = np.array(sorted({x for own in chosen for features in own for x in features}), np.int64)
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,7 +263,6 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
                                               pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int32)))],
                                              names=["row_weight", *names, "fold", "features"])
 
-    folded = sample.select("row_weight", *names, F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(FOLDS)).cast("int").alias("fold"), "features")
     narrowed = folded.mapInArrow(narrow, f"row_weight double, {', '.join(f'{c} double' for c in names)}, fold int, features array<int>")
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

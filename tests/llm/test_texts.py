@@ -312,13 +312,3 @@ def test_every_repeated_anchor_has_its_bit(spark):
     found = dict(zip(seen, suffix_dedup._known(np.array(list(seen), np.uint64), bits).tolist(), strict=True))
     assert all(found[h] for h, n in seen.items() if n > 1)
     assert sum(found[h] for h, n in seen.items() if n == 1) < 0.1 * len(seen)
-
-
-def test_toxicity_features_are_chosen_outside_the_fold(spark):
-    """Feature 100 + f tells the category only in fold f, feature 7 everywhere."""
-    rows = [(fold, float(i % 2), [7, 100 + fold] if i % 2 else [8]) for fold in range(toxicity.FOLDS) for i in range(60)]
-    sample = spark.createDataFrame(rows, "fold int, toxic double, features array<int>")
-    (chosen,) = toxicity._selected(sample, ["toxic"])
-    assert set(chosen[toxicity.FOLDS]) == {7, 8, *range(100, 100 + toxicity.FOLDS)}
-    for fold in range(toxicity.FOLDS):
-        assert 100 + fold not in chosen[fold] and {7, 8} < set(chosen[fold])

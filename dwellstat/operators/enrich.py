@@ -6,18 +6,20 @@ import datetime as dt
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dwellstat import reference_values as rv
 from dwellstat.functions import dates, text
-from dwellstat.operators import joins, ordering
+from dwellstat.operators import circles, joins, ordering
+from dwellstat.session import staged
 
-EARTH_RADIUS_M = 6_371_000.0
+EARTH_RADIUS_M = circles.EARTH_RADIUS_M
 METRES_PER_DEGREE = EARTH_RADIUS_M * math.pi / 180.0
-CELL_ROWS_PER_SALT = 20_000
-#: Radius up to which a cell's corners bound its distances within one percent.
-FLAT_M = 100_000
+#: Places and circles of a tile that meet in one task.
+TILE_PLACES, TILE_CIRCLES = 250_000, 50_000
 
 
 # --- address lookup -------------------------------------------------------------------------
@@ -128,30 +130,14 @@ def tag_counts(pois: DataFrame, tags: str = "tags", keys: Sequence[str] = rv.POI
     return counts.orderBy(F.desc("count"), "category")
 
 
-def haversine_m(lat1, lon1, lat2, lon2) -> Column:
-    """Great-circle distance in metres."""
-    dlat, dlon = F.radians(lat2 - lat1), F.radians(lon2 - lon1)
-    a = F.pow(F.sin(dlat / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(dlon / 2), 2)
-    return F.lit(2 * EARTH_RADIUS_M) * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
-
-
-def _unit_vector(lat: Column, lon: Column, prefix: str) -> dict[str, Column]:
-    """Position on the unit sphere. Between two of them a distance test is three products, where
-    the angular formula would take sines and cosines for every compared pair."""
-    north, east = F.radians(lat), F.radians(lon)
-    return {f"{prefix}x": F.cos(north) * F.cos(east), f"{prefix}y": F.cos(north) * F.sin(east), f"{prefix}z": F.sin(north)}
-
-
-class _Grid:
-    """Latitude/longitude cells half a radius high, so that a cell always fits in a circle around
-    any point of it, and full-circle counts come from sums instead of pairs."""
+class _Tiles:
+    """Latitude/longitude tiles four radii high, so that a circle touches few of them."""
 
     def __init__(self, radius_m: float):
         if radius_m <= 0:
             raise ValueError("the radius must be positive")
-        self.radius = radius_m
-        self.degrees = radius_m / METRES_PER_DEGREE
-        self.high = self.degrees * 0.5005
+        self.degrees = radius_m / METRES_PER_DEGREE * (1 + 1e-6) + 1e-7
+        self.high = 4 * self.degrees
         self.columns = max(1, int(360.0 // self.high))
         self.wide = 360.0 / self.columns
 
@@ -164,37 +150,21 @@ class _Grid:
     def wrapped(self, column: Column) -> Column:
         return F.pmod(column, F.lit(self.columns))
 
-    def neighbours(self, spots: DataFrame) -> DataFrame:
-        """Each spot with every cell its circle can reach; ``inside`` marks cells it covers whole.
+    def reached(self, spots: DataFrame) -> DataFrame:
+        """Each spot with every tile its circle can touch.
 
         The circle's widest stretch in longitude is where a meridian touches it. A circle that
-        holds a pole takes whole rows of cells, all compared place by place. So are all cells of
-        circles beyond ``FLAT_M``, where the corners of a cell no longer tell how far it reaches.
+        holds a pole takes whole rows of tiles.
         """
         over_pole = F.abs("lat") + self.degrees >= 90.0
-        flat = F.lit(self.radius <= FLAT_M)
-        touch = F.asin(F.least(F.sin(F.lit(math.radians(min(self.degrees, 90.0)))) / F.cos(F.radians("lat")), F.lit(1.0)))
-        reach = F.ceil(F.degrees(touch) / self.wide) + 1
-        round_all = over_pole | (2 * reach + 1 >= self.columns)
-        first = F.when(round_all, F.lit(0)).otherwise(-reach).cast("bigint")
-        last = F.when(round_all, F.lit(self.columns - 1)).otherwise(reach).cast("bigint")
-        cells = (
-            spots.withColumns({"_dy": F.explode(F.sequence(F.lit(-2), F.lit(2))), "_round": round_all, "_first": first, "_last": last})
-            .withColumn("_dx", F.explode(F.sequence("_first", "_last")))
-            .withColumns({"_y": self.row(F.col("lat")) + F.col("_dy"), "_x": self.column(F.col("lon")) + F.col("_dx")})
-        )
-        south, west = F.col("_y") * self.high, F.col("_x") * self.wide - 180.0
-        north, east = south + self.high, west + self.wide
-        lat, lon = F.col("lat"), F.col("lon")
-        nearest = haversine_m(lat, lon, F.least(F.greatest(lat, south), north), F.least(F.greatest(lon, west), east))
-        far_lon = F.when(F.abs(lon - west) > F.abs(east - lon), west).otherwise(east)
-        farthest = F.greatest(haversine_m(lat, lon, south, far_lon), haversine_m(lat, lon, north, far_lon))
-        # one percent of slack on both tests covers the curvature of cell edges
-        return (
-            cells.withColumns({"_near": nearest, "inside": flat & ~F.col("_round") & (farthest <= 0.99 * self.radius), "_x": self.wrapped(F.col("_x"))})
-            .filter(~flat | F.col("_round") | (F.col("_near") <= 1.01 * self.radius))
-            .drop("_near", "_dy", "_dx", "_round", "_first", "_last")
-        )
+        touch = F.degrees(F.asin(F.least(F.sin(F.lit(math.radians(min(self.degrees, 90.0)))) / F.cos(F.radians("lat")), F.lit(1.0)))) * (1 + 1e-6) + 1e-7
+        first, last = self.column(F.col("lon") - touch), self.column(F.col("lon") + touch)
+        round_all = over_pole | (last - first + 1 >= self.columns)
+        first = F.when(round_all, F.lit(0)).otherwise(first).cast("bigint")
+        last = F.when(round_all, F.lit(self.columns - 1)).otherwise(last).cast("bigint")
+        rows = F.sequence(self.row(F.col("lat") - self.degrees), self.row(F.col("lat") + self.degrees))
+        tiles = spots.withColumns({"_y": F.explode(rows), "_first": first, "_last": last}).withColumn("_x", F.explode(F.sequence("_first", "_last")))
+        return tiles.withColumn("_x", self.wrapped(F.col("_x"))).drop("_first", "_last")
 
 
 def radius_counts(
@@ -204,7 +174,7 @@ def radius_counts(
     radius_m: float = rv.POI_RADIUS_M,
     key: str = "zpid",
     snapshot: str = "snapshot",
-    rows_per_salt: int = CELL_ROWS_PER_SALT,
+    rows_per_salt: int = TILE_PLACES,
 ) -> DataFrame:
     """Places within the radius that exist at the snapshot, one count column per category.
 
@@ -212,94 +182,95 @@ def radius_counts(
     valid_from, valid_to (either end may be null = open). Properties without a position are left
     out; without a snapshot their counts are null; otherwise a category without places counts 0.
 
-    Equal positions are counted once. Cells fully inside the circle contribute per-cell totals;
-    only cells cut by the circle compare single places, and crowded cells are salted.
+    Equal positions are counted once. Circles and places meet by tile, and within a tile by sorted
+    strips (``circles.counts``). The places of a crowded tile are dealt to salts and its circles to
+    parts, so no task holds more than ``rows_per_salt`` of the one and ``TILE_CIRCLES`` of the other.
     """
-    grid = _Grid(radius_m)
+    tiles = _Tiles(radius_m)
     placed = properties.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).select(
         key, F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), F.col(snapshot).alias("snap")
     )
-    spots = placed.filter(F.col("snap").isNotNull()).select("lat", "lon", "snap").distinct()
-    around = grid.neighbours(spots)
-
-    # places at one position with one validity are one row with a weight
-    places = (
-        pois.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull() & F.col("category").isin(*categories))
-        .filter(F.col("valid_from").isNull() | F.col("valid_to").isNull() | (F.col("valid_from") < F.col("valid_to")))
-        .groupBy(
-            "category",
-            F.col("latitude").alias("plat"),
-            F.col("longitude").alias("plon"),
-            F.coalesce("valid_from", F.lit(dt.date(1000, 1, 1))).alias("since"),
-            F.col("valid_to").alias("until"),
-        )
-        .agg(F.count(F.lit(1)).alias("weight"))
-        .withColumns({"_y": grid.row(F.col("plat")), "_x": grid.wrapped(grid.column(F.col("plon")))})
+    spots = staged(placed.filter(F.col("snap").isNotNull()).select("lat", "lon", "snap").distinct(), "circle-spots")
+    around = tiles.reached(spots)
+    places = staged(_places(pois, categories, spots, tiles), "circle-places")
+    # one row per tile with places and circles
+    deal = staged(
+        places.groupBy("_y", "_x").agg(F.ceil(F.count(F.lit(1)) / F.lit(rows_per_salt)).alias("_salts"))
+        .join(around.groupBy("_y", "_x").agg(F.ceil(F.count(F.lit(1)) / F.lit(TILE_CIRCLES)).alias("_parts")), ["_y", "_x"]), "circle-tiles"
     )
-    whole = _inside_counts(around.filter("inside").drop("inside"), places, spots)
-    cut = _border_counts(around.filter("not inside").drop("inside"), places, radius_m, rows_per_salt)
-    sums = [F.coalesce(F.sum(F.when(F.col("category") == c, F.col("n"))), F.lit(0)).alias(c) for c in categories]
-    counted = whole.unionByName(cut).groupBy("lat", "lon", "snap").agg(*sums)
-    joined = joins.lookup(placed, counted, ["lat", "lon", "snap"])
+    counted = _tile_counts(around, places, deal, spots, radius_m, len(categories))
+    sums = [F.sum(F.get("n", i)).alias(c) for i, c in enumerate(categories)]
+    joined = joins.lookup(placed, counted.groupBy("lat", "lon", "snap").agg(*sums), ["lat", "lon", "snap"])
     return joined.select(
         key, *[F.when(F.col("snap").isNotNull(), F.coalesce(F.col(c), F.lit(0))).cast("bigint").alias(c) for c in categories]
     )
 
 
-def _inside_counts(around: DataFrame, places: DataFrame, spots: DataFrame) -> DataFrame:
-    """Counts of whole cells: per cell and category, how many places started and ended by when.
+def _snapshots(spots: DataFrame) -> Column:
+    return spots.select("snap").distinct().agg(F.array_sort(F.collect_list("snap"))).scalar()
+
+
+def _places(pois: DataFrame, categories: Sequence[str], spots: DataFrame, tiles: _Tiles) -> DataFrame:
+    """(_y, _x, category, lat, lon, since, until, weight): places alive at a snapshot, by the numbers of the snapshots.
 
-    Starts and ends count from the first snapshot on or after them, so the list per cell and
-    category is as long as there are snapshot dates (months), not as there are places.
+    A place begins with the first snapshot on or after its beginning and is gone at the first on or
+    after its end, so places at one position are as many rows as there are pairs of snapshots at most.
     """
-    snapshots = spots.select("snap").distinct().agg(F.array_sort(F.collect_list("snap"))).scalar()
-    both_ends = F.array(
-        F.struct(F.col("since").alias("day"), F.col("weight").alias("change")),
-        F.struct(F.col("until").alias("day"), (-F.col("weight")).alias("change")),
-    )
-    changes = places.select("_y", "_x", "category", F.inline(both_ends)).filter("day is not null")
-    daily = changes.groupBy("_y", "_x", "category", "day").agg(F.sum("change").alias("change"))
-    effective = F.get(F.filter("_snapshots", lambda s: s >= F.col("day")), 0)
-    dated = daily.withColumn("_snapshots", snapshots).withColumn("snap_from", effective).drop("_snapshots", "day")
-    by_snapshot = dated.filter("snap_from is not null").groupBy("_y", "_x", "category", "snap_from").agg(F.sum("change").alias("change"))
-    cells = by_snapshot.groupBy("_y", "_x", "category").agg(F.collect_list(F.struct("snap_from", "change")).alias("changes"))
-    by_then = F.aggregate(
-        "changes", F.lit(0).cast("bigint"),
-        lambda acc, d: acc + F.when(d["snap_from"] <= F.col("snap"), d["change"]).otherwise(F.lit(0)),
-    )
-    return (
-        around.join(cells, ["_y", "_x"])
-        .select("lat", "lon", "snap", "category", by_then.alias("n"))
-        .groupBy("lat", "lon", "snap", "category")
-        .agg(F.sum("n").alias("n"))
-    )
 
+    def before(day: str) -> Column:
+        return F.size(F.filter("_snapshots", lambda s: s < F.col(day)))
 
-def _border_counts(around: DataFrame, places: DataFrame, radius_m: float, rows_per_salt: int) -> DataFrame:
-    """Counts of cells the circle cuts, place by place; a crowded cell is spread over salts."""
-    sizes = places.groupBy("_y", "_x").agg(F.ceil(F.count(F.lit(1)) / F.lit(rows_per_salt)).alias("_salts"))
-    spread = F.pmod(F.xxhash64("category", "plat", "plon", "since", "until"), F.col("_salts"))
-    salted_places = (
-        places.join(sizes, ["_y", "_x"])
-        .withColumns({"_salt": spread, **_unit_vector(F.col("plat"), F.col("plon"), "p")})
-        .drop("_salts", "plat", "plon")
+    known = (
+        pois.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull() & F.col("category").isin(*categories))
+        .withColumn("_snapshots", _snapshots(spots))
+        .select(
+            (F.array_position(F.array(*map(F.lit, categories)), F.col("category")) - 1).cast("int").alias("category"),
+            F.col("latitude").alias("lat"),
+            F.col("longitude").alias("lon"),
+            F.when(F.col("valid_from").isNull(), F.lit(0)).otherwise(before("valid_from")).alias("since"),
+            F.when(F.col("valid_to").isNull(), F.size("_snapshots")).otherwise(before("valid_to")).alias("until"),
+        )
+        .filter("since < until")
     )
-    salted_spots = (
-        around.join(sizes, ["_y", "_x"])
-        .withColumns(_unit_vector(F.col("lat"), F.col("lon"), "s"))
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_salts") - 1)))
-        .drop("_salts")
+    weighed = known.groupBy("category", "lat", "lon", "since", "until").agg(F.count(F.lit(1)).alias("weight"))
+    return weighed.withColumns({"_y": tiles.row(F.col("lat")), "_x": tiles.wrapped(tiles.column(F.col("lon")))})
+
+
+def _tile_counts(around: DataFrame, places: DataFrame, deal: DataFrame, spots: DataFrame, radius_m: float, n_categories: int) -> DataFrame:
+    """(lat, lon, snap, n): counts by category of a spot and some of the places, to be added up."""
+    group = ["_y", "_x", "_salt", "_part"]
+
+    def numbers(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+
+    left = (
+        around.join(deal, ["_y", "_x"])
+        .withColumn("_part", F.pmod(F.xxhash64("lat", "lon", "snap"), F.col("_parts")))
+        .withColumn("_salt", numbers("_salts"))
+        .withColumn("_snapshots", _snapshots(spots))
+        .select(*group, "lat", "lon", "snap", F.array_position("_snapshots", F.col("snap")).alias("number"))
     )
-    chord = sum(((F.col(f"s{axis}") - F.col(f"p{axis}")) * (F.col(f"s{axis}") - F.col(f"p{axis}")) for axis in "xyz"), F.lit(0.0))
-    near = chord <= (2 * math.sin(radius_m / (2 * EARTH_RADIUS_M))) ** 2
-    alive = (F.col("since") <= F.col("snap")) & (F.col("until").isNull() | (F.col("snap") < F.col("until")))
-    return (
-        salted_spots.join(salted_places, ["_y", "_x", "_salt"])
-        .filter(alive & near)
-        .groupBy("lat", "lon", "snap", "category")
-        .agg(F.sum("weight").alias("n"))
+    right = (
+        places.join(deal, ["_y", "_x"])
+        .withColumn("_salt", F.pmod(F.xxhash64("category", "lat", "lon", "since", "until"), F.col("_salts")))
+        .withColumn("_part", numbers("_parts"))
+        .select(*group, "category", "lat", "lon", "since", "until", "weight")
     )
 
+    def sums(spots: pa.Table, places: pa.Table) -> pa.Table:
+        spots = spots.sort_by([("number", "ascending"), ("lat", "ascending"), ("lon", "ascending")])
+        lat, lon, number = (spots.column(c).to_numpy() for c in ("lat", "lon", "number"))
+        plat, plon, category, weight, since, until = (places.column(c).to_numpy() for c in ("lat", "lon", "category", "weight", "since", "until"))
+        found = np.zeros((len(lat), n_categories), np.int64)
+        for n in np.unique(number):
+            here, alive = number == n, (since < n) & (n <= until)
+            found[here] = circles.counts(lat[here], lon[here], plat[alive], plon[alive], category[alive], weight[alive], radius_m, n_categories)
+        ends = np.arange(len(lat) + 1, dtype=np.int32) * n_categories
+        return spots.select(["lat", "lon", "snap"]).append_column("n", pa.ListArray.from_arrays(pa.array(ends), pa.array(found.reshape(-1))))
+
+    schema = f"lat {dict(left.dtypes)['lat']}, lon {dict(left.dtypes)['lon']}, snap {dict(left.dtypes)['snap']}, n array<bigint>"
+    return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(sums, schema)
+
 
 def circle_requests(
     properties: DataFrame,

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 
 from dwellstat import reference_values as rv
-from dwellstat.operators import enrich, joins
+from dwellstat.operators import circles, enrich, joins
 
 VERSIONS = [(dt.date(2025, 9, 25), "b"), (dt.date(2025, 6, 23), "a"), (dt.date(2026, 1, 26), "c")]
 
@@ -123,6 +123,29 @@ def test_places_around_the_pole(spark):
     assert counts(600_000.0) == {1: 4, 2: 2}
 
 
+@pytest.mark.parametrize("radius", [3.0, 600.0, 40_000.0, 3_000_000.0, 12_000_000.0])
+def test_circle_sums_against_brute_force(radius):
+    """All latitudes, poles and the date line among them, against the chord of every pair."""
+    rng = np.random.default_rng(8)
+    for lat0, lon0 in ((0.0, 0.0), (40.0, 180.0), (-89.99, 10.0), (90.0, 0.0), (-60.0, -179.9999)):
+        spread = 4 * radius / enrich.METRES_PER_DEGREE
+        points = [(np.clip(lat0 + rng.uniform(-spread, spread, n), -90, 90),
+                   (lon0 + rng.uniform(-spread, spread, n) / max(math.cos(math.radians(lat0)), 0.01) + 180) % 360 - 180) for n in (30, 2000)]
+        category, weight = rng.integers(0, 3, 2000), rng.integers(1, 4, 2000)
+        here, there = [np.stack(circles._unit_vectors(*map(np.radians, p)), 1) for p in points]
+        near = ((here[:, None] - there[None]) ** 2).sum(2) <= (2 * math.sin(radius / (2 * enrich.EARTH_RADIUS_M))) ** 2
+        want = np.stack([(near * weight * (category == c)).sum(1) for c in range(4)], 1)
+        assert (circles.counts(*points[0], *points[1], category, weight, radius, 4) == want).all()
+
+
+def test_radius_counts_pair_circles_and_places_in_tasks_only(spark):
+    """No join of circles with cells or places, whose rows were broadcast or grew with the square of the density."""
+    homes = spark.createDataFrame([(1, 40.6, -73.9, dt.date(2024, 1, 1))], "zpid long, latitude double, longitude double, snapshot date")
+    pois = spark.createDataFrame([("a", 40.6, -73.9, None, None)], "category string, latitude double, longitude double, valid_from date, valid_to date")
+    plan = enrich.radius_counts(homes, pois, ["a"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and plan.count("Join Inner") == 2  # places and circles, each with the row of their tile
+
+
 def test_requests_with_text_ids(spark):
     rows = [(k, 40.0, -73.0, dt.date(2020, 1, 5)) for k in ("a1", "b2", "c3")]
     df = spark.createDataFrame(rows, "zpid string, latitude double, longitude double, sold_date date")

@@ -105,3 +105,43 @@ def test_shuffled_copy_is_a_permutation(spark, homes):
 
 def test_spec_without():
     assert SPEC.without("size", "hood").names == ["noise"]
+
+
+def test_leaf_medians_are_exact_and_few_rows_leave_the_tasks(spark, monkeypatch):
+    """Lower medians whatever the sign, ties and spread of the residuals; leaves beyond the limit take more passes."""
+    rng = np.random.default_rng(2)
+    y = np.concatenate([rng.normal(size=301), np.repeat([0.25, -0.0, 0.0], 100), rng.normal(size=300) * 1e-9, 1 + rng.random(400) / 1e6])
+    leaf = np.arange(len(y)) % 3
+    df = spark.createDataFrame([(int(i), float(leaf[i]), 1.0, float(v), 1) for i, v in enumerate(y)], "k long, x double, price double, y_log double, fold int").repartition(4)
+    for most in (5, 50_000):
+        monkeypatch.setattr(boosting, "LEAF_VALUES", most)
+        plans = boosting.bin_plans(df, ["x"], [], [0], 8)
+        state = boosting.binned(df, "k", ["x"], [], plans).selectExpr("*", "X'' AS pred")
+        tree = boosting.Tree.blank(2)
+        tree.feature[[1, 3]], tree.cut[[1, 3]] = 0, (1, 2)
+        level = boosting._Level([(0, 1)], [0], 1, boosting.Boosting(row_share=1.0), [[]], [tree], 0, [0.0])
+        got = {node: value for _, node, value in boosting._leaf_values(state, level)}
+        assert got == {node: np.sort(y[leaf == i])[(sum(leaf == i) - 1) // 2] for i, node in enumerate((2, 6, 7))}
+    plan = boosting.fit(df, "k", ["x"], [], [(0, 1)], boosting.Boosting(trees=1, depth=1)).scores._jdf.queryExecution().optimizedPlan().toString()
+    assert "pred" in plan  # the last scores are a plan, not another copy of the table
+
+
+def test_only_models_that_held_a_row_out_score_it(spark, homes, monkeypatch):
+    data = modeling.training_table(homes, SPEC, "zpid", "sold_price", 2)
+    fitted = modeling.boosted(data, SPEC, "zpid", trees(), [(f, s) for f in (0, 1) for s in (1, 2)])
+    rows = modeling._missing_as_null(data, SPEC)
+    got = {(r.zpid, r.fold, r.seed): r.pred_log for r in boosting.held_out_scores(rows, fitted, SPEC.numeric, SPEC.categorical, ["zpid"]).collect()}
+    want = {(r.zpid, r.fold, r.seed): r.pred_log for r in fitted.predictions("t").collect()}
+    assert got.keys() == want.keys() and len(got) == 784 and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_fits_that_grew_together_are_stored_in_one_table(spark, homes, tmp_path):
+    data = modeling.training_table(homes, SPEC, "zpid", "sold_price", 2)
+    learner = {"t": trees()}
+    rows = modeling.predictions_of(data, SPEC, "zpid", learner, 2, (1, 2), str(tmp_path))
+    assert len(list(tmp_path.glob("together-*"))) == 1 and not list(tmp_path.glob("[0-9a-f]" * 64))
+    want = {(r.fold, r.part, r.zpid): r for r in modeling.seed_average(rows, "zpid").collect()}
+    averages = modeling.averages_of(data, SPEC, "zpid", learner, 2, (1, 2), str(tmp_path), train_too=True)
+    assert "Aggregate" not in averages._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.fold, r.part, r.zpid): r for r in averages.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k].pred_log - want[k].pred_log) < 1e-9 and got[k].price == want[k].price for k in want)

@@ -1,8 +1,11 @@
+import pathlib
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from dwellstat import session
 from dwellstat.operators import ordering
 
 RNG = np.random.default_rng(3)
@@ -68,3 +71,14 @@ def test_top_per_group_has_no_limit(spark):
     _, df = frame(spark, 100)
     assert ordering.top_per_group(df, ["g"], [F.col("id")], 2000).count() == 100
     assert ordering.seeded_top(df, 1, ["id"], ["g"], 2000).count() == 100
+
+
+def test_quantiles_shuffle_only_rows_near_a_wanted_position(spark):
+    values = [None, float("inf"), -1e-300, 0.0, -0.0, *[float(x) for x in np.random.default_rng(3).normal(0, 1e3, 5000)]]
+    df = spark.createDataFrame([(i % 2 or None, v) for i, v in enumerate(values)], "g int, y double")
+    got = {(r.g, r.prob): r.quantile for r in ordering.exact_quantiles(df, "y", [0.0, 0.1, 0.5], ["g"]).collect()}
+    for g in (None, 1):
+        mine = [v for i, v in enumerate(values) if (i % 2 or None) == g and v is not None]
+        assert [got[g, p] for p in (0.0, 0.1, 0.5)] == pytest.approx(list(np.quantile(mine, [0.0, 0.1, 0.5])))
+    near = max((p for p in pathlib.Path(session.shared_folder(spark), "dwellstat").glob("quantile-values-*")), key=lambda p: p.stat().st_mtime)
+    assert spark.read.parquet(str(near)).count() < 1000

@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from dwellstat.operators import boosting, fits, modeling
 
@@ -145,3 +146,14 @@ def test_fits_that_grew_together_are_stored_in_one_table(spark, homes, tmp_path)
     assert "Aggregate" not in averages._jdf.queryExecution().optimizedPlan().toString()
     got = {(r.fold, r.part, r.zpid): r for r in averages.collect()}
     assert got.keys() == want.keys() and all(abs(got[k].pred_log - want[k].pred_log) < 1e-9 and got[k].price == want[k].price for k in want)
+
+
+def test_repeated_and_null_keys_are_averaged_together(spark, homes, tmp_path):
+    twice = homes.withColumn("zpid", F.when(F.col("zpid") % 9 != 0, F.col("zpid"))).unionByName(homes.where("zpid % 5 = 1").withColumn("noise", F.lit(9.0)))
+    data = modeling.training_table(twice, SPEC, "zpid", "sold_price", 2)
+    learner = {"t": trees()}
+    rows = modeling.predictions_of(data, SPEC, "zpid", learner, 2, (1, 2), str(tmp_path))
+    averages = modeling.averages_of(data, SPEC, "zpid", learner, 2, (1, 2), str(tmp_path), train_too=True)
+    table = lambda df: {(r.fold, r.part, r.zpid): r.pred_log for r in df.collect()}
+    want, got = table(modeling.seed_average(rows, "zpid")), table(averages)
+    assert averages.count() == len(want) and got == pytest.approx(want)

@@ -76,3 +76,27 @@ def test_passages_of_one_to_eight_lines_are_found(spark):
                 lost[doc] = n * side
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {x.doc_id: x.n_removed_lines for x in line_dedup.report(docs).collect()} == lost
+
+
+def test_copies_are_met_by_chunks(spark):
+    """Chunks end by content alone, and of a copy only chunks and the pairs that lead into them are compared."""
+    r = random.Random(3)
+    line = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(9))
+    passage = [line() for _ in range(40)]
+    texts = {i: [line() for _ in range(i)] + passage + [line() for _ in range(2)] for i in range(1, 6)}
+    docs = spark.createDataFrame([(i, "\n".join(x)) for i, x in texts.items()], "doc_id long, text string")
+    cuts = {}
+    for x in docs.select("doc_id", line_dedup.chunks(docs.text).alias("c")).collect():
+        assert [c.begin for c in x.c] == [0] + [c.end + 1 for c in x.c[:-1]] and x.c[-1].end == len(texts[x.doc_id]) - 1
+        cuts[x.doc_id] = {c.end - x.doc_id for c in x.c if x.doc_id < c.end < x.doc_id + 40}
+    assert len(set(map(frozenset, cuts.values()))) == 1 and 5 < len(cuts[1]) < 25
+    rows = line_dedup.spots(docs).collect()
+    count = lambda i: sum(x.place.doc_id == i for x in rows)
+    assert count(1) == len(texts[1]) - 1  # the first occurrence: all its pairs
+    ends = sorted(cuts[1])
+    whole = sum(b - a > 1 for a, b in zip(ends, ends[1:]))  # chunks of one short line are no passages
+    for i in range(2, 6):
+        assert whole <= sum(x.id is None for x in rows if x.place.doc_id == i) <= whole + 2
+        assert count(i) < count(1)
+    got = {x.doc_id: x.n_removed_lines for x in line_dedup.report(docs).collect()}
+    assert got == {1: 0, 2: 40, 3: 40, 4: 40, 5: 40}

@@ -195,6 +195,16 @@ def test_toxicity_without_labels(spark):
     assert toxicity.judged(docs.where("false"), one).count() == 0
 
 
+def test_toxicity_sends_every_text_once(spark, monkeypatch):
+    docs = docs_of(spark, {1: "some words", 2: None, 3: ""}).withColumn("p_toxic", F.lit("clash"))
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    sent, scored = [], toxicity.scored
+    monkeypatch.setattr(toxicity, "scored", lambda rows, *a, **k: sent.append(rows.schema) or scored(rows, *a, **k))
+    kept = toxicity.filtered(docs, labels)
+    assert len(sent[0]["row"].dataType.fields) == len(docs.columns)  # a mark and every column but the text
+    assert kept.columns == docs.columns and sorted(kept.collect(), key=str) == sorted(docs.collect(), key=str)
+
+
 def test_warc_round_trip(spark):
     big, other = "<p>" + "é" * 600, "<p>" + "y" * 1500
     rows = [(1, "http://www.a.com:80/x y?q=1", big), (2, "http://b.org/", big), (3, None, big), (4, "http://b.org/", "small"), (5, "http://b.org/", "small"),

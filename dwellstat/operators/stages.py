@@ -1,4 +1,4 @@
-"""Evaluate-once stages."""
+"""Stages that spread rows over tasks and evaluate once."""
 
 from __future__ import annotations
 
@@ -6,6 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt evenly to three tasks a core, for costly work on each.
+
+    A file is read in as many tasks as it has row groups, often a single one, however many rows that
+    holds. Deal narrow rows, before the work makes them wide.
+    """
+    return df.repartition(3 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def once(df: DataFrame, **columns: Column) -> DataFrame:
     """Adds columns that are computed exactly once per row.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from dwellstat import reference_values as rv
 from dwellstat.functions import checks, dates, facts, history, text
-from dwellstat.operators import agreement, cleaning, enrich, joins, ordering, photos, summaries
+from dwellstat.operators import agreement, cleaning, enrich, joins, ordering, photos, stages, summaries
 from dwellstat.plans import views
 from dwellstat.plans.registry import query, table
 from dwellstat.plans.views import with_views
@@ -310,7 +310,7 @@ def zip_urls(spark, sf_dir):
     UNION ALL SELECT c_custkey, c_mktsegment, 'Money & more', '_bare', 'no label ' || c_name FROM x
     UNION ALL SELECT c_custkey, '_uncategorised', '_general', '_bare', 'plain' FROM x WHERE c_custkey % 2 = 0""")
 def facts_html(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
+    c = stages.spread(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey", "c_name"))
     html = F.concat(
         F.lit('<div><div data-testid="category-group"><h3> '), "c_mktsegment", F.lit(" </h3><ul><li>Nation: "),
         F.col("c_nationkey").cast("string"), F.lit(":x</li></ul><h6>Money &amp; more</h6><li>Balance: 0</li><li>Balance: <b>"),

@@ -11,6 +11,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dwellstat.operators import stages
 from dwellstat.plans.registry import table
 
 VERSIONS = (
@@ -170,7 +171,7 @@ def homes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A raw listing export: text cells with JSON, HTML and comma lists, built per order."""
-    o = table(spark, sf_dir, "orders")
+    o = stages.spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"))
     k = F.col("o_orderkey")
     key, price = k.cast("string"), (F.floor(F.col("o_totalprice") * 20)).cast("bigint")
 
@@ -191,6 +192,13 @@ def raw_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     meta = {c: F.lit("") for c in (
         "web-scraper-start-url", "listing-link", "results-for", "public_tax_history_property_taxes_percentage_change",
         "public_tax_history_tax_assessment_percentage_change", "price_history_percentage_change", "price", "price_history_merged")}
+    # readers use a cell several times
+    o = stages.once(
+        o,
+        price_history_event=cells("price_history_event", [F.lit("Listed"), event, F.lit("Sold")]),
+        price_history_price=cells("price_history_price", [F.lit("1"), sale_price, F.lit("250000")]),
+        price_history_date=cells("price_history_date", [F.lit("01/01/1990"), sale_date, F.lit("02/03/1994")]),
+    )
     return o.select(
         k.alias("row_key"),
         *[v.alias(n) for n, v in meta.items()],
@@ -205,9 +213,9 @@ def raw_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
         (k % 6).cast("string").alias("bedrooms"),
         F.when(k % 8 == 0, F.lit("")).otherwise((k % 4 + 0.5).cast("string")).alias("bathrooms"),
         html.alias("facts_features_text"),
-        cells("price_history_event", [F.lit("Listed"), event, F.lit("Sold")]).alias("price_history_event"),
-        cells("price_history_price", [F.lit("1"), sale_price, F.lit("250000")]).alias("price_history_price"),
-        cells("price_history_date", [F.lit("01/01/1990"), sale_date, F.lit("02/03/1994")]).alias("price_history_date"),
+        "price_history_event",
+        "price_history_price",
+        "price_history_date",
         link[0].alias("main_image-src"),
         F.concat(link[0], F.lit(", "), link[1], F.lit(",,"), link[2], F.lit(" , "), link[0]).alias("all_images"),
     )

@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from dwellstat import reference_values as rv
 from dwellstat.functions import dates, facts, history, text
 from dwellstat.operators import cleaning
+from dwellstat.plans import catalog, views
 
 CELLS = ("price_history_event", "price_history_price", "price_history_date")
 TEXT_COLUMNS = [
@@ -127,3 +129,23 @@ def test_rules_let_missing_values_pass(spark):
     df = spark.createDataFrame([(None,), (1.0,), (9.0,)], "p double")
     kept, rejected = cleaning.split_rejects(cleaning.tag_rejects(df, [("high", F.col("p") > 5)]))
     assert [r.p for r in kept.collect()] == [None, 1.0] and rejected.first().reject_reason == "high"
+
+
+def test_plain_markup_reads_as_the_tolerant_reader_does(spark):
+    bits = ['<div data-testid="category-group">', '<DIV class="a b">', "<h3>", "</h3>", "<h6>", "</h6>", "<li>", '<li class="x">', "</li>", "</div>",
+            "<br/>", "<br>", "a: b", "c &amp; d", " : ", "&lt;li&gt;", "<!-- c -->", "<p title='x'>", "<script>", "</script>", "<", "</p >"]
+    rng, marks, plain = random.Random(7), (("data-testid", "category-group"), "h3", "h6", "li"), 0
+    for i in range(2000):
+        html = "".join(rng.choices(bits if i % 4 == 0 else bits[:16], k=rng.randint(1, 12)))
+        fast, slow = facts._Outline(*marks), facts._Outline(*marks)
+        fast.read(html)
+        slow.feed(html)
+        slow.close()
+        assert fast.groups == slow.groups, html
+        plain += bool(facts._PLAIN.fullmatch(html))
+    assert 1000 < plain < 2000
+
+
+def test_costly_rows_are_spread(spark, sf_dir):
+    assert views.raw_sales(spark, sf_dir).rdd.getNumPartitions() > 1
+    assert catalog.queries()["facts_html"](spark, sf_dir).rdd.getNumPartitions() > 1

@@ -241,10 +241,11 @@ def prediction_cache(spark, sf_dir):
 def stream_collect(spark, sf_dir):
     source, log, state = [scratch_path(spark, n) for n in ("arrivals", "collected", "state")]
     lines = result_lines(spark, sf_dir)
-    # the same lines arrive twice, in separate files
-    lines.repartition(4).write.parquet(source)
-    lines.repartition(2).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 3).parquet(source)
+    # the same lines arrive twice, in separate files, whose number follows that of the session's cores
+    share = max(1, spark.sparkContext.defaultParallelism // 4)
+    lines.repartition(4 * share).write.parquet(source)
+    lines.repartition(2 * share).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 3 * share).parquet(source)
     logs.collect_results(stream, log, state).awaitTermination()
     columns = batches.parse_responses(lines).drop("error")
     return logs.read_log(spark, log, columns.schema).drop("run", "batch_id", "division").withColumn("cost_usd", F.round("cost_usd", 9))

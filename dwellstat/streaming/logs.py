@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from dwellstat.operators import batches, joins, ordering, summaries
+from dwellstat.operators import batches, joins, ordering, stages, summaries
 
 
 #: Divisions of a log by key digest; a batch with few keys reads few of them.
@@ -43,6 +43,12 @@ def _write_batch(df: DataFrame, path: str, run: str, batch_id: int, keys: Sequen
     divided.write.mode("overwrite").partitionBy("division").parquet(f"{path}/run={run}/batch_id={batch_id}")
 
 
+def _held(batch: DataFrame, path: str) -> DataFrame:
+    """The batch's rows from a folder that every batch of the run overwrites; readers of the log skip it."""
+    batch.write.mode("overwrite").parquet(path)
+    return batch.sparkSession.read.schema(batch.schema).parquet(path)
+
+
 def _earlier(batch: DataFrame, path: str, run: str, batch_id: int, schema: T.StructType, keys: Sequence[str]) -> DataFrame | None:
     """What any earlier batch of any run wrote in the batch's divisions; its own leftovers do not count."""
     log = read_log(batch.sparkSession, path, schema)
@@ -115,8 +121,9 @@ def collect_results(lines: DataFrame, log_path: str, checkpoint: str, key: str =
 
     def store(batch: DataFrame, batch_id: int) -> None:
         run = _run(batch)
-        rows = batches.parse_responses(batch).filter(F.col("error") == "").drop("error")
+        rows = batches.parse_responses(stages.spread(batch)).filter(F.col("error") == "").drop("error")
         single = ordering.keep_first(rows, [key], [F.col("source_chunk"), F.to_json(F.struct(*rows.columns))])
+        single = _held(single, f"{log_path}/_batch/run={run}")
         _compact_at_times(batch, log_path, rows.schema, run, batch_id)
         earlier = _earlier(single, log_path, run, batch_id, rows.schema, [key])
         fresh = single if earlier is None else joins.exclude(single, earlier, [key])

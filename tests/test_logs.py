@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dwellstat.operators import summaries
+from dwellstat.operators import batches, summaries
 from dwellstat.streaming import logs
 
 RATINGS = "rater string, image_path string, score long, timestamp string, arrival long"
@@ -88,3 +88,18 @@ def test_status_versions(spark, tmp_path):
     # a new checkpoint counts from the beginning
     (source / "d.json").write_text('{"chunk": 3, "state": "sent"}')
     assert count_states(spark, source, path, str(tmp_path / "two")) == [(1, "done", 1), (1, "sent", 2), (2, "sent", 1), (3, "sent", 2)]
+
+
+def test_a_batch_is_parsed_once_and_its_copy_is_no_part_of_the_log(spark, tmp_path):
+    log, source = str(tmp_path / "log"), tmp_path / "in"
+    lines = [(json.dumps({"key": f"images/1/{i % 5}.jpg", "response": {"candidates": [{"content": {"parts": [{"text": json.dumps({"room_type": "kitchen"})}]}}]}}), f"c{i % 2}") for i in range(12)]
+    df = spark.createDataFrame(lines, "value string, source_chunk string")
+    df.repartition(3).write.parquet(str(source))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+    logs.collect_results(stream, log, str(tmp_path / "state")).awaitTermination()
+    schema = batches.parse_responses(df).drop("error").schema
+    stored = logs.read_log(spark, log, schema)
+    assert sorted(r.image_path for r in stored.collect()) == [f"images/1/{i}.jpg" for i in range(5)]
+    # one copy, of the last batch
+    held = list((tmp_path / "log" / "_batch").iterdir())
+    assert len(held) == 1 and 0 < spark.read.parquet(str(held[0])).count() <= 4

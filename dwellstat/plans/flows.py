@@ -43,16 +43,18 @@ def valuation_table(
     and category. Every kept sale gives a row, also without an id and when an id repeats.
     """
     kept, _ = cleaning.clean_sales(raw)
-    sold = kept.withColumn("sale_day", dates.us_date("sold_date"))
-    geocoded = enrich.geocode(sold, addresses).drop("house_number", "street")
-    # the row number is fixed once the rows are written
-    placed = staged(geocoded.withColumn("_sale", F.monotonically_increasing_id()), "placed-sales")
+    # row numbers are fixed once the rows are written; the wide rows stay where they are, and what
+    # the lookups shuffle are the few columns they need
+    sold = staged(kept.withColumns({"sale_day": dates.us_date("sold_date"), "_sale": F.monotonically_increasing_id()}), "kept-sales")
+    geocoded = enrich.geocode(sold.select("_sale", "sale_day", "address", "borough"), addresses)
+    placed = geocoded.drop("address", "borough", "house_number", "street").withColumn("_row", F.monotonically_increasing_id())
+    placed = staged(placed, "placed-sales")
     versioned = placed.withColumn("version", enrich.version_as_of("sale_day", versions))
-    with_lots = enrich.clean_lot_fields(enrich.attach_lots(versioned, lots))
     newest = latest_places or dt.date.today()
-    spots = placed.select("_sale", "latitude", "longitude", dates.snapshot_date("sale_day", newest).alias("snapshot"))
-    counts = enrich.radius_counts(spots, pois, categories, key="_sale")
-    return joins.lookup(with_lots, counts, ["_sale"]).drop("_sale")
+    spots = placed.select("_row", "latitude", "longitude", dates.snapshot_date("sale_day", newest).alias("snapshot"))
+    counts = enrich.radius_counts(spots, pois, categories, key="_row")
+    found = joins.lookup(enrich.attach_lots(versioned.drop("sale_day"), lots), counts, ["_row"]).drop("_row")
+    return enrich.clean_lot_fields(joins.lookup(sold, found, ["_sale"])).drop("_sale")
 
 
 def photo_batches(images: DataFrame, done: DataFrame, prompt: str, item: str = "image_path") -> DataFrame:

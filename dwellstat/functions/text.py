@@ -141,14 +141,19 @@ def link_list(cell) -> Column:
     return F.when(use_json, links).otherwise(link_tokens(cell))
 
 
+#: The digest in a photo's link, and the size of the variant.
+PHOTO_KEY = r"/([a-f0-9]{16,})[-_]"
+PHOTO_SIZE = r"(?:cc_ft_|within_\d+_)(\d+)"
+
+
 def photo_key(url) -> Column:
     """Identity of a photo independent of its size; the last path part when no digest is found."""
     url = _col(url)
-    return F.coalesce(match_or_null(url, r"/([a-f0-9]{16,})[-_]"), F.substring_index(url, "/", -1))
+    return F.coalesce(match_or_null(url, PHOTO_KEY), F.substring_index(url, "/", -1))
 
 
 def photo_size(url) -> Column:
-    return F.coalesce(match_or_null(url, r"(?:cc_ft_|within_\d+_)(\d+)").try_cast("bigint"), F.lit(0).cast("bigint"))
+    return F.coalesce(match_or_null(url, PHOTO_SIZE).try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def parent_folder(path) -> Column:

@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
+import re
+import sys
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dwellstat import reference_values as rv
 from dwellstat.functions import text
-from dwellstat.operators import stages
+
+# executors need no installed copy of this module
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+_KEY, _SIZE = text.PHOTO_KEY, text.PHOTO_SIZE
 
 
 def image_tasks(listings: DataFrame, links: str = "all_images", hero: str = "main_image-src", key: str = "zpid",
@@ -39,24 +50,57 @@ def image_tasks(listings: DataFrame, links: str = "all_images", hero: str = "mai
 def largest_variants(listings: DataFrame, links: Column, key: str) -> DataFrame:
     """One row per photo of a listing, its largest variant, indexed by first appearance.
 
-    Of equally large variants the first counts. Works inside each listing's own array: key and size
-    are taken from each link once, then what was found is sorted twice by photo, so the heads of its
-    runs are the first and the largest variants.
+    Of equally large variants the first counts. Works inside each listing's own array, a batch of
+    listings at a time, so nothing is shuffled.
     """
-    found = F.transform(links, lambda url, i: F.struct(
-        text.photo_key(url).alias("k"), (-text.photo_size(url)).alias("size"), i.alias("i"), url.alias("url")))
-    parsed = stages.once(listings, _found=found).select(key, "_found")
-    by_place = F.sort_array(F.transform("_found", lambda v: F.struct(v["k"].alias("k"), v["i"].alias("i"))))
-    held = stages.once(parsed, _by_place=by_place, _by_size=F.sort_array("_found")).select(key, "_by_place", "_by_size")
-
-    def heads(name: str) -> Column:
-        return F.filter(name, lambda v, i: (i == 0) | ~v["k"].eqNullSafe(F.get(F.col(name), i - 1)["k"]))
-
-    rows = F.sort_array(F.zip_with(heads("_by_place"), heads("_by_size"), lambda p, s: F.struct(
-        p["i"].alias("i"), p["k"].alias("photo_hash"), s["url"].alias("url"))))
-    return held.select(key, F.posexplode(rows).alias("img_index", "_r")).filter("_r.photo_hash is not null").select(
-        key, F.col("img_index").cast("bigint").alias("img_index"), "_r.photo_hash", "_r.url"
-    )
+    held = listings.select(F.col(key).alias("_key"), links.alias("_links"))
+    schema = T.StructType([held.schema["_key"]]).add("img_index", "long").add("photo_hash", "string").add("url", "string")
+    return held.mapInArrow(_variants, schema).withColumnRenamed("_key", key)
+
+
+def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = batch.column("_links")
+        urls, owner = pc.list_flatten(lists), pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+        if not len(urls):
+            continue
+        keys = _keys(urls)
+        codes = pc.dictionary_encode(keys, null_encoding="encode")
+        photo = owner.astype(np.int64) * len(codes.dictionary) + codes.indices.to_numpy(zero_copy_only=False)
+        # by photo, then largest and first variant; the sort is stable
+        by_size = np.lexsort((-_sizes(urls), photo))
+        starts = np.flatnonzero(np.diff(photo[by_size], prepend=-1))
+        first, best = np.minimum.reduceat(by_size, starts), by_size[starts]
+        by_place = np.argsort(first)
+        first, best = first[by_place], best[by_place]
+        mine = owner[first]
+        index = np.arange(len(mine)) - np.searchsorted(mine, mine)
+        out = pa.RecordBatch.from_arrays(
+            [batch.column("_key").take(pa.array(mine)), pa.array(index, pa.int64()), keys.take(pa.array(first)), urls.take(pa.array(best))],
+            names=["_key", "img_index", "photo_hash", "url"],
+        )
+        yield out.filter(pc.is_valid(out.column("photo_hash")))
+
+
+def _group(urls: pa.Array, pattern: str) -> pa.Array:
+    """What the one group of a pattern matched first, null where nothing did. Arrow wants groups named."""
+    return pc.struct_field(pc.extract_regex(urls, re.sub(r"\((?!\?)", "(?P<g>", pattern)), "g")
+
+
+def _keys(urls: pa.Array) -> pa.Array:
+    """As ``text.photo_key``."""
+    found = _group(urls, _KEY)
+    missed = pc.is_null(found)
+    return pc.replace_with_mask(found, missed, pc.replace_substring_regex(urls.filter(missed), "(?s)^.*/", ""))
+
+
+def _sizes(urls: pa.Array) -> np.ndarray:
+    """As ``text.photo_size``: 0 without a size or for one beyond a bigint."""
+    digits = pc.utf8_ltrim(pc.fill_null(_group(urls, _SIZE), "0"), "0")
+    digits = pc.if_else(pc.equal(digits, ""), "0", digits)
+    if pc.max(pc.binary_length(digits)).as_py() > 18:  # one may not fit
+        return np.array([int(d) if len(d) < 20 and int(d) < 1 << 63 else 0 for d in digits.to_pylist()], np.int64)
+    return digits.cast(pa.int64()).to_numpy()
 
 
 def route(photos: DataFrame, label: str, judged: str | None = None, rooms: Sequence[str] = rv.SCORED_ROOMS) -> DataFrame:

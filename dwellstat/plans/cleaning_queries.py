@@ -98,8 +98,8 @@ def photo_variants(spark, sf_dir):
         F.concat(F.lit("http://x/other/"), (F.col("l_suppkey") % 2).cast("string"), F.lit(".jpg")),
         F.concat(F.lit("http://x/fp/"), digest("l_partkey"), F.lit("-cc_ft_400.jpg")),
     )
-    staged = li.select(listing.alias("listing"), text.link_list(cell).alias("links"))
-    return photos.largest_variants(staged, F.col("links"), "listing")
+    cells = li.select(listing.alias("listing"), cell.alias("cell"))
+    return photos.largest_variants(cells, text.link_list("cell"), "listing")
 
 
 LINK_CELL_SQL = """

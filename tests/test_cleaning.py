@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dwellstat import reference_values as rv
 from dwellstat.functions import dates, facts, history, text
-from dwellstat.operators import cleaning
+from dwellstat.operators import cleaning, photos
 from dwellstat.plans import catalog, views
 
 CELLS = ("price_history_event", "price_history_price", "price_history_date")
@@ -102,6 +102,33 @@ def test_text(spark, make, value, expected):
     check(spark, value, make, expected)
 
 
+def test_largest_variants(spark):
+    digest = "0123456789abcdef"
+    rows = [
+        ("odd", [f"http://h/{digest}-cc_ft_5.jpg", None, "http://h/a/b.jpg", f"http://h/{digest}_within_9_0070.webp", "no slash", "http://h/c/b.jpg",
+                 f"http://h/x/{digest}", f"http://h/{digest}-cc_ft_70.jpg", "http://h/\nn/é", "http://h/"]),
+        ("wide", [f"http://h/{digest}-cc_ft_{n}.jpg" for n in ("9223372036854775808", "0" * 30 + "8", "9223372036854775807", "9" * 5000, "12")]),
+        ("none", []), (None, ["http://h/z"]), ("null", None), ("odd", ["http://h/y", "http://h/w", "http://h/y"]),
+    ]
+    df = spark.createDataFrame(rows, "zpid string, links array<string>").coalesce(1)
+    found = photos.largest_variants(df, F.col("links"), "zpid")
+    assert [(f.name, f.dataType.simpleString()) for f in found.schema] == [
+        ("zpid", "string"), ("img_index", "bigint"), ("photo_hash", "string"), ("url", "string")]
+    assert [tuple(r) for r in found.collect()] == [
+        ("odd", 0, digest, f"http://h/{digest}_within_9_0070.webp"), ("odd", 2, "b.jpg", "http://h/a/b.jpg"), ("odd", 3, "no slash", "no slash"),
+        ("odd", 4, "é", "http://h/\nn/é"), ("odd", 5, "", "http://h/"),
+        ("wide", 0, digest, f"http://h/{digest}-cc_ft_9223372036854775807.jpg"),
+        (None, 0, "z", "http://h/z"), ("odd", 0, "y", "http://h/y"), ("odd", 1, "w", "http://h/w"),
+    ]
+
+
+def test_largest_variants_takes_each_link_once(spark):
+    """Patterns and sorts over an array's links are interpreted link by link, some of them twice."""
+    df = spark.createDataFrame([("a", ["http://h/x"])], "zpid string, links array<string>")
+    plan = photos.largest_variants(df, F.col("links"), "zpid")._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and "Exchange" not in plan
+
+
 def test_lot_key(spark):
     df = spark.createDataFrame([("3", "00012", "0001"), ("0", "00000", "0000"), ("3", None, "1"), ("3", "", "1")], "b string, k string, l string")
     assert [r.x for r in df.select(text.lot_key("b", "k", "l").alias("x")).collect()] == [3000120001, None, None, None]

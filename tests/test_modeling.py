@@ -157,3 +157,78 @@ def test_repeated_and_null_keys_are_averaged_together(spark, homes, tmp_path):
     table = lambda df: {(r.fold, r.part, r.zpid): r.pred_log for r in df.collect()}
     want, got = table(modeling.seed_average(rows, "zpid")), table(averages)
     assert averages.count() == len(want) and got == pytest.approx(want)
+
+
+def test_apart_and_together_grow_the_same_trees(spark, homes, monkeypatch):
+    data = modeling.training_table(homes.withColumn("hood", F.when(F.col("zpid") % 7 != 0, F.col("hood"))), SPEC, "zpid", "sold_price", 2)
+    settings, models = boosting.Boosting(trees=3, depth=3, step=0.3, bins=32), [(0, 1), (1, 2)]
+    monkeypatch.setattr(boosting, "KEEP", 2)
+    grown = []
+    for most in (0, 1000):
+        monkeypatch.setattr(boosting, "APART_ROWS", most)
+        fitted = modeling.boosted(data, SPEC, "zpid", settings, models)
+        rows = sorted(map(tuple, fitted.predictions("t", train_too=True).collect()))
+        grown.append((rows, {r[:-1]: r.gain for r in fitted.gains("t").collect()}, fitted.trees))
+    (rows, gains, trees), (apart_rows, apart_gains, apart_trees) = grown
+    assert rows == apart_rows and gains == pytest.approx(apart_gains) and [len(x) for x in apart_trees] == [3, 3]
+    for one, other in zip(sum(trees, []), sum(apart_trees, [])):
+        for part in ("feature", "cut", "missing_left", "value", "gain"):
+            assert np.array_equal(getattr(one, part), getattr(other, part)), part
+        assert {n: x.tolist() for n, x in one.left_codes.items()} == {n: x.tolist() for n, x in other.left_codes.items()}
+
+
+def test_best_splits_of_all_nodes_are_those_of_each(spark):
+    """With few rows and many ties: empty first bins, missing values on both sides, codes of equal signs."""
+    rng = np.random.default_rng(8)
+    settings = boosting.Boosting(least_rows=2)
+    for _ in range(60):
+        n, sizes = int(rng.integers(5, 60)), [12, 5, 6]
+        bins = {f: (rng.integers(0, s, n) if f != 1 else rng.integers(2, s, n)).astype(np.int32) for f, s in enumerate(sizes)}
+        place, sign = rng.integers(0, 3, n), rng.integers(0, 3, n)
+        got = boosting._best_splits(bins, place, sign, 3, sizes, {2}, settings)
+        for node in range(3):
+            rows = [(f, b, int(-(sign[(place == node) & (x == b)] - 1).sum()), int(((place == node) & (x == b)).sum())) for f, x in bins.items() for b in np.unique(x[place == node])]
+            want = boosting.best_split(*map(np.array, zip(*rows)), {2}, 2, settings.ridge) if rows else None
+            if want is None:
+                assert got.feature[node] == -1
+                continue
+            assert (got.gain[node], got.feature[node], got.cut[node], got.side[node]) == want[:4]
+            assert want[1] != 2 or got.codes[node].tolist() == want[4].tolist()
+
+
+def test_swapped_features_score_like_rows_with_that_value(spark, homes):
+    """Trees of up to seven levels are scored by sets of leaves, deeper ones node by node."""
+    data = modeling.training_table(homes.withColumn("hood", F.when(F.col("zpid") % 7 != 0, F.col("hood"))), SPEC, "zpid", "sold_price", 2)
+    for depth in (3, 7, 8):
+        fitted = modeling.boosted(data, SPEC, "zpid", boosting.Boosting(trees=3, depth=depth, step=0.3, bins=32), [(f, s) for f in (0, 1) for s in (1, 2)])
+        mixed = modeling._missing_as_null(modeling.shuffled_copy(data, "zpid", modeling._inputs(SPEC), 5, within=["fold"]), SPEC)
+        mixed = modeling._missing_as_null(mixed, SPEC, "shuffled_")
+        read = lambda df, *more: {(r.zpid, r.seed, *[r[m] for m in more]): r.pred_log for r in df.collect()}
+        got = read(boosting.held_out_scores(mixed, fitted, SPEC.numeric, SPEC.categorical, ["zpid"], "shuffled_"), "feature")
+        assert len(got) == 392 * 2 * 4
+        for feature in ("", "size", "noise", "hood"):
+            rows = mixed.withColumn(feature, F.col(f"shuffled_{feature}")) if feature else mixed
+            want = read(boosting.held_out_scores(rows, fitted, SPEC.numeric, SPEC.categorical, ["zpid"]))
+            assert {k[:2]: x for k, x in got.items() if k[2] == feature} == want
+
+
+def test_registered_fits_use_the_full_settings(spark, monkeypatch):
+    from dwellstat.plans import catalog, model_queries
+    seen = []
+
+    def stop(*arguments, **named):
+        seen.extend(x for x in arguments if isinstance(x, boosting.Boosting))
+        seen.extend(v for x in arguments if isinstance(x, dict) for v in x.values())
+        raise InterruptedError
+
+    monkeypatch.setattr(model_queries, "model_rows", lambda *_: None)
+    monkeypatch.setattr(modeling, "training_table", lambda *_: None)
+    for name in ("cross_validate", "boosted", "ablation"):
+        monkeypatch.setattr(modeling, name, stop)
+    for name in ("gbt_cv",):
+        seen.clear()
+        with pytest.raises(InterruptedError):
+            catalog.queries()[name](spark, "")
+        assert boosting.Boosting(trees=2000, depth=7, step=0.02) in seen, name
+        forests = [x(1) for x in seen if callable(x) and hasattr(x(1), "getNumTrees")]
+        assert [(x.getNumTrees(), x.getMaxDepth(), x.getMaxBins()) for x in forests] == ([(100, 7, 512)] if name == "learner_blends" else [])

@@ -225,7 +225,7 @@ def test_registered_fits_use_the_full_settings(spark, monkeypatch):
     monkeypatch.setattr(modeling, "training_table", lambda *_: None)
     for name in ("cross_validate", "boosted", "ablation"):
         monkeypatch.setattr(modeling, name, stop)
-    for name in ("gbt_cv", "ablation", "learner_blends", "gain_importance"):
+    for name in ("gbt_cv", "ablation", "learner_blends", "gain_importance", "permutation"):
         seen.clear()
         with pytest.raises(InterruptedError):
             catalog.queries()[name](spark, "")

@@ -164,7 +164,8 @@ def append_resume(spark, sf_dir):
 def request_files(spark, sf_dir):
     path = scratch_path(spark, "requests")
     plan = sampling.chunk_plan(views.photos(spark, sf_dir), "image_path", 5000)
-    writers.write_request_files(batches.request_lines(plan, "image_path", PROMPT, "MEDIA_RESOLUTION_LOW", rv.PHOTO_LABELS), path)
+    items = writers.gathered(plan.select("image_path", "chunk_id"))
+    writers.write_request_files(batches.request_lines(items, "image_path", PROMPT, "MEDIA_RESOLUTION_LOW", rv.PHOTO_LABELS), path, together=True)
     back = spark.read.schema("value string, chunk_id string").text(path)
     key = F.get_json_object("value", "$.key")
     return back.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("lines"), F.min(key).alias("first_key"))

@@ -37,9 +37,19 @@ def append_pending(spark: SparkSession, rows: DataFrame, path: str, keys: Sequen
     joins.pending(rows, done, keys).write.mode("append").parquet(path)
 
 
-def write_request_files(lines: DataFrame, path: str, chunk: str = "chunk_id", line: str = "line") -> None:
-    """JSON-lines request files, one folder per chunk.
+def gathered(items: DataFrame, chunk: str = "chunk_id") -> DataFrame:
+    """The rows of each chunk in one task and in order of the chunks, for ``write_request_files``.
 
-    A chunk has a fixed number of rows, so gathering it in one file is bounded.
+    Gather items before they are made into lines, which are many times as wide.
     """
-    lines.select(chunk, F.col(line).alias("value")).repartition(chunk).write.mode("overwrite").partitionBy(chunk).text(path)
+    return items.repartition(chunk).sortWithinPartitions(chunk)
+
+
+def write_request_files(lines: DataFrame, path: str, chunk: str = "chunk_id", line: str = "line", together: bool = False) -> None:
+    """JSON-lines request files, one folder per chunk, compressed, as lines differ by little more than their item.
+
+    A chunk has a fixed number of rows, so gathering it in one file is bounded; ``together`` if it
+    was ``gathered`` before.
+    """
+    rows = lines.select(chunk, F.col(line).alias("value"))
+    (rows if together else rows.repartition(chunk)).write.mode("overwrite").option("compression", "gzip").partitionBy(chunk).text(path)

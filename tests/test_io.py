@@ -193,6 +193,25 @@ def test_chunks_written_per_folder(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "req")).filter(F.col("chunk_id") == "c0").count() == 2
 
 
+def test_items_are_gathered_before_they_become_lines(spark, tmp_path, sf_dir, monkeypatch):
+    """Only paths and chunk ids are shuffled and sorted, and the files are a small part of their text."""
+    from dwellstat.plans import catalog
+    seen = []
+    monkeypatch.setattr(writers, "write_request_files", lambda lines, path, write=writers.write_request_files, **named: (seen.append((lines, path)), write(lines, path, **named)))
+    want = {r.chunk_id: r.lines for r in catalog.queries()["request_files"](spark, sf_dir).collect()}
+    (lines, path), = seen
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("mediaResolution") < plan.index("REPARTITION") and "mediaResolution" not in plan[plan.index("REPARTITION"):]
+    back = spark.read.text(path)
+    assert {r.chunk_id: r["count"] for r in back.groupBy("chunk_id").count().collect()} == want
+    stored = sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(path) for f in files)
+    assert stored < back.agg(F.sum(F.length("value"))).first()[0] / 10
+    spread = spark.createDataFrame([(f"c{i % 3}", f"x{i}") for i in range(30)], "chunk_id string, line string").repartition(4)
+    writers.write_request_files(writers.gathered(spread), str(tmp_path / "req"), together=True)
+    files = [f for at, _, files in os.walk(tmp_path / "req") for f in files if f.startswith("part-")]
+    assert len(files) == 3 and spark.read.text(str(tmp_path / "req")).count() == 30
+
+
 def test_answer_with_a_null_label_is_kept(spark):
     lines = [response(f"images/{i}/x.jpg", [a]) for i, a in enumerate(['{"room_type":null}', '{"other_label":"x"}', "not json", '{"room_type":"kitchen"}'])]
     df = spark.createDataFrame([(v, "c0") for v in lines], "value string, source_chunk string")

@@ -127,3 +127,19 @@ def counts(lat: np.ndarray, lon: np.ndarray, plat: np.ndarray, plon: np.ndarray,
             found[np.ix_(t, used)] += sums[up] - sums[low]
             compared(np.concatenate([t, t]), np.concatenate([begin, up]), np.concatenate([low, end]))
     return found.astype(np.int64)
+
+
+def counts_at(lat: np.ndarray, lon: np.ndarray, number: np.ndarray, plat: np.ndarray, plon: np.ndarray, category: np.ndarray, weight: np.ndarray,
+              since: np.ndarray, until: np.ndarray, radius_m: float, n_categories: int) -> np.ndarray:
+    """``counts`` of the places alive at each circle's snapshot: those begun before its number and not gone before it.
+
+    Snapshots between which no place begins or ends have the same places and are counted at once.
+    """
+    found = np.zeros((len(lat), n_categories), np.int64)
+    snapshots, of = np.unique(number, return_inverse=True)
+    changes = np.unique(np.concatenate([since, until]))
+    _, same, alike = np.unique(np.searchsorted(changes, snapshots, "left"), return_index=True, return_inverse=True)
+    for i, n in enumerate(snapshots[same]):
+        here, alive = alike[of] == i, (since < n) & (n <= until)
+        found[here] = counts(lat[here], lon[here], plat[alive], plon[alive], category[alive], weight[alive], radius_m, n_categories)
+    return found

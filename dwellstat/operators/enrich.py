@@ -261,10 +261,7 @@ def _tile_counts(around: DataFrame, places: DataFrame, deal: DataFrame, spots: D
         spots = spots.sort_by([("number", "ascending"), ("lat", "ascending"), ("lon", "ascending")])
         lat, lon, number = (spots.column(c).to_numpy() for c in ("lat", "lon", "number"))
         plat, plon, category, weight, since, until = (places.column(c).to_numpy() for c in ("lat", "lon", "category", "weight", "since", "until"))
-        found = np.zeros((len(lat), n_categories), np.int64)
-        for n in np.unique(number):
-            here, alive = number == n, (since < n) & (n <= until)
-            found[here] = circles.counts(lat[here], lon[here], plat[alive], plon[alive], category[alive], weight[alive], radius_m, n_categories)
+        found = circles.counts_at(lat, lon, number, plat, plon, category, weight, since, until, radius_m, n_categories)
         ends = np.arange(len(lat) + 1, dtype=np.int32) * n_categories
         return spots.select(["lat", "lon", "snap"]).append_column("n", pa.ListArray.from_arrays(pa.array(ends), pa.array(found.reshape(-1))))
 

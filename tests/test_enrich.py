@@ -157,3 +157,21 @@ def test_many_versions(spark):
     versions = [(dt.date(1990, 1, 1) + dt.timedelta(days=i), f"v{i}") for i in range(700)]
     row = spark.sql("SELECT DATE '1990-12-31' AS d").select(enrich.version_as_of("d", versions).alias("v")).first()
     assert row.v == "v364"
+
+
+def test_snapshots_with_the_same_places_are_counted_at_once(monkeypatch):
+    import numpy as np
+
+    from dwellstat.operators import circles
+    rng = np.random.default_rng(4)
+    calls, count = [], circles.counts
+    monkeypatch.setattr(circles, "counts", lambda *a: (calls.append(1), count(*a))[1])
+    lat, lon, number = 40 + rng.random(300) / 50, -74 + rng.random(300) / 50, rng.integers(1, 31, 300)
+    plat, plon, category, weight = 40 + rng.random(500) / 50, -74 + rng.random(500) / 50, rng.integers(0, 2, 500), rng.integers(1, 4, 500)
+    for since, until, most in ((np.zeros(500, int), np.full(500, 31), 1), (rng.choice([0, 7, 12], 500), rng.choice([7, 20, 31], 500), 4), (rng.integers(0, 31, 500), rng.integers(0, 32, 500), 30)):
+        calls.clear()
+        got = circles.counts_at(lat, lon, number, plat, plon, category, weight, since, until, 600.0, 2)
+        assert len(calls) <= most and got.sum() > 0
+        for i, n in enumerate(number):
+            alive = (since < n) & (n <= until)
+            assert got[i].tolist() == count(lat[i:i + 1], lon[i:i + 1], plat[alive], plon[alive], category[alive], weight[alive], 600.0, 2)[0].tolist()

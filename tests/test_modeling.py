@@ -232,3 +232,30 @@ def test_registered_fits_use_the_full_settings(spark, monkeypatch):
         assert boosting.Boosting(trees=2000, depth=7, step=0.02) in seen, name
         forests = [x(1) for x in seen if callable(x) and hasattr(x(1), "getNumTrees")]
         assert [(x.getNumTrees(), x.getMaxDepth(), x.getMaxBins()) for x in forests] == ([(100, 7, 512)] if name == "learner_blends" else [])
+
+
+def test_counts_of_a_leaf_are_merged_as_batches_come(spark, monkeypatch):
+    """A task with many batches holds a few counts a leaf, and the medians stay exact."""
+    seen, merge = [], boosting._merged
+    parts = lambda x: (seen.append(len(x)), merge(x))[1]
+    monkeypatch.setattr(boosting, "_merged", parts)
+    monkeypatch.setattr(boosting, "LEAF_PARTS", 3)
+    rng = np.random.default_rng(5)
+    y = rng.normal(size=600)
+
+    class State:
+        """Runs a task's function here, on batches of 20 rows."""
+
+        def mapInArrow(self, function, schema):  # noqa: N802
+            level_rows = [object()] * 30
+            out = pd.concat([b.to_pandas() for b in function(iter(level_rows))])
+            return spark.createDataFrame(out, schema)
+
+    place = iter(range(10**6))
+
+    def level(_):
+        at = 20 * (next(place) % 30)
+        yield 0, None, np.ones(20, np.int64), y[at:at + 20]
+
+    assert boosting._leaf_values(State(), level) == [(0, 1, np.sort(y)[299])]
+    assert seen and max(seen) <= 4

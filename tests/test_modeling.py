@@ -259,3 +259,13 @@ def test_counts_of_a_leaf_are_merged_as_batches_come(spark, monkeypatch):
 
     assert boosting._leaf_values(State(), level) == [(0, 1, np.sort(y)[299])]
     assert seen and max(seen) <= 4
+
+
+def test_fits_stored_side_by_side_keep_all_places(spark, tmp_path):
+    store = fits.PredictionStore(spark, str(tmp_path), "part string, k long, price double, y_log double, pred_log double", "k")
+    scores = spark.range(20).selectExpr("id AS k", "1D AS price", "0D AS y_log", "0 AS fold", "array(0.5D) AS pred")
+    assert store.index() == {}
+    keys = [fits.FitKey("t", 0, i, f"{i:064x}") for i in range(12)]
+    fits.run_jobs(spark, [lambda k=k: store.put_together([k], scores) for k in keys], 6)
+    assert store.stored(keys) == [True] * 12
+    assert len(list(tmp_path.glob("index-*"))) == 12
